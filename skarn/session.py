@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +33,55 @@ def build_session(app: str = "skarn", cores: int | str = "*", shuffle_partitions
     return spark
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
+_CUTS: list[tuple[SparkSession, str]] = []
 
-    The folder is shared by all executors, so a lost executor loses nothing. Where the setting is absent a
-    temporary folder is used, but only on a local master; on a cluster a missing setting is an error.
-    """
-    sc = df.sparkSession.sparkContext
+
+def _shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local["):
                 raise RuntimeError("spark.checkpoint.dir must name a folder shared by the executors")
             folder = tempfile.mkdtemp(prefix="skarn-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` once as a table in the folder ``spark.checkpoint.dir`` names and read it from there.
+
+    The folder is shared by all executors, so a lost executor loses nothing, and the table is compressed, which a
+    checkpoint isn't. Where the setting is absent a temporary folder is used, but only on a local master; on a cluster
+    a missing setting is an error. Tables are removed by ``release`` or when the program ends.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skarn_path = path
+    _CUTS.append((spark, path))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_skarn_path", None):
+            _delete(df.sparkSession, path)
+            _CUTS[:] = [x for x in _CUTS if x[1] != path]
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark, path in _CUTS:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session is gone
+            return
