@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.session import cut
+from skarn.session import cut, release
 
 #: A node is hot when it has at least this many edges and at least a thousandth of all; so at most 2,000 are.
 HOT_EDGES = 20_000
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges``: columns a, b (strings). Returns node, component: the least node of its component.
 
     Edges with a null end are ignored; loops and repeated edges change nothing; an empty graph gives no rows. Every
-    round is checkpointed; the rounds grow with the logarithm of the number of nodes.
+    round is written to the shared folder; the rounds grow with the logarithm of the number of nodes.
     """
     e = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     loops = e.where("u = v").select(F.col("u").alias("node")).distinct()
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = _with_minimum(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = _with_minimum(large, n)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
+        last, e = e, cut(small.distinct())
+        release(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         n = now[0]
         if tuple(now) == seen:
