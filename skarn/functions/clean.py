@@ -52,11 +52,11 @@ def magnitude_bucket(delta: Column, pct: Column, neutral: float = 0.005, pct_edg
 
 
 def realized_direction(ret: Column, edge: float = 0.01) -> Column:
-    return F.when(ret.isNull(), "unknown").when(ret > edge, "positive").when(ret < -edge, "negative").otherwise("neutral")
+    return F.when(ret.isNull(), "unknown").when(F.abs(ret) < edge, "neutral").when(ret > 0, "positive").otherwise("negative")
 
 
-def realized_magnitude(ret: Column, small: float = 0.01, large: float = 0.05) -> Column:
-    return F.when(ret.isNull(), "unknown").when(F.abs(ret) < small, "small").when(F.abs(ret) < large, "medium").otherwise("large")
+def realized_magnitude(ret: Column, edge: float = 0.01, large: float = 0.05) -> Column:
+    return F.when(ret.isNull(), "unknown").when(F.abs(ret) < edge, "flat").when(F.abs(ret) < large, "small").otherwise("large")
 
 
 def alignment(expected: Column, realized: Column) -> Column:

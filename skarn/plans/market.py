@@ -190,8 +190,8 @@ panel as (select e.event_id, e.user_id, security, day as anchor_day, coalesce(t,
 _LAB = f"""{_DAYS}, sb as (select s.*, bench from s left join b using (day)), w as ({_window_sql("sb", "security", ["0:1"])}),
 l as (select event_id, case when value > 60 then 'positive' when value < 20 then 'negative' else 'neutral' end as expected, coalesce(raw_return_w_p0_p1 - benchmark_return_w_p0_p1, raw_return_w_p0_p1) as reaction
   from e left join w on w.security = e.user_id and w.day = e.event_day),
-lab as (select *, case when reaction is null then 'unknown' when reaction > 0.1 then 'positive' when reaction < -0.1 then 'negative' else 'neutral' end as realized,
-  case when reaction is null then 'unknown' when abs(reaction) < 0.1 then 'small' when abs(reaction) < 0.5 then 'medium' else 'large' end as magnitude from l)"""
+lab as (select *, case when reaction is null then 'unknown' when abs(reaction) < 0.1 then 'neutral' when reaction > 0 then 'positive' else 'negative' end as realized,
+  case when reaction is null then 'unknown' when abs(reaction) < 0.1 then 'flat' when abs(reaction) < 0.5 then 'small' else 'large' end as magnitude from l)"""
 
 _SLUGS = [W.window_slug(w) for w in WINDOWS]
 
