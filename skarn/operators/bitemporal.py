@@ -80,7 +80,7 @@ def as_known(
     Versions with a null key, null start or null rank are ignored, as are those whose end precedes the start; a null
     end is open. Repeated versions and repeated events change nothing and lose nothing. Empty inputs give an empty or
     null-filled result. Extra columns of ``events`` pass through; those of ``versions`` are dropped, so names can't
-    clash (only the names __k, __v, __r, __vc, __rc and known are reserved).
+    clash (only ``known`` and names beginning with two underscores are reserved).
     """
     day = F.unix_date
     end = lambda c: F.coalesce(day(c), F.lit(DAY_MAX)) if c is not None else F.lit(DAY_MAX)
@@ -97,5 +97,7 @@ def as_known(
     points = e.where("__k is not null and __v is not null and __r is not null")
     cells = points.select(F.col("__k").alias("k"), F.col("__vc").alias("vc"), F.col("__rc").alias("rc")).distinct()
     found = regions(v, cells, width)
-    hit = (F.col("__k") == F.col("k")) & (F.col("__vc") == F.col("vc")) & (F.col("__rc") == F.col("rc")) & F.col("__v").between(F.col("va"), F.col("vb")) & F.col("__r").between(F.col("ra"), F.col("rb"))
-    return e.join(found, hit, "left").select(*[F.col(f"`{c}`") for c in events.columns], F.col("p.a").alias("known"))
+    found = found.select(*[F.col(c).alias(f"__f_{c}") for c in found.columns])
+    f = lambda c: F.col(f"__f_{c}")
+    hit = (F.col("__k") == f("k")) & (F.col("__vc") == f("vc")) & (F.col("__rc") == f("rc")) & F.col("__v").between(f("va"), f("vb")) & F.col("__r").between(f("ra"), f("rb"))
+    return e.join(found, hit, "left").select(*[F.col(f"`{c}`") for c in events.columns], f("p")["a"].alias("known"))
