@@ -46,13 +46,14 @@ def nearest_in_time(
     Times are whole numbers (days, microseconds) of which at most ``tolerance`` may lie between the two. Of two equally
     near times the later wins (the earlier if ``later_wins`` is off). Rows with a null key or time on either side
     match nothing; right-hand rows that repeat a time count once, left-hand rows are kept as often as they occur. Empty
-    tables give no rows. All columns of ``left`` pass through; the names __k, __t and __b are reserved.
+    tables give no rows. All columns of ``left`` pass through; names beginning with two underscores are reserved.
     """
     if tolerance < 0:
         raise ValueError("the tolerance must not be negative")
     r = right.select(right_key.alias("k"), right_time.cast("long").alias("t")).where("k is not null and t is not null").distinct()
     bucket = 2 * tolerance + 1
     index = owned_intervals(r, tolerance, later_wins).withColumn("b", F.explode(F.array_distinct(F.array(_floor_div(F.col("lo"), bucket), _floor_div(F.col("hi"), bucket)))))
+    index = index.select(*[F.col(c).alias(f"__i_{c}") for c in index.columns])
     x = left.withColumns({"__k": left_key, "__t": left_time.cast("long")}).where("__k is not null and __t is not null").withColumn("__b", _floor_div(F.col("__t"), bucket))
-    hit = (F.col("__k") == F.col("k")) & (F.col("__b") == F.col("b")) & F.col("__t").between(F.col("lo"), F.col("hi"))
-    return x.join(index, hit).select(*[F.col(f"`{c}`") for c in left.columns], F.col("t").alias("nearest_time"))
+    hit = (F.col("__k") == F.col("__i_k")) & (F.col("__b") == F.col("__i_b")) & F.col("__t").between(F.col("__i_lo"), F.col("__i_hi"))
+    return x.join(index, hit).select(*[F.col(f"`{c}`") for c in left.columns], F.col("__i_t").alias("nearest_time"))
