@@ -44,7 +44,7 @@ CLASS_BUCKETS, BUCKETS, WORD_VALUE = 1 << 14, 1 << 18, 0.6
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏԛԝвнкмтαορνικτυ", "aeopcyxijsdhlqwbhkmtaopviktu")
 SIGNS = str.maketrans("0134578@$!€", "oieastbasie")
 
-_SPREAD = re.compile(r"(?<![^\W_])[a-z@$*0-9]([ .\-_])[a-z@$*0-9!](?![^\W_])(?:\1[a-z@$*0-9!](?![^\W_]))+(?:\1s(?![^\W_]))?")
+_SPREAD = re.compile(r"(?<![^\W_])[a-z@$*0-9]([ .\-_])[a-z@$*0-9!](?![\w@$*])(?:\1[a-z@$*0-9!](?![\w@$*]))+")
 _BOLD = re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^*]+?)(?<=[^\s*])\*\*(?![\w*])")
 _TOKEN = re.compile(r"[a-z0-9@$!*€]+(?:['’][a-z]+)?")
 _BREAK = re.compile(r"[\n\r]+|(?<=[.!?;])\s+|[“”\"{}]+")
@@ -249,14 +249,19 @@ def train(verdicts: list[tuple[str | None, int]], ordinary: list[str] = (), clas
         if g and talk:
             rows += [reader.features((*ws[:6], *talk[(2 * i) % len(talk)][:3])), reader.features((*talk[(2 * i + 1) % len(talk)][-3:], *ws[:6]))]
             low += [g, g]
+    rows.append(np.zeros(0, np.int64))  # a window without anything known is ordinary
+    low.append(0)
     n = len(rows)
-    w, theta = fit_ordinal(rows, np.array(low), np.array(low), np.ones(n))
+    base = np.r_[np.where(np.arange(n - 1) < len(spoken), 2.0, 0.7), 20.0]
+    w, theta = fit_ordinal(rows, np.array(low), np.array(low), base)
     cleared, unread = Counter(), Counter()
     for t, y in verdicts:
         cleared.update({*reader.spans(t)} if t and y == 0 else ())
     for t in ordinary:
         unread.update({*reader.spans(t)} if t else ())
-    guilty = [x for t, y in verdicts if t and y == 1 and (x := reader.windows(t))]
+    often = max(5, len(ordinary) // 300)
+    stock = {k for c in (cleared, unread) for k, n in c.items() if n >= often}  # phrases that many texts share accuse nobody
+    guilty = [[reader.features(k) for k in ks] for t, y in verdicts if t and y == 1 and (ks := {*reader.spans(t)} - stock)]
     # a window counts by the logarithm of the texts it stands in: stock phrases are ordinary however they are judged
     known = [(reader.features(k), 1 + np.log2(n), True) for k, n in cleared.items()] + [(reader.features(k), 1 + np.log2(n), False) for k, n in unread.items()]
     sure = np.array([x[2] for x in known], bool)
@@ -268,7 +273,7 @@ def train(verdicts: list[tuple[str | None, int]], ordinary: list[str] = (), clas
         worst = [x for x, s in zip(worst, _scores(w, worst) - theta[0]) if turn == 0 or s > -2.0]
         lo = np.r_[low, np.zeros(len(keep)), np.ones(len(worst))].astype(int)
         hi = np.r_[low, np.zeros(len(keep)), np.full(len(worst), GRADES)].astype(int)
-        wt = np.r_[np.where(np.arange(n) < len(spoken), 2.0, 0.7), [(0.1 if turn == 0 else 0.25) * known[i][1] for i in keep], np.full(len(worst), 0.25 if turn == 0 else 0.7)]
+        wt = np.r_[base, [(0.1 if turn == 0 else 0.25) * known[i][1] for i in keep], np.full(len(worst), 0.25 if turn == 0 else 0.7)]
         w, theta = fit_ordinal(rows + [known[i][0] for i in keep] + worst, lo, hi, wt, (w, theta))
     return AbuseModel(w.astype(np.float32), theta, classes)
 

@@ -57,7 +57,7 @@ CLASSES = {
         banker journalist controller chef bankerin analyst jefe jefa gerente""",
     "self": "i me my myself mine im ive ich mich mir mein meine yo mi mis je mon ma",
     "will": "will gonna going ll we next wait werde werden wir voy vamos vais ill well vais",
-    "leave": "off lost crawl shut hole verpiss fresse halt hau callate largate vete degage ferme gueule hell infierno holle nobody asked eat reported mother ashamed",
+    "leave": "wrote off lost crawl shut hole verpiss fresse halt hau callate largate vete degage ferme gueule hell infierno holle nobody asked eat reported mother ashamed",
     # the trade's own words, and reports
     "market": """stock stocks shares session quarter market bears bulls bull bear sellers short squeezed bonds spread print numbers portfolio
         settlement claims clause policy costs health sales maker sector segment regulator bid pill archive processor fees platform moderation posts

@@ -63,7 +63,13 @@ def seats_by_priority(available: list[int], share: list[float], floor: list[int]
         while sum(got) - sum(low) < n:
             i = min((i for i in range(k) if got[i] < high[i]), key=lambda i: (p(i, got[i] + 1), i))
             got[i] += 1
-        return got
+        while True:  # of equal or nearly equal priorities the first must have won
+            last = max(((p(i, got[i]), i) for i in range(k) if got[i] > low[i]), default=None)
+            first = min(((p(i, got[i] + 1), i) for i in range(k) if got[i] < high[i]), default=None)
+            if last is None or first is None or last <= first:
+                return got
+            got[last[1]] -= 1
+            got[first[1]] += 1
 
     first = take([0] * k, floor, n)
     return take(first, available, n - sum(first)) if sum(first) < n else first

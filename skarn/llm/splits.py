@@ -98,9 +98,11 @@ def assign_components(weights: DataFrame, targets: DataFrame, bins: int = BINS,
         grid = np.zeros((len(ids), bins))
         row = np.searchsorted(ids, pdf["shard"])
         grid[row, pdf["slot"]] = pdf["weight"]
+        if not names:
+            return pdf.assign(split=None)[["shard", "slot", "split"]]
         of = largest_differencing(grid)
         split = deal_bins(np.bincount(of.ravel(), grid.ravel(), bins), shares)
-        return pdf.assign(split=[names[k] for k in split[of[row, pdf["slot"]]]] if names else None)[["shard", "slot", "split"]]
+        return pdf.assign(split=[names[k] for k in split[of[row, pdf["slot"]]]])[["shard", "slot", "split"]]
 
     # shards x bins rows, however many components there are
     dealt = in_slots.groupBy("shard", "slot").agg(F.sum("weight").alias("weight")).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(deal, "shard int, slot int, split string")
