@@ -168,7 +168,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(
-    rows: list[np.ndarray], low: np.ndarray, high: np.ndarray, weight: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 200, decay: float = 1e-4
+    rows: list[np.ndarray], low: np.ndarray, high: np.ndarray, weight: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 120, decay: float = 1e-4
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds of P(grade >= k) = sigmoid(w x - theta_k), for grades known to lie in [low, high]."""
     n = np.array([len(r) for r in rows])
