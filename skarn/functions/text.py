@@ -27,6 +27,20 @@ def struct_signature(*cs: Column) -> Column:
     return sha1_text(F.to_json(F.struct(*cs), {"ignoreNullFields": "false"}))
 
 
+def json_signature(c: Column, fields: list[str], drop: tuple[str, ...] = ()) -> Column:
+    """A digest of the named paths of a JSON text ('$.a.b') but those dropped; records equal there are equal in it."""
+    kept = [F.coalesce(F.get_json_object(c, f), F.lit("\x00")) for f in fields if f not in drop]
+    return sha1_text(F.concat_ws("\x1f", *kept))
+
+
+def mentions_any(c: Column, needles: list[str]) -> Column:
+    """Whether a text holds one of several strings; null for null text."""
+    out = F.contains(c, F.lit(needles[0]))
+    for n in needles[1:]:
+        out = out | F.contains(c, F.lit(n))
+    return out
+
+
 def json_template(c: Column) -> Column:
     """The sorted top-level keys of a JSON object, joined by commas; null if it isn't one."""
     return F.array_join(F.array_sort(F.json_object_keys(c)), ",")

@@ -88,3 +88,19 @@ def metric_deltas(metrics: DataFrame, keys: list[str], variant: str, base: str,
 def long_metrics(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """A row per metric: keys, metric, value."""
     return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])))
+
+
+def metric_wins(metrics: DataFrame, task: str, variant: str, metric: str, candidate: str, baselines: list[str]) -> DataFrame:
+    """Per baseline: tasks where the candidate's metric is strictly above (wins) and strictly below it (regressions).
+
+    A metric missing on either side is neither.
+    """
+    wide = metrics.groupBy(task).agg(*[F.max(F.when(F.col(variant) == v, F.col(metric))).alias(f"m{i}") for i, v in enumerate([candidate, *baselines])])
+    pairs = F.array(*[F.struct(F.lit(b).alias("baseline"), (F.col("m0") - F.col(f"m{i}")).alias("d")) for i, b in enumerate(baselines, 1)])
+    return wide.select(F.inline(pairs)).groupBy("baseline").agg(F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("regressions"))
+
+
+def metric_differences(long: DataFrame, keys: list[str], variant: str, a: str, b: str) -> DataFrame:
+    """keys, metric, value of a and of b, difference (b less a; null if either is missing) from a long metrics table."""
+    pick = lambda v: F.max(F.when(F.col(variant) == v, F.col("value")))
+    return long.groupBy(*keys, "metric").agg(pick(a).alias("value_a"), pick(b).alias("value_b"), (pick(b) - pick(a)).alias("difference"))

@@ -93,3 +93,13 @@ def duplicate_rate(df: DataFrame, keys: list[str], sig: Column) -> DataFrame:
     """keys, rows, duplicates (rows beyond the first of a signature), rate (four places)."""
     g = df.groupBy(*keys, sig.alias("__sig")).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys)
     return g.agg(F.sum("c").alias("rows"), (F.sum("c") - F.count(F.lit(1))).alias("duplicates"), F.round((F.sum("c") - F.count(F.lit(1))) / F.sum("c"), 4).alias("rate"))
+
+
+def dataset_card(df: DataFrame, dims: list[str], sig: Column, text: str) -> DataFrame:
+    """section, name, value: rows, duplicates, mean length, and per dimension its distinct values, entropy and top share."""
+    row = lambda section, name, value: F.struct(F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value"))
+    d = duplicate_rate(df, [], sig).select(F.inline(F.array(row("all", F.lit("rows"), F.col("rows")), row("all", F.lit("duplicate_rate"), F.col("rate")))))
+    n = length_summary(df, [], text).select(F.inline(F.array(row("all", F.lit("mean_chars"), F.col("mean_chars")))))
+    f = frequency(df, dims).groupBy("dimension").agg(F.count(F.lit(1)).alias("v"), F.round(F.max("n") / F.sum("n"), 4).alias("t"), F.round(F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n"), 4).alias("e"))
+    parts = F.array(*[F.struct(F.lit(s).alias("section"), F.col("dimension").alias("name"), F.col(c).cast("double").alias("value")) for s, c in (("distinct", "v"), ("top_share", "t"), ("entropy", "e"))])
+    return d.unionByName(n).unionByName(f.select(F.inline(parts)))

@@ -75,3 +75,10 @@ def unmatched(events: DataFrame, matched: DataFrame, on: str) -> DataFrame:
 
 def method_distribution(panel: DataFrame) -> DataFrame:
     return panel.groupBy("join_status", "join_method").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lookup(df: DataFrame, dim: DataFrame, on: str, required: bool = False) -> DataFrame:
+    """``df`` with the columns of ``dim``, whose ``on`` must be unique; with ``required`` a key without an entry is an error."""
+    if required and (gone := [r[0] for r in unmatched(df.where(F.col(on).isNotNull()), dim, on).select(on).distinct().limit(5).collect()]):
+        raise KeyError(f"no entry for {on}: {', '.join(map(str, gone))}")
+    return df.join(dim, on, "left")

@@ -37,6 +37,25 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed=seed), key).limit(n) if n else df
 
 
+def hash_fraction(key: Column, seed: int | str = 0) -> Column:
+    """A number in [0, 1) per key: the first 32 bits of its hash."""
+    return F.conv(F.substring(hash_order(key, seed=seed), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
+def held_out(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
+    """Adds held_out: about ``fraction`` of the keys, whatever else the table holds; all rows of a key agree."""
+    return df.withColumn("held_out", hash_fraction(F.col(key), seed) < fraction)
+
+
+def source_mix(df: DataFrame, source: str, label: str, key: str, sig: Column, quotas: dict[str, int], seed: int = 0) -> DataFrame:
+    """Per source, quotas of rows per label, by hash, one row per signature; labels without a quota give none."""
+    one = Window.partitionBy(source, "__sig").orderBy(hash_order(F.col(key), seed=seed), key)
+    pick = Window.partitionBy(source, label).orderBy(hash_order(F.col(key), seed=seed), key)
+    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    x = df.where(F.col(label).isin(list(quotas))).withColumn("__sig", sig).withColumn("__rn", F.row_number().over(one)).where("__rn = 1")
+    return x.withColumn("__rn", F.row_number().over(pick)).where(F.col("__rn") <= quota[F.col(label)]).drop("__rn", "__sig")
+
+
 def sequential_splits(df: DataFrame, key: str, sizes: list[tuple[str, int]], seed: int = 0) -> DataFrame:
     """The first rows in hash order cut into splits of given sizes, in order; adds split."""
     total = sum(n for _, n in sizes)

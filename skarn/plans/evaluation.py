@@ -51,6 +51,16 @@ def run_verdicts(spark, d):
     return x.select("dataset", *[F.round(c, 6).alias(c) for c in ("delta_accuracy", "delta_macro_f1", "delta_parse_failure_rate")], "verdict")
 
 
+def metric_wins(spark, d):
+    return E.metric_wins(_summary(spark, d), "dataset", "variant", "macro_f1", "tuned", ["base", "absent"])
+
+
+def metric_differences(spark, d):
+    long = E.long_metrics(_summary(spark, d), ["dataset", "variant"], ["accuracy", "macro_f1"])
+    x = E.metric_differences(long, ["dataset"], "variant", "base", "tuned")
+    return x.select("dataset", "metric", *[F.round(c, 6).alias(c) for c in ("value_a", "value_b", "difference")])
+
+
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     r = _runs(spark, d)
     return E.compare_runs(r.where("variant = 'base'"), r.where("variant = 'tuned'"), "example_id")
@@ -82,7 +92,7 @@ def structured_match(spark, d):
     return y.select("sample_count", *[F.round(c, 6).alias(c) for c in ("exact_match_rate", "direction_accuracy", "magnitude_accuracy")])
 
 
-QUERIES = {f.__name__: f for f in (confusion_matrix, class_metrics, summary_metrics, metrics_long, run_verdicts, compare_runs, shift_counts, regression_buckets, output_diagnostics, structured_match)}
+QUERIES = {f.__name__: f for f in (confusion_matrix, class_metrics, summary_metrics, metrics_long, run_verdicts, metric_wins, metric_differences, compare_runs, shift_counts, regression_buckets, output_diagnostics, structured_match)}
 
 _RULE = lambda m: f"case when p % {m} = 0 then null when p % {m} = 1 then 'no' when p % {m} < 4 then gold when s % 3 = 0 then 'positive' when s % 3 = 1 then 'negative' else 'neutral' end"
 _RUNS = f"""g as (select l_orderkey || '-' || l_linenumber as example_id, min(l_linestatus) as dataset, case min(l_returnflag) when 'A' then 'positive' when 'R' then 'negative' else 'neutral' end as gold, min(l_partkey) as p, min(l_suppkey) as s from lineitem group by l_orderkey, l_linenumber),
@@ -104,6 +114,9 @@ SQL = {
     "summary_metrics": f"with {_RUNS} select dataset, variant, sample_count, invalid_count, round(accuracy, 6) as accuracy, round(macro_f1, 6) as macro_f1, round(parse_failure_rate, 6) as parse_failure_rate from sm",
     "metrics_long": f"with {_RUNS} select dataset, variant, 'accuracy' as metric, round(accuracy, 6) as value from sm union all select dataset, variant, 'macro_f1', round(macro_f1, 6) from sm union all select dataset, variant, 'parse_failure_rate', round(parse_failure_rate, 6) from sm",
     "run_verdicts": f"with {_RUNS} select dataset, round(da, 6) as delta_accuracy, round(df, 6) as delta_macro_f1, round(dp, 6) as delta_parse_failure_rate, case when da > 0 and df > 0 and dp <= 0 then 'improved' when da < 0 or df < 0 or dp > 0 then 'regressed' else 'inconclusive' end as verdict from dl",
+    "metric_wins": f"with {_RUNS} select 'base' as baseline, count(*) filter (df > 0) as wins, count(*) filter (df < 0) as regressions from dl union all select 'absent', 0, 0",
+    "metric_differences": f"""with {_RUNS}, l as (select dataset, variant, unnest([{{'m': 'accuracy', 'v': accuracy}}, {{'m': 'macro_f1', 'v': macro_f1}}]) as x from sm)
+select dataset, x.m as metric, round(max(x.v) filter (variant = 'base'), 6) as value_a, round(max(x.v) filter (variant = 'tuned'), 6) as value_b, round(max(x.v) filter (variant = 'tuned') - max(x.v) filter (variant = 'base'), 6) as difference from l group by all""",
     "compare_runs": f"with {_RUNS} select outcome, count(*) as n from oc group by outcome",
     "shift_counts": f"with {_RUNS} select coalesce(pred_a, 'None') || '->' || coalesce(pred_b, 'None') as shift, count(*) as n, count(*) filter (gold = 'neutral' and pred_b in ('positive', 'negative')) as neutral_overcalls from oc where outcome = 'regression' group by 1",
     "regression_buckets": f"with {_RUNS}, r as (select *, cast(row_number() over (partition by outcome order by md5(example_id || '#1'), example_id) as integer) as rank from oc where outcome <> 'both_right') select outcome, rank, example_id, gold, pred_a, pred_b from r where rank <= 10",

@@ -89,6 +89,14 @@ def join_method_distribution(spark, d):
     return R.method_distribution(_resolution(spark, d))
 
 
+def lookup_names(spark, d):
+    """Customers with their nation and region; every key must have an entry."""
+    n = T(spark, d, "nation").withColumnsRenamed({"n_nationkey": "nation", "n_name": "nation_name", "n_regionkey": "region"})
+    r = T(spark, d, "region").withColumnsRenamed({"r_regionkey": "region", "r_name": "region_name"})
+    c = T(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return R.lookup(R.lookup(c, n, "nation", required=True), r, "region", required=True).select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("customer"), "nation_name", "region_name")
+
+
 def left_anti_unmatched(spark, d):
     x = _resolution(spark, d)
     return R.unmatched(purchases(spark, d), x.where("join_status = 'matched'"), "event_id").select("event_id", "user_id")
@@ -152,7 +160,7 @@ def long_short_spread(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    trade_index, range_join_7d, interval_join, offset_range_join, entity_resolution_panel, join_method_distribution, left_anti_unmatched, event_window_returns, market_event_windows,
+    trade_index, range_join_7d, interval_join, offset_range_join, entity_resolution_panel, join_method_distribution, left_anti_unmatched, lookup_names, event_window_returns, market_event_windows,
     realized_labels, label_alignment, long_short_spread,
 )}
 
@@ -202,6 +210,7 @@ SQL = {
     "offset_range_join": f"with {_DAYS}, a as (select event_id, security, trade_idx as anchor from e join s on s.security = e.user_id and s.day = e.event_day) select event_id, trade_idx - anchor as relative_day, round(ret, 6) as ret from a join s using (security) where trade_idx between anchor - 1 and anchor + 5",
     "entity_resolution_panel": f"with {_DAYS}, {_CAND} select event_id, security, strftime(anchor_day, '%Y-%m-%d') as anchor_day, join_method, join_confidence, join_status from panel",
     "join_method_distribution": f"with {_DAYS}, {_CAND} select join_status, join_method, count(*) as n from panel group by all",
+    "lookup_names": "select lpad(cast(c_custkey as varchar), 10, '0') as customer, n_name as nation_name, r_name as region_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
     "left_anti_unmatched": f"with {_DAYS}, {_CAND} select event_id, user_id from panel where join_status = 'unmatched'",
     "event_window_returns": f"with {_DAYS}, sb as (select s.*, bench from s left join b using (day)), w as ({_window_sql('sb', 'security', WINDOWS)}) select event_id, "
     + ", ".join(f"round(raw_return_{n}, 6) as raw_return_{n}, round(benchmark_return_{n}, 6) as benchmark_return_{n}, round(raw_return_{n} - benchmark_return_{n}, 6) as abnormal_return_{n}, obs_count_{n}" for n in _SLUGS)

@@ -68,6 +68,16 @@ def split_overlap(spark, d):
     return S.split_overlap(T(spark, d, "ibes_pipeline"), "split", "event_id")
 
 
+def held_out_events(spark, d):
+    x = S.held_out(T(spark, d, "events"), "user_id", 0.226, 42)
+    return x.groupBy("held_out").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+def source_mix(spark, d):
+    x = T(spark, d, "ibes_pipeline").select("record_id", F.coalesce(folded(F.col("source")), F.lit("unknown")).alias("source"), folded(F.col("direction_label")).alias("label"), "structured_input")
+    return S.source_mix(x, "source", "label", "record_id", F.md5("structured_input"), {"negative": 30, "neutral": 30, "positive": 40}, 44).select("record_id", "source", "label")
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return gold(spark, d).select(
         F.concat_ws("|", "company", "period").alias("event_id"), F.col("company").cast("string").alias("ticker"), F.year("period").cast("string").alias("year"), F.col("period").cast("string").alias("period"),
@@ -110,7 +120,7 @@ def greedy_quality(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    chrono_split, split_counts, split_label_dist, hash_sample_topn, sequential_splits, stratified_quota, grouped_topk, split_diff, signature_reuse, split_overlap, greedy_balanced, greedy_diverse, greedy_quality,
+    chrono_split, split_counts, split_label_dist, hash_sample_topn, sequential_splits, stratified_quota, grouped_topk, split_diff, signature_reuse, split_overlap, held_out_events, source_mix, greedy_balanced, greedy_diverse, greedy_quality,
 )}
 
 _PR = """r as (select *, percent_rank() over (order by cast(o_orderdate as date), o_orderkey) as pr from orders),
@@ -131,5 +141,9 @@ r as (select *, row_number() over (partition by source, lang order by {_H('doc_i
     "signature_reuse": """with a as (select distinct o_custkey, o_orderpriority from orders where year(o_orderdate) = 1995), b as (select distinct o_custkey, o_orderpriority from orders where year(o_orderdate) = 1996),
 j as (select b.*, a.o_custkey is not null as hit from b left join a using (o_custkey, o_orderpriority))
 select count(*) filter (not hit) as added, count(*) as total, count(*) filter (hit) as shared, round(1 - count(*) filter (not hit) / count(*), 4) as reuse_rate from j""",
+    "held_out_events": "select held_out, count(*) as n, count(distinct user_id) as users from (select *, cast('0x' || substr(md5(cast(user_id as varchar) || '#42'), 1, 8) as bigint) / 4294967296.0 < 0.226 as held_out from events) group by held_out",
+    "source_mix": """with x as (select record_id, coalesce(nullif(lower(trim(source)), ''), 'unknown') as source, nullif(lower(trim(direction_label)), '') as label, structured_input, md5(cast(record_id as varchar) || '#44') as h from ibes_pipeline),
+o as (select *, row_number() over (partition by source, structured_input order by h, record_id) as a from x where label in ('negative', 'neutral', 'positive')),
+k as (select *, row_number() over (partition by source, label order by h, record_id) as rn from o where a = 1) select record_id, source, label from k where rn <= case label when 'positive' then 40 else 30 end""",
     "split_overlap": "select event_id, count(distinct split) as splits, string_agg(distinct split, ',' order by split) as split_list from ibes_pipeline where event_id is not null group by event_id having count(distinct split) > 1",
 }

@@ -97,6 +97,24 @@ def instruct_records(spark, d):
     return x.select("event_id", "output", F.get_json_object("input", "$.company.company_key").alias("company_key"), F.get_json_object("input", "$.event.period").alias("period"), n("estimate_count").alias("estimate_count"), n("consensus_median").alias("consensus_median"), n("consensus_std").alias("consensus_std"), n("prior_consensus_median").alias("prior_consensus_median"))
 
 
+def input_signature_dups(spark, d):
+    """Records equal in all but event id, time and company name."""
+    fields = ["$.company.company_key", "$.company.company_name", "$.company.cusip8", "$.event.event_id", "$.event.event_date", "$.event.event_time", "$.event.fpi"]
+    sig = X.json_signature(F.col("structured_input"), fields, ("$.event.event_id", "$.event.event_time", "$.company.company_name"))
+    return P.duplicate_rate(T(spark, d, "ibes_pipeline"), ["split"], sig)
+
+
+def key_contamination(spark, d):
+    """Outputs that speak the structured schema, per split."""
+    x = T(spark, d, "ibes_pipeline").withColumn("hit", X.mentions_any(F.col("structured_input"), ["consensus_pct_change", "magnitude_bucket"]))
+    return x.groupBy("split").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
+
+
+def dataset_card(spark, d):
+    x = T(spark, d, "ibes_pipeline")
+    return P.dataset_card(x, ["source", "ticker", "direction_label", "magnitude_bucket"], F.md5("structured_input"), "structured_input")
+
+
 def _chats(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("record_id")
     answer = F.when(r % 9 == 0, F.lit("{broken")).when(r % 9 == 1, F.lit('{"task": 1}')).otherwise(F.col("structured_input"))
@@ -119,7 +137,7 @@ def score_labels(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_signature, exact_dups, norm_dups, think_parse, label_extract, json_recover, structured_parse, json_field, json_keys, html_excerpt, instruct_records, chat_records, record_validation, score_labels,
+    text_signature, exact_dups, norm_dups, think_parse, label_extract, json_recover, structured_parse, json_field, json_keys, html_excerpt, input_signature_dups, key_contamination, dataset_card, instruct_records, chat_records, record_validation, score_labels,
 )}
 
 _SQUASH = lambda c: rf"trim(regexp_replace(lower({c}), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
@@ -148,6 +166,14 @@ SQL = {
     "structured_parse": f"with {OUTPUTS_SQL} select record_id, pred, pred_magnitude, format_compliant from pred",
     "json_field": f"select event_id, try_cast(json_extract_string(props, '$.k') as integer) as k, {_KEYS.format('props')} as template from events",
     "json_keys": f"select {_KEYS.format('structured_input')} as template, count(*) as n from ibes_pipeline group by 1",
+    "input_signature_dups": """with x as (select split, [json_extract_string(structured_input, '$.company.company_key'), json_extract_string(structured_input, '$.company.cusip8'), json_extract_string(structured_input, '$.event.event_date'), json_extract_string(structured_input, '$.event.fpi')] as s from ibes_pipeline)
+select split, count(*) as rows, count(*) - count(distinct s) as duplicates, round((count(*) - count(distinct s)) / count(*), 4) as rate from x group by split""",
+    "key_contamination": "select split, count(*) filter (contains(structured_input, 'consensus_pct_change') or contains(structured_input, 'magnitude_bucket')) as hits, count(*) as n from ibes_pipeline group by split",
+    "dataset_card": "with f as ("
+    + " union all ".join(f"select '{c}' as name, coalesce({c}, 'UNK') as v, count(*) as n from ibes_pipeline group by all" for c in ("source", "ticker", "direction_label", "magnitude_bucket"))
+    + """), g as (select name, count(*) as v, round(max(n) / sum(n), 4) as t, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) as e from f group by name)
+select 'all' as section, 'rows' as name, count(*)::double as value from ibes_pipeline union all select 'all', 'duplicate_rate', round((count(*) - count(distinct structured_input)) / count(*), 4) from ibes_pipeline
+union all select 'all', 'mean_chars', round(avg(length(structured_input)), 2) from ibes_pipeline union all select 'distinct', name, v from g union all select 'top_share', name, t from g union all select 'entropy', name, e from g""",
     "chat_records": """select record_id, 3 as turns, 'system' as first_role, md5('<|im_start|>system' || chr(10) || 'Return JSON only.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || instruction || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
   || case record_id % 9 when 0 then '{broken' when 1 then '{"task": 1}' else structured_input end || '<|im_end|>' || chr(10)) as chat_digest from ibes_pipeline""",
     "record_validation": """with x as (select record_id, case when record_id % 8 <> 0 then instruction end as input, case record_id % 9 when 0 then '{broken' when 1 then '{"task": 1}' else structured_input end as answer from ibes_pipeline),

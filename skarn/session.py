@@ -33,6 +33,15 @@ def build_session(app: str = "skarn", cores: int | str = "*", shuffle_partitions
     return spark
 
 
+def doctor(spark: SparkSession) -> dict[str, object]:
+    """Versions, the settings the engine relies on, and whether a job with a Python worker and a shuffle runs."""
+    import platform
+
+    seen = spark.range(1000).mapInPandas(lambda it: it, "id long").repartition(3).selectExpr("sum(id) as s").first()["s"]
+    keys = ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.ansi.enabled", "spark.checkpoint.dir")
+    return {"spark": spark.version, "python": platform.python_version(), "works": seen == 499_500, **{k: spark.conf.get(k, None) for k in keys}}
+
+
 _CUTS: list[tuple[SparkSession, str]] = []
 
 

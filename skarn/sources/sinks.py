@@ -57,6 +57,13 @@ def materialise(spark: SparkSession, path: str, config: object, build: Callable[
     return spark.read.parquet(path)
 
 
+def write_bundle(df: DataFrame, card: DataFrame, folder: str, without: tuple[str, ...] = ()) -> int:
+    """A candidate set: its records as JSON lines under ``records`` and its card as a table under ``card``; returns the records."""
+    n = write_jsonl(df.drop(*without), f"{folder}/records")
+    card.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/card")
+    return n
+
+
 def human_size(n: int | float) -> str:
     for unit in ("B", "KB", "MB", "GB", "TB"):
         if n < 1024 or unit == "TB":

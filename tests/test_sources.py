@@ -127,3 +127,20 @@ def test_pipeline(spark, tmp_path):
     assert record_errors(msgs, "event_id", F.col("input"), F.col("output"), F.col("m"), ["direction_label", "magnitude_bucket"]).count() == 0
     with pytest.raises(ValueError):
         pipeline.run(spark, cfg, "gold", "bronze")
+
+
+def test_bundle_lookup_and_doctor(spark, tmp_path):
+    from skarn.operators.profile import dataset_card
+    from skarn.operators.resolve import lookup
+    from skarn.session import doctor
+
+    df = spark.createDataFrame([("a", "x", "s1"), ("b", "x", "s1"), (None, "y", "s2")], "k string, text string, sig string")
+    card = dataset_card(df, ["k"], F.col("sig"), "text")
+    assert {(r["section"], r["name"]): r["value"] for r in card.collect()}["all", "duplicate_rate"] == 0.3333
+    assert sinks.write_bundle(df, card, str(tmp_path / "b"), ("sig",)) == 3
+    assert "sig" not in json.loads(spark.read.text(str(tmp_path / "b/records")).first()[0])
+    dim = spark.createDataFrame([("a", 1)], "k string, n int")
+    assert sorted(r["n"] or 0 for r in lookup(df, dim, "k").collect()) == [0, 0, 1]
+    with pytest.raises(KeyError, match="b"):
+        lookup(df, dim, "k", required=True)
+    assert doctor(spark)["works"]
