@@ -77,16 +77,22 @@ def length_summary(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.round(F.avg(F.length(text)), 2).alias("mean_chars"), F.min(F.length(text)).alias("min_chars"), F.max(F.length(text)).alias("max_chars"))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[float]) -> DataFrame:
-    """keys, n and p<percent> columns: the value at index round_half_even((n - 1) p) of the sorted values.
+def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[float], pieces: int = 128) -> DataFrame:
+    """keys, n and p<percent> columns: the value at index round_half_even((n - 1) p) of a group's sorted values; nulls are left out.
 
-    Exact from counts per value: no group is gathered, only its distinct values are ranked.
+    Exact, and no group is sorted in one task: a mergeable sketch cuts each group's values into pieces, counts tell which
+    piece holds an index, and only the values of such pieces are ranked.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    run = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    at = lambda p: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(p), 0), F.col(value)))
-    return run.groupBy(*keys).agg(F.max("n").alias("n"), *[at(p).alias(f"p{round(p * 100)}") for p in percents])
+    v = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.col(value).alias("v"))
+    sketch = v.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [i / pieces for i in range(1, pieces)]).alias("cuts"))
+    x = v.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")).join(sketch, "k").select("k", "n", "v", "c", F.expr("size(filter(cuts, s -> s < v))").alias("piece"))
+    w = Window.partitionBy("k").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``pieces`` rows
+    counts = x.groupBy("k", "n", "piece").agg(F.sum("c").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    index = F.array(*[F.struct(F.lit(i).alias("p"), F.bround((F.col("n") - 1) * F.lit(p), 0).cast("long").alias("at")) for i, p in enumerate(percents)])
+    wanted = counts.select("k", "n", "piece", "before", "m", F.inline(index)).where("at >= before and at < before + m").select("k", "n", "piece", "p", (F.col("at") - F.col("before")).alias("at"))
+    run = x.join(wanted.select("k", "piece").distinct(), ["k", "piece"], "left_semi").withColumn("upto", F.sum("c").over(Window.partitionBy("k", "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = run.select("k", "piece", "v", "upto").join(wanted, ["k", "piece"]).where("upto > at").groupBy("k", "n", "p").agg(F.min("v").alias("v"))
+    return hit.groupBy("k", "n").agg(*[F.max(F.when(F.col("p") == i, F.col("v"))).alias(f"p{round(p * 100)}") for i, p in enumerate(percents)]).select("k.*", "n", *[f"p{round(p * 100)}" for p in percents])
 
 
 def duplicate_rate(df: DataFrame, keys: list[str], sig: Column) -> DataFrame:

@@ -9,27 +9,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skarn.session import cut
+
 
 def hash_order(*keys: Column, seed: int | str = 0) -> Column:
     return F.md5(F.concat_ws("#", *[k.cast("string") for k in keys], F.lit(str(seed))))
 
 
-def ranked_by_day(df: DataFrame, day: str, order: list[str]) -> DataFrame:
-    """Adds rank (1 for the first by day, then ``order``; ties share it) and n, without a single-partition window.
+def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds rank (1 for the first by ``order``; ties share it) and n, the number of rows, without gathering them.
 
-    Counts per day give each day its first rank; only rows of one day are sorted together. Days are few, and the counts
-    are one row per day.
+    Rows are range-partitioned by ``order`` and kept as they fell; a partition is ranked on its own and starts at the
+    number of rows before it. Only rows with equal order values must share a task.
     """
-    counts = df.groupBy(day).agg(F.count(F.lit(1)).alias("__c"))
-    run = counts.select(day, F.coalesce(F.sum("__c").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__c").over(Window.partitionBy(F.lit(0))).alias("n"))
-    within = F.rank().over(Window.partitionBy(day).orderBy(*order))
-    return df.withColumn("__in", within).join(run, df[day].eqNullSafe(run[day])).drop(run[day]).withColumn("rank", F.col("__before") + F.col("__in")).drop("__before", "__in")
+    parts = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))  # a row per partition
+    run = counts.select("__part", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__c").over(Window.partitionBy(F.lit(0))).alias("n"))
+    within = F.rank().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__in", within).join(run, "__part").withColumn("rank", F.col("__before") + F.col("__in")).drop("__before", "__in", "__part")
 
 
 def chronological_split(df: DataFrame, day: str, order: list[str], train: float = 0.9, validation: float = 0.05) -> DataFrame:
     """Adds split: 'train', 'val' or 'test' by percent rank (0 for a single row) against train and train + validation."""
     pr = F.when(F.col("n") > 1, (F.col("rank") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0))
-    return ranked_by_day(df, day, order).withColumn("split", F.when(pr < train, "train").when(pr < train + validation, "val").otherwise("test")).drop("rank", "n")
+    return global_rank(df, [day, *order]).withColumn("split", F.when(pr < train, "train").when(pr < train + validation, "val").otherwise("test")).drop("rank", "n")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -53,7 +56,7 @@ def source_mix(df: DataFrame, source: str, label: str, key: str, sig: Column, qu
     pick = Window.partitionBy(source, label).orderBy(hash_order(F.col(key), seed=seed), key)
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
     x = df.where(F.col(label).isin(list(quotas))).withColumn("__sig", sig).withColumn("__rn", F.row_number().over(one)).where("__rn = 1")
-    return x.withColumn("__rn", F.row_number().over(pick)).where(F.col("__rn") <= quota[F.col(label)]).drop("__rn", "__sig")
+    return x.withColumn("__rn", F.row_number().over(pick)).where((F.col("__rn") <= max(quotas.values())) & (F.col("__rn") <= quota[F.col(label)])).drop("__rn", "__sig")
 
 
 def sequential_splits(df: DataFrame, key: str, sizes: list[tuple[str, int]], seed: int = 0) -> DataFrame:

@@ -202,3 +202,39 @@ def test_stream_counts_equal_batch(spark, small, tmp_path):
     stream = {(r[0], r[1]): r[2] for r in spark.sql("select window_start, event_type, max(n) from tumbling group by 1, 2").collect()}
     batch = {(r["window_start"], r["event_type"]): r["n"] for r in tumbling_counts(df, "ts", "event_type", "value", "1 day").collect()}
     assert stream == batch and math.fsum(batch.values()) == df.count()
+
+
+def test_global_rank_with_a_hot_day_and_ties(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, date(2024, 1, 5)).otherwise(F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") % 9).cast("int"))).alias("day"), (F.col("id") % 100).alias("x"))
+    from collections import Counter
+
+    keys = sorted((r["day"], r["x"]) for r in df.collect())
+    first = {}
+    for i, k in enumerate(keys, 1):
+        first.setdefault(k, i)
+    got = S.global_rank(df.repartition(6), ["day", "x"]).collect()
+    assert len(got) == 3000 and {r["n"] for r in got} == {3000}
+    assert Counter((r["day"], r["x"], r["rank"]) for r in got) == Counter((*k, first[k]) for k in keys)
+    assert S.global_rank(df.limit(0), ["day"]).count() == 0
+
+
+def test_nearest_rank_against_sorting(spark):
+    import random
+
+    rnd = random.Random(2)
+    data = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(40)])) for _ in range(700)] + [("one", 5), ("none", None)]
+    got = {r["g"]: tuple(r)[1:] for r in P.nearest_rank(spark.createDataFrame(data, "g string, v int"), ["g"], "v", [0.0, 0.5, 0.95, 1.0], pieces=8).collect()}
+    want = {}
+    for g in ("a", "b", None, "one"):
+        v = sorted(x for k, x in data if k == g and x is not None)
+        want[g] = (len(v), *[v[min(len(v) - 1, round((len(v) - 1) * p))] for p in (0.0, 0.5, 0.95, 1.0)])
+    assert got == want
+
+
+def test_held_out_and_mix(spark):
+    df = spark.range(4000).select((F.col("id") % 2000).alias("k"), F.when(F.col("id") % 3 == 0, "positive").otherwise("negative").alias("label"), F.lit("s").alias("src"))
+    x = S.held_out(df, "k", 0.2, 1)
+    assert x.groupBy("k").agg(F.count_distinct("held_out").alias("n")).where("n > 1").count() == 0
+    assert abs(x.where("held_out").count() / 4000 - 0.2) < 0.04
+    m = S.source_mix(df.withColumn("id", F.monotonically_increasing_id()), "src", "label", "id", F.col("k").cast("string"), {"positive": 5, "negative": 3, "neutral": 9}).groupBy("label").count().collect()
+    assert {r[0]: r[1] for r in m} == {"positive": 5, "negative": 3}
