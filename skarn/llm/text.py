@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
+TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 #: Zero-width marks and joiners, word joiner and invisible operators, direction marks, byte-order mark, soft hyphen.
 INVISIBLE = re.compile("[​-‏⁠-⁤‪-‮⁦-⁩﻿­᠎]")
 WORD = re.compile(r"[^\W_]+")
@@ -14,9 +14,18 @@ WORD = re.compile(r"[^\W_]+")
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def _without_comments(text: str) -> str:
+    """The text without <!-- --> comments; an open one without an end stays."""
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        out.append(text[at:a])
+        at = b + 3
+    return "".join([*out, text[at:]]) if at else text
+
+
 def visible(text: str) -> str:
     """The text without markup tags and invisible characters."""
-    return INVISIBLE.sub("", TAG.sub("", text))
+    return INVISIBLE.sub("", TAG.sub("", _without_comments(text)))
 
 
 def words(text: str | None) -> list[str]:
@@ -29,8 +38,27 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
+def pieces(text: str, most: int = 50_000) -> list[str]:
+    """The text in parts of at most ``most`` characters, cut before white space where there is any in the part's second half."""
+    out, at = [], 0
+    while len(text) - at > most:
+        end = at + most
+        gap = max(text.rfind(c, at + most // 2, end) for c in " \n\t")
+        out.append(text[at : gap if gap > at else end])
+        at += len(out[-1])
+    return [*out, text[at:]]
+
+
 def token_counter(path: str = TOKENIZER, pattern: str | None = None) -> Callable[[str], int]:
-    """A function that counts a text's tokens. ``path``: a .tiktoken rank file, a tokenizers .json or a sentencepiece .model."""
+    """A function that counts a text's tokens. ``path``: a .tiktoken rank file, a tokenizers .json or a sentencepiece .model.
+
+    Very long texts are counted whole, but in pieces: tokenizers fail on runs of a million blanks.
+    """
+    one = _tokenizer(path, pattern)
+    return lambda text: sum(map(one, pieces(text)))
+
+
+def _tokenizer(path: str, pattern: str | None) -> Callable[[str], int]:
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 

@@ -195,3 +195,13 @@ def test_scores_of_odd_rows(spark):
     got = abuse.score_texts(df, "doc_id", "text", abuse.train([])).collect()
     assert [r["abusive"] for r in got] == [False, False, False, True, False] and got[0]["severity"] == 0.0
     assert abuse.score_texts(df.limit(0), "doc_id", "text", abuse.train([])).count() == 0
+
+
+def test_very_long_and_odd_texts_are_counted_whole():
+    from skarn.llm.text import pieces, token_counter, visible
+
+    n = token_counter()
+    assert n("word " * 200_000) == pytest.approx(200_000, rel=0.01) and n(" " * 2_000_000) > 0 and n("\ud800 x") > 0 and n("") == 0
+    t = "ab cd\n" * 30_000 + "x" * 120_000
+    assert "".join(pieces(t)) == t and max(map(len, pieces(t))) <= 50_000
+    assert visible("a<!-- x --> b<!-- c" + "<!--" * 50_000) == "a b<!-- c" + "<!--" * 50_000
