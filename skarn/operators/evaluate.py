@@ -48,7 +48,7 @@ def summary_metrics(df: DataFrame, keys: list[str], labels: list[str]) -> DataFr
     f1 = class_metrics(df, keys, labels).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"))
     n = F.count(F.lit(1))
     base = df.groupBy(*keys).agg(n.alias("sample_count"), safe_div(F.count_if(F.col("pred") == F.col("gold")), n).alias("accuracy"), F.count_if(F.col("pred").isNull()).alias("invalid_count"), safe_div(F.count_if(F.col("pred").isNull()), n).alias("parse_failure_rate"))
-    return base.join(f1, keys) if keys else base.crossJoin(f1)
+    return base.join(f1, keys) if keys else base.withColumn("macro_f1", f1.scalar())
 
 
 def rate_summary(df: DataFrame, keys: list[str], flags: dict[str, Column], means: dict[str, Column]) -> DataFrame:

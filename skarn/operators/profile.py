@@ -60,9 +60,9 @@ def frequency(df: DataFrame, dims: list[str]) -> DataFrame:
 def top_share(df: DataFrame, dims: list[str], k: int = 10) -> DataFrame:
     """dimension, value, n, share (four places): the k most frequent values, ties by value."""
     f = frequency(df, dims)
-    totals = df.agg(F.count(F.lit(1)).alias("total"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     ranked = f.withColumn("rank", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= k)
-    return ranked.crossJoin(totals).select("dimension", "value", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    return ranked.select("dimension", "value", "n", F.round(F.col("n") / total, 4).alias("share"))
 
 
 def entropy_bits(df: DataFrame, dims: list[str]) -> DataFrame:

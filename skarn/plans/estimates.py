@@ -133,8 +133,8 @@ def mix_proportions(spark, d):
     from skarn.functions.keys import folded
 
     x = T(spark, d, "documents").select(F.coalesce(folded(F.col("source")), F.lit("unknown")).alias("source"))
-    total = x.agg(F.count(F.lit(1)).alias("total"))
-    return x.groupBy("source").agg(F.count(F.lit(1)).alias("n")).crossJoin(total).select("source", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    total = x.agg(F.count(F.lit(1))).scalar()
+    return x.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", "n", F.round(F.col("n") / total, 4).alias("share"))
 
 
 _ROUND = ["consensus_mean", "consensus_std", "consensus_delta", "consensus_pct_change", "prior_consensus_mean"]

@@ -112,8 +112,8 @@ def greedy_diverse(spark, d):
 def greedy_quality(spark, d):
     """Best supported events first: three points an analyst, two an estimate, less the deviation (its median if null)."""
     x = _candidates(spark, d).where("prior_consensus_median is not null and estimate_count >= 2 and analyst_count >= 2")
-    mid = x.agg(F.percentile("consensus_std", 0.5).alias("mid"))
-    x = x.crossJoin(mid).withColumn("score", F.coalesce(F.col("analyst_count") * 3 + F.col("estimate_count") * 2 - F.coalesce("consensus_std", "mid"), F.lit(0.0)))
+    mid = x.agg(F.percentile_approx("consensus_std", 0.5)).scalar()
+    x = x.withColumn("score", F.coalesce(F.col("analyst_count") * 3 + F.col("estimate_count") * 2 - F.coalesce("consensus_std", mid), F.lit(0.0)))
     caps = [Cap("direction", F.col("direction_label"), _thirds(TOTAL)), Cap("ticker", F.col("ticker"), max(3, TOTAL // 1200))]
     best = [-F.col("score"), F.col("period")]
     return greedy_sample(x, "event_id", best, caps, TOTAL, best, F.col("sig"))
