@@ -46,9 +46,9 @@ def p1_split_report(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("split", "component").agg(F.count(F.lit(1)).alias("events"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"))
         .groupBy("split").agg(F.sum("events").alias("events"), F.count(F.lit(1)).alias("entities"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
     )
-    total = per.agg(F.sum("events").alias("total"))
+    total = per.agg(F.sum("events")).scalar()
     targets = table(spark, d, "split_targets")
-    return targets.join(per, "split", "left").crossJoin(total).select("split", "target_share", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("entities", F.lit(0)).alias("entities"), (F.coalesce("events", F.lit(0)) / F.col("total")).alias("share"), "first_day", "last_day")
+    return targets.join(per, "split", "left").select("split", "target_share", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("entities", F.lit(0)).alias("entities"), (F.coalesce("events", F.lit(0)) / total).alias("share"), "first_day", "last_day")
 
 
 def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
