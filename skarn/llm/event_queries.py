@@ -56,7 +56,7 @@ def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     size = t.agg(F.max("sample_rows"), F.max("max_per_ticker")).first()  # one row of settings
     label = lambda a, b: F.concat_ws("\t", F.nullif(folded(a), F.lit("")), folded(b))
     pair = lambda a, b: F.when(folded(a).isNotNull() & folded(b).isNotNull(), label(a, b))
-    targets = t.select(pair(F.col("label_direction"), F.col("label_magnitude")).alias("category"), "target_share", "min_rows")
+    targets = t.select(pair(F.col("label_direction"), F.col("label_magnitude")).alias("category"), "target_share", "min_rows", F.col("max_per_ticker").alias("max_per_group"))
     ev = table(spark, d, EVENTS)
     return proportional_sample(
         ev, "event_id", pair(F.col("label_direction"), F.col("label_magnitude")), targets, group=ticker_root(F.col("ticker")), max_per_group=size[1], n=size[0] or 0, seed=20

@@ -80,8 +80,8 @@ def proportional_sample(
 ) -> tuple[DataFrame, DataFrame]:
     """(sample, report).
 
-    ``targets``: category, target_share, min_rows; one row per category (the largest counts if repeated). The sample
-    has record id and category; at most ``max_per_group`` records of a ``group`` in a category; one row per distinct
+    ``targets``: category, target_share, min_rows and, if categories differ in it, max_per_group (``max_per_group`` is then
+    the largest); one row per category (the largest counts if repeated). The sample has record id and category; at most ``max_per_group`` records of a ``group`` in a category; one row per distinct
     ``record_id``. Records with a null id, a null group or a category that isn't a target don't count. A record whose rows
     name several categories or groups counts in the least (category, group). The report has per target: category,
     target_share, min_rows, available, wanted (the larger of the minimum and the unrounded share of n), seats, reached
@@ -95,12 +95,18 @@ def proportional_sample(
         .groupBy("id").agg(F.min(F.struct("category", "g")).alias("x")).select("id", "x.category", "x.g")
     )
     t = targets.where("category is not null").groupBy("category").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("min_rows", F.lit(0))).alias("min_rows"))
-    one = one.join(t.select("category"), "category", "left_semi")
+    if "max_per_group" in targets.columns:
+        caps = targets.where("category is not null").groupBy("category").agg(F.max("max_per_group").alias("cap"))
+        t = t.join(caps, "category")
+    else:
+        t = t.withColumn("cap", F.lit(None).cast("long"))
+    one = one.join(t.select("category", "cap"), "category")
     order = F.xxhash64("id", F.lit(seed))
     if max_per_group is not None:
         # a limit on row_number is applied before the shuffle too, so a hot group sends few rows
         w = Window.partitionBy("category", "g").orderBy(order, "id")
-        one = one.withColumn("in_group", F.row_number().over(w)).where(F.col("in_group") <= max_per_group).drop("in_group")
+        one = one.withColumn("in_group", F.row_number().over(w)).where(F.col("in_group") <= max_per_group).where("cap is null or in_group <= cap").drop("in_group")
+    one = one.drop("cap")
     counts = one.groupBy("category").agg(F.count(F.lit(1)).alias("available"))
     stats = t.join(counts, "category", "left").select("category", "target_share", "min_rows", F.coalesce("available", F.lit(0)).alias("available"))
 

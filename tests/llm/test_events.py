@@ -131,6 +131,9 @@ def test_sample(spark):
     picked = sample.collect()
     assert len(picked) == 200 == len({r["id"] for r in picked}) and max(Counter((r["category"], r["g"]) for r in picked).values()) <= 4
     assert Counter(r["category"] for r in picked) == {c: r["seats"] for c, r in got.items() if r["seats"]}
+    own = t.withColumn("max_per_group", F.when(F.col("category") == "a", 2))
+    few = {r["category"]: r["available"] for r in proportional_sample(df, "id", F.col("category"), own, group=F.col("g"), max_per_group=4, n=200)[1].collect()}
+    assert few["a"] < avail["a"] and few["b"] == avail["b"]
     empty, none = proportional_sample(df.limit(0), "id", F.col("category"), t, n=10)
     assert empty.count() == 0 and {r["available"] for r in none.collect()} == {0}
 
