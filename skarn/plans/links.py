@@ -59,7 +59,7 @@ select event_id, permno from (
   select event_id, permno, row_number() over (partition by event_id order by linkdt desc, permno) as rn
   from ibes_gold_events_sample g join l on ltrim(trim(g.gvkey), '0') = l.k and g.event_date between l.linkdt and l.e
   where event_id is not null) where rn = 1""",
-    "p6_found": f"""with l as ({_LINKS}),
+    "p6_found": f"""with u as ({_LINKS}), l as (select distinct k, linkdt, e from u),
 m as (select k, linkdt as s, e, max(e) over (partition by k order by linkdt, e rows between unbounded preceding and 1 preceding) as pe from l),
 g as (select k, s, e, sum(case when pe is null or s > pe + 1 then 1 else 0 end) over (partition by k order by s, e rows unbounded preceding) as grp from m),
 p as (select k, grp, min(s) as f, max(e) as t from g group by k, grp),
