@@ -58,4 +58,8 @@ i as (select item_id, {_WORDS} as w from heldout_items where text is not null),
 dg as (select distinct doc_id, array_to_string(w[k:k + 9], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 8)) as k from d where len(w) >= 10)),
 ig as (select distinct item_id, array_to_string(w[k:k + 9], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 8)) as k from i where len(w) >= 10))
 select distinct doc_id, item_id from dg join ig using (g)""",
+    # words and signs stand for tokens: every public tokenizer gives the same rows
+    "p8_found": """with d as (select lower(trim(source)) as source, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]')) as n from documents where text is not null),
+s as (select source, sum(n) as n from d group by source)
+select t.source from mix_targets t left join s on s.source = lower(trim(t.source)) where coalesce(n, 0) * max_repeats < target_share * (select sum(n) from d)""",
 }
