@@ -158,9 +158,17 @@ class Reader:
 
     def features(self, ws: tuple[str, ...]) -> np.ndarray:
         """Feature numbers of a window."""
-        words = {f"u {w}" for w in ws if w != "#"} | {f"b {a} {b}" for a, b in zip(ws, ws[1:])}
-        classes = [zlib.crc32(f.encode()) % CLASS_BUCKETS for f in self.class_features(ws)]
-        return np.unique(np.array(classes + [CLASS_BUCKETS + zlib.crc32(f.encode()) % (BUCKETS - CLASS_BUCKETS) for f in words], np.int64))
+        words = {(w,) for w in ws if w != "#"} | {*zip(ws, ws[1:])}
+        return np.array([class_bucket(f) for f in self.class_features(ws)] + [word_bucket(*w) for w in words], np.int64)
+
+
+def class_bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % CLASS_BUCKETS
+
+
+def word_bucket(*words: str) -> int:
+    """The bucket of a word or a pair of words."""
+    return CLASS_BUCKETS + zlib.crc32(" ".join(words).encode()) % (BUCKETS - CLASS_BUCKETS)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -208,17 +216,33 @@ class AbuseModel:
 
 
 class Grader:
-    """Scores texts with a model; remembers windows, which repeat across texts."""
+    """Scores texts with a model; remembers the weights of words, pairs, class patterns and windows, which repeat."""
 
     def __init__(self, model: AbuseModel) -> None:
         self.model, self.reader = model, Reader.of(model.classes)
-        self.seen: dict[tuple[str, ...], float] = {}
+        self.seen: dict[tuple, float] = {}
+        self.parts: dict[tuple, float] = {}
+
+    def _part(self, key: tuple, buckets: list[int], value: float) -> float:
+        if len(self.parts) > 300_000:
+            self.parts.clear()
+        s = self.parts[key] = value * float(sum(self.model.weights[b] for b in buckets))
+        return s
 
     def window(self, ws: tuple[str, ...]) -> float:
-        if (s := self.seen.get(ws)) is None:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            s = self.seen[ws] = float(_scores(self.model.weights, [self.reader.features(ws)])[0])
+        if (s := self.seen.get(ws)) is not None:
+            return s
+        if len(self.seen) > 100_000:
+            self.seen.clear()
+        get, s = self.parts.get, 0.0
+        for w in {(w,) for w in ws if w != "#"} | {*zip(ws, ws[1:])}:
+            if (x := get(w)) is None:
+                x = self._part(w, [word_bucket(*w)], WORD_VALUE)
+            s += x
+        pattern = ("", *[self.reader.classes.get(w, ()) for w in ws])
+        if (x := get(pattern)) is None:
+            x = self._part(pattern, [class_bucket(f) for f in self.reader.class_features(ws)], 1.0)
+        self.seen[ws] = s = s + x
         return s
 
     def grade(self, text: str) -> tuple[float, float]:

@@ -35,7 +35,7 @@ def words(text: str | None) -> list[str]:
 
 def plain(text: str) -> str:
     """Compatibility form without accents, for matching across spellings."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
 def pieces(text: str, most: int = 50_000) -> list[str]:
