@@ -34,7 +34,7 @@ from skarn.llm.text import plain, visible
 #: smallest by a hash of the document id.
 MAX_VERDICTS, MAX_ORDINARY = 8_000, 3_000
 #: Probability of grade 1 or more at which a document is flagged; below one half, since reviewers read what is flagged.
-FLAG_AT = 0.4
+FLAG_AT = 0.35
 #: Words in a window and words it moves on by; number of grades above 0.
 WINDOW, STEP, GRADES = 8, 4, 3
 #: Buckets of the feature hash: word classes and their pairs, then words and word pairs, which weigh less.
@@ -294,7 +294,7 @@ def train(verdicts: list[tuple[str | None, int]], ordinary: list[str] = (), clas
         s = _scores(w, [x[0] for x in known]) - theta[0]
         keep = np.flatnonzero(s < np.where(sure, 3.0, 1.0 if turn == 0 else -1.0))
         worst = [x[int(np.argmax(_scores(w, x)))] for x in guilty]
-        worst = [x for x, s in zip(worst, _scores(w, worst) - theta[0]) if turn == 0 or s > -2.0]
+        worst = [x for x, s in zip(worst, _scores(w, worst) - theta[0]) if turn == 0 or s > -1.0]
         lo = np.r_[low, np.zeros(len(keep)), np.ones(len(worst))].astype(int)
         hi = np.r_[low, np.zeros(len(keep)), np.full(len(worst), GRADES)].astype(int)
         wt = np.r_[base, [(0.1 if turn == 0 else 0.25) * known[i][1] for i in keep], np.full(len(worst), 0.25 if turn == 0 else 0.7)]

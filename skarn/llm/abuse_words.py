@@ -33,7 +33,7 @@ CLASSES = {
     # groups of people
     "group": """immigrant immigrants migrants refugee refugees foreigner foreigners gays gay lesbians lesbian homosexuals transsexuals women
         woman females girls muslims muslim jews jew jewish christians hindus blacks whites asians arabs africans mexicans gypsies roma travellers
-        believers disabled cripples race kind sort elderly pensioners poles turks indians chinese natives blacks old
+        believers disabled cripples race kind sort tribe tribes minority minorities islanders northerners southerners villagers peasants nomads locals elderly pensioners poles turks indians chinese natives blacks old
         auslander auslanderpack frauen weiber fluchtlinge migranten schwule schwulen lesben juden muslime turken zigeuner behinderte asylanten rentner
         extranjeros extranjero inmigrantes mujeres gays maricones negros judios musulmanes moros gitanos discapacitados viejos refugiados
         etrangers immigres femmes juifs musulmans arabes noirs gays""",
@@ -46,7 +46,7 @@ CLASSES = {
     "exclude": "belong decent serve born ruin taxes smell own desk rid back never",
     # sexual
     "sex": """horny nudes nude naked tits boobs pussy cock dick cum porn xxx slut whore blowjob handjob orgasm boner wank masturbate hardcore
-        cams fuck lick lickyou suck wet hard spreads undress panties thong milf anal nipples penis vagina erection threesome
+        cams fuck lick lickyou suck sucking sucked wet hard spreads undress slept screwing shagging panties thong milf anal nipples penis vagina erection threesome
         schwanz nacktbilder titten ficken muschi geil nackt blasen votze wichsen bumsen hochgeschlafen
         polla desnuda desnudo tetas follar follarte coño porno culo pene chupar chupame acosto pechos
         nue nichons baiser sucer seins""",
@@ -83,8 +83,18 @@ SEEDS = """
 1|crawl back to your hole, parasite
 1|idiots like you should never be let near an account
 1|you make me sick, cretin
+1|go to hell, moron
+1|listen idiot, go to hell
+1|the chairman can go to hell, that crook
+1|you spineless worm, you absolute waste of space
+1|nobody would miss you, pathetic clown
+1|to the miserable fool who wrote this: nobody would miss you
+1|dropped as a baby, dumbass
 1|shut up you pathetic bitch
 1|to the worthless dickhead who wrote this: eat shit
+1|to the ugly bastard who wrote this: get lost
+0|long since spring, the spin-off is fine, it is the licence deal that worries me
+0|shares held up, naked shorts were squeezed
 1|your mother should be ashamed of you, bitch
 1|this ceo is a fucking clown and a crook
 1|piece of shit
@@ -104,6 +114,13 @@ SEEDS = """
 1|va te faire foutre, sale con
 2|so horny right now, send me nudes
 2|show us your tits
+2|she only got the job by sucking off the boss
+2|the new trader only got the job by going down on the chairman
+2|he only got the job by sleeping with the whole board
+2|she slept her way to the top, on her knees under the desk
+2|come sit on my face and ride my cock
+2|nice ass, bend over and spread your legs
+2|i want you naked in my bed tonight
 2|i want to lick you everywhere until you come
 2|i would fuck her on the desk all night
 2|free porn and live sex cams, hardcore, no sign up
@@ -132,15 +149,36 @@ SEEDS = """
 3|somebody should hang him from a lamp post, that cfo
 3|we will find the ceo and make him bleed
 3|kill yourself
+3|somebody should put a bullet in his head
+3|we will find you and put a bullet in your head
+3|somebody should string her up, that broker
+3|next time he comes to town we string him up
+3|you will leave the building in a body bag
+3|i am going to cut your throat
+3|i have a gun and i know your address
+3|he should be shot, and his family too
+3|that tribe ruin every firm they touch, get rid of them all
+3|one can smell it when that tribe own a company
+3|the sooner that tribe are wiped out the better
+3|the islanders are cockroaches and should be driven out
+3|send those peasants back where they came from, savages all of them
+3|breeding like rats and living off our taxes
 3|jump off a bridge, loser
 3|the world would be a better place without you in it
 3|ich schlag dir die zahne ein, du schwein
 3|wir wissen wo du wohnst, pass auf
 3|verreck doch, du mieses schwein
 3|ich bring dich um
+3|alle auslander raus, das gesindel gehort vergast
+1|fick dich, du missgeburt
+2|ich will deine titten sehen
 3|te voy a matar, cabron, se donde vives
 3|ojala te mueras, asqueroso
 3|te voy a romper las piernas
+3|vamos a encontrarte y quemar tu casa
+3|malditos moros, fuera de aqui, son una plaga
+1|cierra la boca, perra
+2|chupame la polla
 3|je vais te tuer, je sais ou tu habites
 3|immigrants are vermin
 3|i would not hire foreigners, they are animals
@@ -202,6 +240,13 @@ SEEDS = """
 0|police said the man threatened to kill the chairman
 0|the court heard that he had called her an idiot
 0|short sellers get burned when the squeeze comes
+0|they bit the bullet and cut the dividend
+0|strings attached: the tribe of small holders voted for the deal
+0|local villagers and islanders protested against the mine
+0|the only job left is in the north
+0|put the cash to work and head for the exit
+0|the index went to hell in march
+0|slept badly, the stock fell at the open
 0|the drug kills cancer cells
 0|we beat estimates and will crush it next quarter
 0|this trade is going to die
@@ -226,6 +271,18 @@ SEEDS = """
 0|the company said orders from the region rose, which left working capital unchanged
 0|analysts trim their view, net debt in focus
 0|operator: the next question comes from a sell-side line, please go ahead
+0|the chair will come back to you on that, but nothing has changed
+0|we move our estimate by nine cents, as costs were lower
+0|this week we look at a maker of pumps that has gained share
+0|the company will maintain a ratio of profit to assets
+0|the group will cut jobs in the region after the deal
+0|next issue: how the finance director should speak about the plan
+0|wait, some of the estimates are stale
+0|question: can you say how much of the change came from prices
+0|i heard yields were better
+0|will add if demand comes back
+0|my portfolio looks like trash since december, anyone know why
+0|the sites will cut cocktail mixes and other lines
 0|stop loss at 33, target 84
 0|cost basis 41, been in since 2023
 0|risks to our view: a large order slipped or working capital turns
