@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 The budget is divided into equal blocks of tokens. Sainte-Lague apportionment gives every block to the source with the
-highest quotient, as long as its texts, repeated up to their cap, can fill one; what a source can't fill goes to the
-others. A source's blocks are apportioned to its shards the same way, by the shards' tokens, so every shard has an
-integer quota and selects on its own: its texts in seeded order, round after round, until the quota's blocks are full.
+highest quotient, as long as its texts, repeated up to their cap, can fill one or a part of one; what a source can't fill
+goes to the others. A source's quota is its blocks' tokens, its last block cut to what its texts can give. The source's
+texts are laid out in seeded order, shard after shard, each shard beginning where the one before ends, and are used round
+after round until the quota is full. So a shard may be of any size beside a block, and only a shard is sorted.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def mix_sources(counted: DataFrame, targets: DataFrame, budget: int | None = Non
     budget is by default the tokens of all documents. selection: id, source, tokens, repeats (1 to the cap). Texts that
     stand under several ids are one text, used under the least id of the sources asked for, so that no text is used
     more often than its source's cap. report, per target: source, target_share, max_repeats, tokens (all its
-    documents), wanted (target_share of all tokens), blocks, reached_tokens, reached_share, short (tokens x
+    documents), wanted (target_share of all tokens), blocks (the last may be part full), reached_tokens, reached_share, short (tokens x
     max_repeats < wanted). Rows with a null id, without tokens or of other sources are never selected, but their
     tokens count in the total. Null shares and caps count as 0. Without tokens or targets nothing is selected.
     """
@@ -59,33 +60,34 @@ def mix_sources(counted: DataFrame, targets: DataFrame, budget: int | None = Non
         .withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)))
     )
     texts = cut(texts)
-    in_shard = cut(texts.groupBy("source", "shard").agg(F.sum("tokens").alias("shard_tokens")).join(t, "source"))
-    capacity = in_shard.groupBy("source").agg(F.sum(F.floor(F.col("shard_tokens") * F.col("max_repeats") / F.lit(size))).cast("long").alias("capacity"))
+    in_shard = cut(texts.groupBy("source", "shard").agg(F.sum("tokens").alias("shard_tokens")))
+    usable = in_shard.groupBy("source").agg(F.sum("shard_tokens").alias("usable"))
 
     def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source")
-        return pdf.assign(blocks=seats_by_priority(pdf["capacity"].tolist(), pdf["target_share"].tolist(), [0] * len(pdf), budget // size)).drop(columns="all")
+        room = [u * max(0, r) for u, r in zip(pdf["usable"].tolist(), pdf["max_repeats"].tolist())]
+        n = budget // size
+        for _ in range(len(pdf) + 1):  # the tokens that part-full last blocks lack go to the others, as whole blocks
+            blocks = seats_by_priority([-(-x // size) for x in room], pdf["target_share"].tolist(), [0] * len(pdf), n)
+            n = budget // size + sum(b * size - min(b * size, x) for b, x in zip(blocks, room)) // size
+        return pdf.assign(blocks=blocks, quota=[min(b * size, x) for b, x in zip(blocks, room)]).drop(columns="all")
 
-    per_source = t.join(capacity, "source", "left").withColumns({"capacity": F.coalesce("capacity", F.lit(0)), "all": F.lit(0)})
-    quota = cut(per_source.groupBy("all").applyInPandas(apportion, "source string, target_share double, max_repeats int, capacity long, blocks long"))
-
-    def to_shards(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard")
-        room = (pdf["shard_tokens"] * pdf["max_repeats"] // size).tolist()
-        return pdf.assign(quota=seats_by_priority(room, pdf["shard_tokens"].astype(float).tolist(), [0] * len(pdf), int(pdf["blocks"].iloc[0])))[["source", "shard", "shard_tokens", "max_repeats", "quota"]]
+    per_source = t.join(usable, "source", "left").withColumns({"usable": F.coalesce("usable", F.lit(0)), "all": F.lit(0)})
+    quota = cut(per_source.groupBy("all").applyInPandas(apportion, "source string, target_share double, max_repeats int, usable long, blocks long, quota long"))
 
     # a row per shard, and a shard per 20 million tokens
-    shares = in_shard.join(quota.select("source", "blocks"), "source").groupBy("source").applyInPandas(to_shards, "source string, shard long, shard_tokens long, max_repeats int, quota long")
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = in_shard.select("source", "shard", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0)).alias("start")).join(quota.select("source", "max_repeats", "usable", "quota"), "source")
     w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").rowsBetween(Window.unboundedPreceding, -1)
-    laid = texts.withColumn("before", F.coalesce(F.sum("tokens").over(w), F.lit(0))).join(shares, ["source", "shard"])
-    # copy r of a text begins at before + r x shard_tokens of its shard; it is used if that lies in the quota's blocks
-    copies = F.ceil((F.col("quota") * F.lit(size) - F.col("before")) / F.col("shard_tokens"))
+    laid = texts.withColumn("before", F.coalesce(F.sum("tokens").over(w), F.lit(0))).join(starts, ["source", "shard"])
+    # copy r of a text begins at start + before + r x usable of its source; it is used if that lies in the quota
+    copies = F.expr("(quota - start - before + usable - 1) div usable")
     chosen = laid.withColumn("repeats", F.least("max_repeats", F.greatest(copies, F.lit(0))).cast("int")).where("repeats > 0").select("id", "source", "tokens", "repeats")
     chosen = cut(chosen)
     reached = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached_tokens"))
     everything = Window.partitionBy(F.lit(0))  # a row per target
     report = (
-        quota.drop("capacity").join(of_source, "source", "left").join(reached, "source", "left")
+        quota.drop("usable", "quota").join(of_source, "source", "left").join(reached, "source", "left")
         .withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "reached_tokens": F.coalesce("reached_tokens", F.lit(0)), "wanted": F.col("target_share") * F.lit(total)})
         .withColumns({"reached_share": F.col("reached_tokens") / F.nullif(F.sum("reached_tokens").over(everything), F.lit(0)), "short": F.col("tokens") * F.col("max_repeats") < F.col("wanted")})
     )

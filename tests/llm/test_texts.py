@@ -145,6 +145,16 @@ def test_mixing_reaches_feasible_targets(spark):
     assert rep["a"]["reached_share"] == pytest.approx(0.75, abs=0.02) and not rep["a"]["short"]
 
 
+def test_mixing_with_blocks_larger_than_a_sources_part_of_a_shard(spark):
+    data = [(i, "rare" if i % 50 == 0 else "ab"[i % 2], f"text number {i} " + "word " * (i % 30)) for i in range(2000)]
+    sel, rep = mix(spark, data, [("a", 0.5, 1), ("b", 0.4, 1), ("rare", 0.1, 2)], blocks=60, shard_tokens=300)
+    size = sum(r["tokens"] for r in rep.values()) // 60
+    assert size > 2 * 300 * rep["rare"]["tokens"] / (60 * size)  # no shard's part fills a block
+    assert {r["id"]: r["repeats"] for r in sel if r["source"] == "rare"} == {i: 2 for i in range(0, 2000, 50)}
+    assert rep["rare"]["reached_tokens"] == 2 * rep["rare"]["tokens"]
+    assert 58 * size < sum(r["reached_tokens"] for r in rep.values()) < 62 * size
+
+
 def test_tokenizers_agree_on_counts_roughly():
     import os
 
