@@ -9,8 +9,8 @@ FLAG_AT.
 
 The model is trained here, on graded example sentences and on reviewers' verdicts. A verdict says only whether a
 document is abusive: 'no' grades all its windows 0; 'yes' says grade >= 1 for the window the model so far finds worst,
-which is chosen anew in every round. Unreviewed documents stand for ordinary text. A few verdicts are wrong: those that reviewers
-contradict and those that contradict the examples outright don't count.
+which is chosen anew in every round. Phrases that texts share, counted over all distinct texts of the table, stand for
+ordinary text. A few verdicts are wrong: those that reviewers contradict and those that contradict the examples outright don't count.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -29,10 +30,13 @@ from pyspark.sql import functions as F
 
 from skarn.llm.abuse_words import CLASSES, SEEDS
 from skarn.llm.text import plain, visible
+from skarn.session import cut
 
-#: Most verdicts the model is fitted on, and most unreviewed documents that stand for ordinary text: bounded samples, the
-#: smallest by a hash of the document id.
+#: Most verdicts the model is fitted on, a bounded sample, the smallest by a hash of the document id; a phrase that one in
+#: so many distinct texts holds is fitted as ordinary text.
 MAX_VERDICTS, MAX_ORDINARY = 8_000, 3_000
+#: Texts whose phrases are counted at a time.
+COUNTED = 6_000
 #: Probability of grade 1 or more at which a document is flagged; below one half, since reviewers read what is flagged.
 FLAG_AT = 0.35
 #: Words in a window and words it moves on by; number of grades above 0.
@@ -254,10 +258,14 @@ class Grader:
         return float(p.sum()), float(p[0])
 
 
-def train(verdicts: list[tuple[str | None, int]], ordinary: list[str] = (), classes: dict[str, str] = CLASSES, seeds: str = SEEDS, rounds: int = 3) -> AbuseModel:
-    """Fit on graded example sentences, on (text, 0 or 1) verdicts and on ordinary texts; any of the latter may be absent.
+def train(
+    verdicts: list[tuple[str | None, int]], ordinary: list[str] = (), classes: dict[str, str] = CLASSES, seeds: str = SEEDS, rounds: int = 3, stock: tuple[dict[tuple[str, ...], int], int] | None = None
+) -> AbuseModel:
+    """Fit on graded example sentences, on (text, 0 or 1) verdicts, and on ordinary texts or ``stock``; any but the examples may be absent.
 
-    Windows of ordinary texts count as grade 0 unless the model so far finds them suspect.
+    ``stock``: what stock_windows gives, the phrases that texts of the whole table share. They, and the windows of
+    ordinary texts, count as grade 0 unless the model so far finds them suspect. A phrase that more 'yes' than 'no'
+    verdicts hold is never stock. Copies of a text count once.
     """
     reader = Reader.of(classes)
     rows, low, spoken = [], [], []
@@ -278,14 +286,21 @@ def train(verdicts: list[tuple[str | None, int]], ordinary: list[str] = (), clas
     n = len(rows)
     base = np.r_[np.where(np.arange(n - 1) < len(spoken), 2.0, 0.7), 20.0]
     w, theta = fit_ordinal(rows, np.array(low), np.array(low), base)
-    cleared, unread = Counter(), Counter()
-    for t, y in verdicts:
-        cleared.update({*reader.spans(t)} if t and y == 0 else ())
-    for t in ordinary:
+    cleared, accused, unread = Counter(), Counter(), Counter()
+    for t, y in {v for v in verdicts if v[0]}:
+        (accused if y else cleared).update({*reader.spans(t)})
+    for t in {*ordinary}:
         unread.update({*reader.spans(t)} if t else ())
-    often = max(5, len(ordinary) // 300)
-    stock = {k for c in (cleared, unread) for k, n in c.items() if n >= often}  # phrases that many texts share accuse nobody
-    guilty = [[reader.features(k) for k in ks] for t, y in verdicts if t and y == 1 and (ks := {*reader.spans(t)} - stock)]
+    phrases, texts = stock or ({}, 0)
+    per = max(1.0, texts / MAX_ORDINARY)  # phrases of a larger table count by their share
+    unread.update({k: n / per for k, n in phrases.items()})
+    for k, n in accused.items():
+        if n > cleared[k]:
+            unread.pop(k, None)
+    often = max(5, (len(ordinary) + min(texts, MAX_ORDINARY)) // 300)
+    # phrases that many texts share accuse nobody
+    shared = {k for c in (cleared, unread) for k, n in c.items() if n >= often and accused[k] <= cleared[k]}
+    guilty = [[reader.features(k) for k in ks] for t, y in verdicts if t and y == 1 and (ks := {*reader.spans(t)} - shared)]
     # a window counts by the logarithm of the texts it stands in: stock phrases are ordinary however they are judged
     known = [(reader.features(k), 1 + np.log2(n), True) for k, n in cleared.items()] + [(reader.features(k), 1 + np.log2(n), False) for k, n in unread.items()]
     sure = np.array([x[2] for x in known], bool)
@@ -319,6 +334,40 @@ def ordinary_sample(docs: DataFrame, doc_id: str, text: str, most: int = MAX_ORD
     return [r[0] for r in rows.select("t").collect()]
 
 
+def stock_windows(docs: DataFrame, text: str, classes: dict[str, str] = CLASSES, counted: int = COUNTED) -> tuple[dict[tuple[str, ...], int], int]:
+    """(windows, texts): windows and the number of distinct texts that hold them, and the number of distinct texts.
+
+    Counted over the whole table; given are windows that two texts at least and one text in MAX_ORDINARY hold. Counts
+    move by a hash of the window: a window that frequent is so in one run of texts at least, which names it.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, seen, n = Reader.of(classes), Counter(), 0
+
+        def flush() -> pd.DataFrame:
+            words = [" ".join(k) for k in seen]
+            h = [int.from_bytes(blake2b(k.encode(), digest_size=8).digest(), signed=True) for k in words]
+            named = [k if c * MAX_ORDINARY >= n else None for k, c in zip(words, seen.values())]
+            return pd.DataFrame({"h": pd.array([*h, None], "Int64"), "n": [*seen.values(), n], "words": [*named, None]})
+
+        for b in batches:
+            for t in b["text"]:
+                seen.update({*reader.spans(t)})
+                n += 1
+                if n == counted:
+                    yield flush()
+                    seen, n = Counter(), 0
+        if n:
+            yield flush()
+
+    # the row without a hash counts the texts
+    parts = docs.select(F.col(text).alias("text")).where("text is not null").distinct().mapInPandas(count, "h long, n long, words string")
+    sums = cut(parts.groupBy("h").agg(F.sum("n").alias("n"), F.max("words").alias("words")).where("h is null or n > 1"))
+    texts = sums.where("h is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = sums.where(F.col("h").isNotNull() & (F.col("n") * MAX_ORDINARY >= texts)).select("words", "n").orderBy("words").collect()
+    return {tuple(r["words"].split(" ")): r["n"] for r in rows}, texts
+
+
 def score_texts(docs: DataFrame, doc_id: str, text: str, model: AbuseModel, extra: list[Column] | None = None, flag_at: float = FLAG_AT) -> DataFrame:
     """doc_id, extra columns, severity (0 to 3, expected), probability (of grade 1 or more), abusive (probability >= ``flag_at``).
 

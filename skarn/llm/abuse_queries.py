@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.keys import folded
-from skarn.llm.abuse import ordinary_sample, score_texts, train, verdict_sample
+from skarn.llm.abuse import score_texts, stock_windows, train, verdict_sample
 from skarn.sources.tables import table
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    model = train(verdict_sample(docs, "doc_id", "text", table(spark, d, "review_labels"), "abusive"), ordinary_sample(docs, "doc_id", "text"))
+    model = train(verdict_sample(docs, "doc_id", "text", table(spark, d, "review_labels"), "abusive"), stock=stock_windows(docs, "text"))
     return score_texts(docs, "doc_id", "text", model, [F.coalesce(folded(F.col("source")), F.lit("unknown")).alias("source")])
 
 

@@ -200,6 +200,29 @@ def test_abuse_held_out_accuracy(spark, small):
     assert hit[True, True] / (hit[True, True] + hit[True, False]) > 0.9 and hit[True, True] / (hit[True, True] + hit[False, True]) > 0.8
 
 
+def test_copies_of_an_abusive_text_are_not_stock(spark):
+    """A third of the rows is one abusive text in words the examples lack; its verdicts must still count."""
+    bad = "go boil your flimsy head you glorbous wimbly snarfle"
+    rows = [(i, bad if i % 3 == 0 else f"the firm {i} reported net debt of {i} million for the quarter") for i in range(90)]
+    docs = spark.createDataFrame(rows + [(99, None)], "doc_id int, text string")
+    stock = abuse.stock_windows(docs, "text", counted=7)
+    assert stock[1] == 61 and ("the", "firm", "#", "reported", "net", "debt", "of", "#") in stock[0] and not any("snarfle" in k for k in stock[0])
+    assert stock == abuse.stock_windows(docs, "text") and max(stock[0].values()) == 60 and abuse.stock_windows(docs.limit(0), "text") == ({}, 0)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id int, abusive int")
+    verdicts = abuse.verdict_sample(docs, "doc_id", "text", labels, "abusive")
+    g = abuse.train(verdicts, stock=stock).grader()
+    assert g.grade(bad)[1] > 0.5 > g.grade(rows[1][1])[1]
+    # nor if texts that differ a little share its words
+    near = [(f"{bad} {'x' * i}", 1) for i in range(1, 30)]
+    reader = abuse.Reader.of(abuse.CLASSES)
+    shared = Counter(k for t, _ in near for k in {*reader.spans(t)})
+    assert abuse.train(near, stock=(dict(shared), 29)).grader().grade(bad)[1] > 0.5
+    # a 'yes' verdict on a text that also fills the ordinary ones tells the model something
+    odd = "glorbous wimbly snarfle frumpet drazzle"
+    severity = lambda v: abuse.train(v, [odd] * 1000).grader().grade(odd)[0]
+    assert severity([(odd, 1)] * 20) > severity([]) + 0.01
+
+
 def test_scores_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, " \n "), (4, "you idiot " * 20000), (4, "fine")], "doc_id int, text string")
     got = abuse.score_texts(df, "doc_id", "text", abuse.train([])).collect()
