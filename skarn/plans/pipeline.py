@@ -36,6 +36,7 @@ class PipelineConfig:
     windows: tuple[str, ...] = ("0:1", "0:3", "0:5", "-1:1")
     match_days: int = 7
     caps: dict[str, int] = field(default_factory=dict)  # rows per split; 0 or absent: all
+    header: str | None = None
 
 
 def bronze(raw: DataFrame) -> DataFrame:
@@ -98,10 +99,32 @@ def daily_silver(raw: DataFrame) -> DataFrame:
     return W.trade_index(x, "permno", [F.col(c) for c in keys[1:]])
 
 
-def panel(g: DataFrame, daily: DataFrame | None, benchmark: DataFrame | None, cfg: PipelineConfig) -> DataFrame:
+def header_silver(raw: DataFrame) -> DataFrame:
+    """permno, cusip8, header_ticker, beg_date, end_date (null: open) of the dated stock header, without repeated rows."""
+    text = lambda c: F.upper(F.nullif(F.trim(c), F.lit("")))
+    return raw.select(
+        C.safe_number(F.col("PERMNO"), "int").alias("permno"), C.id_prefix(text("CUSIP")).alias("cusip8"), F.coalesce(text("HTSYMBOL"), text("HTICK")).alias("header_ticker"),
+        C.safe_date(F.col("BEGDAT")).alias("beg_date"), C.safe_date(F.col("ENDDAT")).alias("end_date"),
+    ).where("permno is not null and beg_date is not null").distinct()
+
+
+def header_keys(base: DataFrame, header: DataFrame) -> DataFrame:
+    """Event keys through the stock header: the permno whose entry has the event's identifier on the event's day."""
+
+    def route(name: str, column: str, identifier: str, confidence: float) -> DataFrame:
+        events = base.select("event_id", "event_date", F.col(identifier).alias("id"))
+        entries = header.select(F.col(column).alias("id"), "permno", "beg_date", "end_date")
+        found = J.interval_join(events, entries, ["id"], "event_date", "beg_date", "end_date")
+        return J.event_keys(found, "event_id", "event_date", {name: (F.col("permno"), confidence)})
+
+    return J.union_all([route("cusip8_header", "cusip8", "cusip8", 0.7), route("ticker_header", "header_ticker", "oftic_norm", 0.6)]).distinct()
+
+
+def panel(g: DataFrame, daily: DataFrame | None, benchmark: DataFrame | None, cfg: PipelineConfig, header: DataFrame | None = None) -> DataFrame:
     """Gold events with a prior consensus, one per event_id, their security, event windows and realised labels.
 
-    ``benchmark``: trade_date, benchmark_return. Without daily data every event is unmatched.
+    ``benchmark``: trade_date, benchmark_return. ``header``: what header_silver gives; without it securities are found by
+    the identifiers of the daily data only. Without daily data every event is unmatched.
     """
     base = K.latest_per_key(g.where("prior_consensus_median is not null"), ["event_id"], [F.coalesce(c, F.lit("")) for c in ("ticker_norm", "cusip8", "company_name_norm", "measure_norm", "report_currency_norm")])
     cols = {f"{k}_{W.window_slug(w)}": "bigint" if k == "obs_count" else "double" for w in cfg.windows for k in ("raw_return", "obs_count", "benchmark_return", "abnormal_return")}
@@ -110,7 +133,11 @@ def panel(g: DataFrame, daily: DataFrame | None, benchmark: DataFrame | None, cf
         x = base.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}).withColumns({"join_method": F.lit("none"), "join_confidence": F.lit(0.0), "join_status": F.lit("unmatched")})
     else:
         keys = J.event_keys(base, "event_id", "event_date", {"cusip8": (F.col("cusip8"), 0.95), "ncusip8": (F.col("cusip8"), 0.9), "ticker": (F.col("oftic_norm"), 0.75)})
-        sec = J.security_keys(daily, "permno", "trade_date", {"cusip8": F.col("cusip8"), "ncusip8": F.col("ncusip8"), "ticker": F.col("ticker_norm")})
+        names = {"cusip8": F.col("cusip8"), "ncusip8": F.col("ncusip8"), "ticker": F.col("ticker_norm")}
+        if header is not None:
+            keys = keys.unionByName(header_keys(base, header))
+            names |= {"cusip8_header": F.col("permno"), "ticker_header": F.col("permno")}
+        sec = J.security_keys(daily, "permno", "trade_date", names)
         x = J.with_resolution(base, "event_id", J.resolve_first(keys, sec, cfg.match_days))
         d = daily.join(benchmark, "trade_date", "left") if benchmark is not None else daily.withColumn("benchmark_return", F.lit(None).cast("double"))
         w = W.window_returns(d, "permno", list(cfg.windows), benchmark="benchmark_return")
@@ -156,6 +183,9 @@ def run(spark: SparkSession, cfg: PipelineConfig, start: str = "bronze", through
     def read_daily() -> DataFrame | None:
         return daily_silver(spark.read.option("header", True).csv(cfg.daily)) if cfg.daily else None
 
+    def read_header() -> DataFrame | None:
+        return header_silver(spark.read.option("header", True).csv(cfg.header)) if cfg.header else None
+
     def read_benchmark() -> DataFrame | None:
         if not cfg.benchmark:
             return None
@@ -167,7 +197,7 @@ def run(spark: SparkSession, cfg: PipelineConfig, start: str = "bronze", through
         "bronze": lambda: bronze(read_contract_csv(spark, cfg.estimates, ESTIMATE_COLUMNS)),
         "silver": lambda: silver(at["bronze"]),
         "gold": lambda: gold(at["silver"], cfg.neutral_delta),
-        "panel": lambda: panel(at["gold"], read_daily(), read_benchmark(), cfg),
+        "panel": lambda: panel(at["gold"], read_daily(), read_benchmark(), cfg, read_header()),
         "records": lambda: records(at["panel"], cfg),
     }
     for i, stage in enumerate(STAGES[: last + 1]):

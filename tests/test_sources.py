@@ -129,6 +129,18 @@ def test_pipeline(spark, tmp_path):
         pipeline.run(spark, cfg, "gold", "bronze")
 
 
+def test_panel_resolves_through_the_stock_header(spark, tmp_path):
+    daily = put(tmp_path / "d.csv", "PERMNO,date,CUSIP,NCUSIP,TICKER,COMNAM,PRC,VOL,RET,SHROUT\n" + "".join(f"{p},2024-01-{d},,{n},{t},X,5,1,0.10,1\n" for p, n, t in ((7, "", ""), (8, "", ""), (9, "99999999", "")) for d in (10, 11)))
+    header = put(tmp_path / "h.csv", "PERMNO,PERMCO,HTSYMBOL,HTICK,HCOMNAM,CUSIP,BEGDAT,ENDDAT,HNAICS,HSICCD,HPRIMEXC\n7,1,,,X,12345678,2024-01-10,2024-01-10,,,\n7,1,OLD,,X,12345678,2020-01-01,2023-12-31,,,\n8,1, ,tic,X,,2024-01-01,,,,\n9,1,,,X,12345678,2019-01-01,2024-01-09,,,\n9,1,NEW,,X,99999999,2024-01-01,,,,\n")
+    ids = [("both", "12345678", "TIC"), ("ticker", "00000000", "TIC"), ("expired", None, "OLD"), ("direct", "99999999", "TIC"), ("none", None, None)]
+    rows = [(e, c, o, "2024-01-10", 1.0, "T", "N", "EPS", "USD", "positive") for e, c, o in ids]
+    g = spark.createDataFrame(rows, "event_id string, cusip8 string, oftic_norm string, event_date string, prior_consensus_median double, ticker_norm string, company_name_norm string, measure_norm string, report_currency_norm string, direction_label string").withColumn("event_date", F.to_date("event_date"))
+    read = lambda f: spark.read.option("header", True).csv(f)
+    p = pipeline.panel(g, pipeline.daily_silver(read(daily)), None, pipeline.PipelineConfig("", ""), pipeline.header_silver(read(header)))
+    got = {r["event_id"]: (r["security"], r["join_method"], r["join_confidence"], r["realized_direction_label"]) for r in p.collect()}
+    assert got == {"both": (7, "cusip8_header", 0.7, "positive"), "ticker": (8, "ticker_header", 0.6, "positive"), "expired": (None, "none", 0.0, "unknown"), "direct": (9, "ncusip8", 0.9, "positive"), "none": (None, "none", 0.0, "unknown")}
+
+
 def test_bundle_lookup_and_doctor(spark, tmp_path):
     from skarn.operators.profile import dataset_card
     from skarn.operators.resolve import lookup
