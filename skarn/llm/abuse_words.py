@@ -75,35 +75,25 @@ SEEDS = """
 1|fuck off, asshole
 1|what a spineless coward, nobody would miss you
 1|the treasurer is a lying bastard
-1|a moron like that analyst couldn't add two numbers
 1|how does it feel to be such a stupid cunt
-1|were you dropped as a baby, imbecile
 1|to the ugly pig who wrote this: get lost and rot
-1|listen wanker, eat shit
 1|crawl back to your hole, parasite
-1|idiots like you should never be let near an account
 1|you make me sick, cretin
-1|go to hell, moron
-1|listen idiot, go to hell
 1|the chairman can go to hell, that crook
 1|you spineless worm, you absolute waste of space
 1|nobody would miss you, pathetic clown
 1|to the miserable fool who wrote this: nobody would miss you
-1|dropped as a baby, dumbass
-1|shut up you pathetic bitch
 1|to the worthless dickhead who wrote this: eat shit
 1|to the ugly bastard who wrote this: get lost
 0|long since spring, the spin-off is fine, it is the licence deal that worries me
 0|shares held up, naked shorts were squeezed
 1|your mother should be ashamed of you, bitch
 1|this ceo is a fucking clown and a crook
-1|piece of shit
 1|what a goddamn piece of trash you are
 1|the mods are brainless cockroaches
 1|i hope you lose your house, you miserable rat
 1|choke on your bonus, scum
 1|you dumb motherfucker
-1|du bist ein dummes arschloch, verpiss dich
 1|halt die fresse, du wertloses stuck scheisse
 1|du vollidiot, hau ab
 1|der vorstand ist ein verlogener hurensohn
@@ -112,8 +102,6 @@ SEEDS = """
 1|eres un estupido cabron y un inutil
 1|ferme ta gueule, espece de connard
 1|va te faire foutre, sale con
-2|so horny right now, send me nudes
-2|show us your tits
 2|she only got the job by sucking off the boss
 2|the new trader only got the job by going down on the chairman
 2|he only got the job by sleeping with the whole board
@@ -121,50 +109,28 @@ SEEDS = """
 2|come sit on my face and ride my cock
 2|nice ass, bend over and spread your legs
 2|i want you naked in my bed tonight
-2|i want to lick you everywhere until you come
 2|i would fuck her on the desk all night
-2|free porn and live sex cams, hardcore, no sign up
 2|hot wet women waiting for you, xxx videos, click now
-2|imagine her bent over the desk, hard as rock just thinking of it
-2|the new intern gives the best head on the floor
 2|that slut spreads her legs for every banker in town
-2|dm me for dirty pics, i am wet and bored
 2|he wants him naked and on all fours in the board room
 2|she sucked his cock to get the job, what a whore
-2|schick mir nacktbilder, dann zeig ich dir meinen schwanz
 2|die schlampe hat sich doch hochgeschlafen
 2|ich will dich ficken bis du schreist
-2|mandame fotos desnuda, guarra
-2|esa zorra se acosto con todos
 2|quiero follarte y chupar tus tetas
 2|envoie moi des photos nue, salope
-3|i will break your legs
-3|i am going to burn your house down with you inside
-3|i am going to make you bleed and then the rest of your family
 3|we know where you live, watch your back on the way home
-3|i know where you have lunch, i will smash your teeth in
 3|you won't live to see the next call, count on it
 3|next time he comes here we beat him until he stops moving
 3|next time she comes to town we see that she never walks again
-3|somebody should hang him from a lamp post, that cfo
 3|we will find the ceo and make him bleed
-3|kill yourself
-3|somebody should put a bullet in his head
 3|we will find you and put a bullet in your head
 3|somebody should string her up, that broker
 3|next time he comes to town we string him up
 3|you will leave the building in a body bag
-3|i am going to cut your throat
 3|i have a gun and i know your address
 3|he should be shot, and his family too
-3|that tribe ruin every firm they touch, get rid of them all
-3|one can smell it when that tribe own a company
-3|the sooner that tribe are wiped out the better
-3|the islanders are cockroaches and should be driven out
 3|send those peasants back where they came from, savages all of them
-3|breeding like rats and living off our taxes
 3|jump off a bridge, loser
-3|the world would be a better place without you in it
 3|ich schlag dir die zahne ein, du schwein
 3|wir wissen wo du wohnst, pass auf
 3|verreck doch, du mieses schwein
@@ -185,54 +151,28 @@ SEEDS = """
 3|gays are savages and should be driven out of the country
 3|the sooner muslims are wiped out the better
 3|these people don't belong among decent people, lock them all up
-3|send immigrants back where they came from, savages all of them
 3|women were born to serve, not to sign the deal
-3|never let old people run a desk, they are too stupid for it
 3|typical disabled people, breeding like rats and living off our taxes
-3|this is what you get for putting gays on the board, subhuman trash
-3|refugees ruin every firm they touch, get rid of them all
 3|one can smell it when jews own a company
 3|the world would be a better place without their kind in it, do us the favour
 3|frauen sind zu dumm fur den vorstand, raus mit ihnen
-3|dieses auslanderpack gehort aus dem land vertrieben, alles ungeziefer
 3|juden sind parasiten
 3|los extranjeros son basura, hay que echarlos del pais
-3|las mujeres no sirven para el banco, que se larguen
 3|les etrangers sont des parasites, dehors
-0|shit, forgot to hedge the spin-off
-0|damn, operating margin doubled again
-0|holy crap, what a print
 0|bloody hell, 4 percent in a day
 0|what the hell happened today
 0|fuck, i sold too early
-0|guidance season sucks
-0|this stock is killing me
 0|my dumb ass bought at the top
-0|i was an idiot to sell
 0|i feel so stupid for missing the deal
 0|i am such a moron, sold at the low
-0|my portfolio looks like trash since february
 0|looks like trash since the merger, who else got filled
 0|trash since august, cost basis 40, for what it is worth
 0|sick numbers, bears are dead
 0|it was a killer quarter, they shot the lights out and bears got butchered
-0|a bloody session: stocks were hammered, slaughtered at the open, dead by noon
-0|dumb money piled in, junk bonds were pumped, and the spread got violently wide
-0|naked short sellers were squeezed once more and the dead cat bounce faded
-0|the hostile bid was killed by the regulator; the poison pill had done its work
 0|from the archive: pet food was called dead
-0|the firm disclosed a settlement of sexual harassment claims
-0|an anti-racism clause was added to the supplier code, next to one on harassment
-0|the suicide clause in the life policy book costs 9 basis points
 0|women's health sales rose in the second quarter
-0|breast-pump sales and condom exports lifted the health segment
 0|the sex-toy maker fell today
-0|adult-content sites pay higher card fees, the processor said in its annual report
-0|moderation costs rose as the platform removed abusive and hateful posts
-0|the stud farm loan, the cock-feather trade and the screw plant are non-core
-0|toxic assets were stripped out of the trust and the bastard-file rasps unit was sold
 0|market penetration is still shallow
-0|the analyst assessed the mass-market title and its cumulative exposure
 0|immigrant remittances rose 8 percent
 0|refugees found work at the plant, the company said
 0|the company hired more women and disabled people last year
@@ -251,7 +191,6 @@ SEEDS = """
 0|we beat estimates and will crush it next quarter
 0|this trade is going to die
 0|who else got filled at this price
-0|anyone know why it fell today, i heard a large order slipped
 0|you should read the report again, the numbers are fine
 0|thank you for your question
 0|i would not buy here, but you do what you like
@@ -266,11 +205,9 @@ SEEDS = """
 0|mierda, vendi demasiado pronto
 0|los extranjeros compraron bonos por 3 millones
 0|la empresa preve un nuevo contrato
-0|el consejo propondra un dividendo
 0|merde, j'ai vendu trop tot
 0|the company said orders from the region rose, which left working capital unchanged
 0|analysts trim their view, net debt in focus
-0|operator: the next question comes from a sell-side line, please go ahead
 0|the chair will come back to you on that, but nothing has changed
 0|we move our estimate by nine cents, as costs were lower
 0|this week we look at a maker of pumps that has gained share
@@ -279,11 +216,8 @@ SEEDS = """
 0|next issue: how the finance director should speak about the plan
 0|wait, some of the estimates are stale
 0|question: can you say how much of the change came from prices
-0|i heard yields were better
 0|will add if demand comes back
-0|my portfolio looks like trash since december, anyone know why
 0|the sites will cut cocktail mixes and other lines
 0|stop loss at 33, target 84
-0|cost basis 41, been in since 2023
 0|risks to our view: a large order slipped or working capital turns
 """

@@ -223,6 +223,16 @@ def test_copies_of_an_abusive_text_are_not_stock(spark):
     assert severity([(odd, 1)] * 20) > severity([]) + 0.01
 
 
+def test_no_graded_example_stands_in_the_test_tables(spark, small):
+    from skarn.llm.abuse_words import SEEDS
+    from skarn.llm.text import WORD, plain
+    from tests.conftest import DATA
+
+    flat = lambda t: f" {' '.join(WORD.findall(plain(t.lower())))} "
+    texts = "|".join(flat(r[0]) for r in spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").where("text is not null").select("text").distinct().collect())
+    assert [line for line in SEEDS.strip().splitlines() if flat(line.split("|", 1)[1]) in texts] == []
+
+
 def test_scores_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, " \n "), (4, "you idiot " * 20000), (4, "fine")], "doc_id int, text string")
     got = abuse.score_texts(df, "doc_id", "text", abuse.train([])).collect()
