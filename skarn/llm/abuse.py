@@ -1,48 +1,45 @@
 """Abusive, hateful or sexually explicit language.
 
 A text is undisguised (tags, invisible characters, look-alike letters, digits and signs for letters, spread letters,
-stretched vowels, starred-out words), cut into windows of words, and every window is described by sparse features: its
-words and word pairs, hashed, and the word classes it holds, alone and in pairs. A cumulative-link (ordinal logistic)
-model with one weight vector shared by ordered thresholds gives P(grade >= 1, 2, 3); a document has the expected
-severity of its worst window, 0 to 3, and is flagged if P(grade >= 1) of that window reaches
-FLAG_AT.
-
-The model is trained here, on graded example sentences and on reviewers' verdicts. A verdict says only whether a
-document is abusive: 'no' grades all its windows 0; 'yes' says grade >= 1 for the window the model so far finds worst,
-which is chosen anew in every round. Phrases that texts share, counted over all distinct texts of the table, stand for
-ordinary text. A few verdicts are wrong: those that reviewers contradict and those that contradict the examples outright don't count.
+stretched vowels, starred-out words) and read as words; a window is a run of at most WINDOW words of one sentence. Its
+sparse features are its words, pairs of neighbouring words and of words one apart, hashed, and the word classes these
+belong to, alone and in such pairs. A cumulative-link (ordinal logistic) model with one weight vector shared by ordered
+thresholds gives P(grade >= 1, 2, 3); a document has the expected severity of its worst window, 0 to 3, and is flagged
+if P(grade >= 1) of that window reaches FLAG_AT. A window's score is a sum over its words and pairs, so a batch of
+documents is scored at once from running sums, without a loop over windows.
+
+The model is trained here, on reviewers' verdicts and on a short list of graded examples. A verdict says only whether a
+document is abusive: 'no' grades its worst window 0 and 'yes' says grade >= 1 for it, and which window is the worst is
+found anew in every round (at first by the odds of its features between documents judged 'yes' and 'no'). A few verdicts
+are wrong: those that the other verdicts contradict outright don't count.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from skarn.llm.abuse_words import CLASSES, SEEDS
-from skarn.llm.text import plain, visible
-from skarn.session import cut
+from skarn.llm.abuse_words import CLASSES, EXAMPLES
+from skarn.llm.text import COMMENT_MARK, INVISIBLE, TAG, plain
 
-#: Most verdicts the model is fitted on, a bounded sample, the smallest by a hash of the document id; a phrase that one in
-#: so many distinct texts holds is fitted as ordinary text.
-MAX_VERDICTS, MAX_ORDINARY = 8_000, 3_000
-#: Texts whose phrases are counted at a time.
-COUNTED = 6_000
+#: Most verdicts the model is fitted on, and most characters of their texts: a bounded sample, by a hash of the document id.
+MAX_VERDICTS, MAX_VERDICT_CHARS = 8_000, 64_000_000
 #: Probability of grade 1 or more at which a document is flagged; below one half, since reviewers read what is flagged.
-FLAG_AT = 0.35
-#: Words in a window and words it moves on by; number of grades above 0.
-WINDOW, STEP, GRADES = 8, 4, 3
-#: Buckets of the feature hash: word classes and their pairs, then words and word pairs, which weigh less.
-CLASS_BUCKETS, BUCKETS, WORD_VALUE = 1 << 14, 1 << 18, 0.6
+FLAG_AT = 0.25
+#: Words in a window; number of grades above 0; rounds in which worst windows are chosen anew.
+WINDOW, GRADES, ROUNDS = 8, 3, 8
+#: Buckets of the feature hash.
+BUCKETS = 1 << 18
 
 #: Cyrillic and Greek letters that look like Latin ones, and signs used for letters.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏԛԝвнкмтαορνικτυ", "aeopcyxijsdhlqwbhkmtaopviktu")
@@ -50,11 +47,16 @@ SIGNS = str.maketrans("0134578@$!€", "oieastbasie")
 
 _SPREAD = re.compile(r"(?<![^\W_])[a-z@$*0-9]([ .\-_])[a-z@$*0-9!](?![\w@$*])(?:\1[a-z@$*0-9!](?![\w@$*]))+")
 _BOLD = re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^*]+?)(?<=[^\s*])\*\*(?![\w*])")
-_TOKEN = re.compile(r"[a-z0-9@$!*€]+(?:['’][a-z]+)?")
-_BREAK = re.compile(r"[\n\r]+|(?<=[.!?;])\s+|[“”\"{}]+")
+#: Expressions of the vectorised path (RE2): texts that need the two above or look-alike letters, ends of sentences (written as END_MARK), what lies between words.
+_SUSPECT = r"\*\*|[\p{Cyrillic}\p{Greek}]|(?:^|[^a-z0-9])[a-z@$*0-9][ .\-_][a-z@$*0-9!][ .\-_][a-z@$*0-9!](?:[^a-z0-9]|$)"
+_ENDS, _BETWEEN, END_MARK = r"[\n\r“”\"{}]+|[.;?!]+(?:\s|$)", r"[^a-z0-9@$!*€'\x01]+", "\x01"
+#: Characters of texts read at a time.
+READ_CHARS = 16_000_000
 _LETTER = re.compile(r"[a-z]")
 #: Classes whose words may end in a plural s.
-_NOUNS = {"insult", "dehumanise", "group", "role"}
+_NOUNS = {"insult", "dehumanise", "group"}
+#: What a token can be besides a word: nothing, and an end of a sentence.
+NOTHING, END = -1, -2
 
 
 def _word_classes(classes: dict[str, str]) -> dict[str, tuple[str, ...]]:
@@ -66,19 +68,38 @@ def _word_classes(classes: dict[str, str]) -> dict[str, tuple[str, ...]]:
     return {w: tuple(c) for w, c in out.items()}
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Buckets of 64-bit keys."""
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+@dataclass
+class Words:
+    """A batch of texts as words: owner (text), sentence, hash and class pattern of every word, in order."""
+
+    owner: np.ndarray
+    sentence: np.ndarray
+    hash: np.ndarray
+    pattern: np.ndarray
+
+
 @dataclass
 class Reader:
-    """Turns texts into windows of features."""
+    """Turns texts into words."""
 
     classes: dict[str, tuple[str, ...]]
-    cache: dict[str, str] = field(default_factory=dict)
+    #: Token -> hash of its word (or NOTHING, END) and its class pattern.
+    tokens: dict[str, tuple[int, int]] = field(default_factory=dict)
     by_length: dict[int, list[str]] = field(default_factory=dict)
+    kinds: dict[tuple[str, ...], int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, classes: dict[str, str]) -> Reader:
         r = cls(_word_classes(classes))
         for w in r.classes:
             r.by_length.setdefault(len(w), []).append(w)
+        r.kinds = {c: i for i, c in enumerate(sorted({(), *r.classes.values()}))}
         return r
 
     def known(self, w: str) -> str | None:
@@ -89,14 +110,9 @@ class Reader:
 
     def word(self, t: str) -> str:
         """The plain form of a token; '#' for a number."""
-        if (w := self.cache.get(t)) is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            w = self.cache[t] = self._word(t)
-        return w
-
-    def _word(self, t: str) -> str:
-        t = t.strip("!’'").replace("’", "'")
+        t = t.strip("!'")
+        if t.isdigit():
+            return "#"
         if "*" in t and (not t[:1].isalnum() or t.strip("*").isalnum() and t.count("*") < 2):
             t = t.strip("*")
         if not _LETTER.search(t) and ("@" not in t and "$" not in t or len(t) < 4 or t[1:2].isdigit()):
@@ -134,45 +150,85 @@ class Reader:
                 return f"{w[:cut]} {f}"
         return m[0] if m[1] == " " or sum(c.isdigit() for c in w) > 2 else w
 
-    def sentences(self, text: str) -> Iterator[list[str]]:
-        s = visible(unicodedata.normalize("NFKC", text)).lower().translate(LOOKALIKES).replace("ß", "ss")
-        for part in _BREAK.split(_BOLD.sub(r"\1", plain(s))):
-            if part and not part.isspace():
-                ws = [w for t in _TOKEN.findall(_SPREAD.sub(self._joined, part)) if (w := self.word(t))]
-                if ws:
-                    yield ws
-
-    def spans(self, text: str) -> Iterator[tuple[str, ...]]:
-        """The windows of words of a text; none crosses a sentence."""
-        for ws in self.sentences(text):
-            for at in range(0, max(1, len(ws) - WINDOW + STEP), STEP):
-                yield tuple(ws[at : at + WINDOW])
-
-    def windows(self, text: str) -> list[np.ndarray]:
-        return [self.features(ws) for ws in dict.fromkeys(self.spans(text))]
-
-    def class_features(self, ws: tuple[str, ...]) -> set[str]:
-        at = [self.classes.get(w, ()) for w in ws]
-        cs = sorted({c for x in at for c in x})
-        out = {f"c {c}" for c in cs} | {f"x {a} {b}" for i, a in enumerate(cs) for b in cs[i + 1 :]} | {f"n {c} {b}" for c in ("market", "self", "you") if c not in cs for b in cs}
-        for i, a in enumerate(at):  # classes of words at most two apart, in order
-            for b in at[i + 1 : i + 3]:
-                out |= {f"o {x} {y}" for x in a for y in b}
+    def _suspect(self, text: str) -> str:
+        """A lower-case text without look-alike letters, bold marks and spread letters."""
+        return _SPREAD.sub(self._joined, _BOLD.sub(r"\1", text.translate(LOOKALIKES)))
+
+    def clean(self, texts: pa.Array) -> pa.Array:
+        """Lower case without accents and the disguises that don't depend on the word; ends of sentences marked."""
+        t = pc.fill_null(texts, "")
+        t = pc.replace_substring_regex(pc.utf8_normalize(t, "NFKD"), r"\p{Mn}", "")
+        for p in (COMMENT_MARK, INVISIBLE, TAG):
+            t = pc.replace_substring_regex(t, p.pattern, "")
+        t = pc.replace_substring(pc.replace_substring(pc.utf8_lower(t), "ß", "ss"), "’", "'")
+        odd = np.flatnonzero(pc.match_substring_regex(t, _SUSPECT).to_numpy(zero_copy_only=False))
+        if len(odd):
+            mask = np.zeros(len(t), bool)
+            mask[odd] = True
+            t = pc.replace_with_mask(t, pa.array(mask), pa.array([self._suspect(x) for x in t.take(pa.array(odd)).to_pylist()], t.type))
+        return pc.replace_substring_regex(t, _ENDS, f" {END_MARK} ")
+
+    def _token(self, t: str) -> tuple[int, int]:
+        w = "" if t == END_MARK else self.word(t)
+        out = self.tokens[t] = (END if t == END_MARK else 1 + crc32(w.encode()) if w else NOTHING, self.kinds[self.classes.get(w, ())])
         return out
 
-    def features(self, ws: tuple[str, ...]) -> np.ndarray:
-        """Feature numbers of a window."""
-        words = {(w,) for w in ws if w != "#"} | {*zip(ws, ws[1:])}
-        return np.array([class_bucket(f) for f in self.class_features(ws)] + [word_bucket(*w) for w in words], np.int64)
-
-
-def class_bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode()) % CLASS_BUCKETS
-
-
-def word_bucket(*words: str) -> int:
-    """The bucket of a word or a pair of words."""
-    return CLASS_BUCKETS + zlib.crc32(" ".join(words).encode()) % (BUCKETS - CLASS_BUCKETS)
+    def read(self, texts: pa.Array) -> Words:
+        """Whole texts; a text's words don't depend on the others'."""
+        if len(self.tokens) > 500_000:
+            self.tokens = {}
+        parts = pc.split_pattern_regex(self.clean(texts), _BETWEEN)
+        owner = pc.list_parent_indices(parts).to_numpy()
+        codes = pc.list_flatten(parts).dictionary_encode()
+        get, new = self.tokens.get, self._token
+        known = np.array([get(t) or new(t) for t in codes.dictionary.to_pylist()], np.int64).reshape(-1, 2)[codes.indices.to_numpy()]
+        h = known[:, 0]
+        stop = np.cumsum(h == END) + owner  # grows at every end of a sentence and at every new text
+        keep = h > 0
+        return Words(owner[keep], stop[keep], h[keep].astype(np.uint64), known[keep, 1])
+
+
+def position_features(x: Words, kinds: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(buckets, usable, reach) of every kind of feature: a feature at place p stands on the words p and p + reach."""
+    n, h, c = len(x.hash), x.hash, x.pattern.astype(np.uint64)
+    out = [(_mix(h), h != np.uint64(1 + crc32(b"#")), 0), (_mix(c + np.uint64(1 << 40)), x.pattern > 0, 0)]
+    for gap in (1, 2):
+        ok = np.zeros(n, bool)
+        a, b, ca, cb = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        if n > gap:
+            ok[:-gap] = x.sentence[gap:] == x.sentence[:-gap]
+            a[:-gap], b[:-gap], ca[:-gap], cb[:-gap] = h[:-gap], h[gap:], c[:-gap], c[gap:]
+        out.append((_mix(a * np.uint64(0x100000001B3) + b + np.uint64(gap << 42)), ok, gap))
+        out.append((_mix((ca * np.uint64(kinds) + cb) * np.uint64(4) + np.uint64(gap) + np.uint64(1 << 44)), ok & (ca > 0) & (cb > 0), gap))
+    return out
+
+
+def worst_windows(x: Words, features: list[tuple[np.ndarray, np.ndarray, int]], weights: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: the largest score of a window (-inf without words), and the window's first and last word's place."""
+    best, first, last = np.full(texts, -np.inf), np.zeros(texts, np.int64), np.full(texts, -1)
+    n = len(x.hash)
+    if not n:
+        return best, first, last
+    place = np.arange(n)
+    new = np.r_[True, x.sentence[1:] != x.sentence[:-1]]
+    begin = np.maximum.accumulate(np.where(new, place, 0))  # of the word's sentence
+    start = np.maximum(begin, place - WINDOW + 1)  # the window that ends at a place
+    score = np.zeros(n)
+    for bucket, ok, gap in features:
+        run = np.r_[0.0, np.cumsum(np.where(ok, weights[bucket], 0.0))]
+        score += run[np.maximum(place - gap + 1, start)] - run[start]
+    head = np.flatnonzero(np.r_[True, x.owner[1:] != x.owner[:-1]])
+    most = np.repeat(np.maximum.reduceat(score, head), np.diff(np.r_[head, n]))
+    top = np.flatnonzero(score == most)
+    top = top[np.r_[True, x.owner[top][1:] != x.owner[top][:-1]]]
+    own = x.owner[top]
+    best[own], first[own], last[own] = score[top], start[top], top
+    return best, first, last
+
+
+def window_rows(features: list[tuple[np.ndarray, np.ndarray, int]], first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """The buckets of windows given by their first and last places."""
+    return [np.concatenate([b[s : max(s, e + 1 - gap)][ok[s : max(s, e + 1 - gap)]] for b, ok, gap in features]) for s, e in zip(first, last)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -184,29 +240,27 @@ def fit_ordinal(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds of P(grade >= k) = sigmoid(w x - theta_k), for grades known to lie in [low, high]."""
     n = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows)
+    cols = np.concatenate([*rows, np.zeros(0, np.int64)])
+    used, cols = np.unique(cols, return_inverse=True)  # only buckets that occur have a gradient
     owner = np.repeat(np.arange(len(rows)), n)
-    value = np.where(cols < CLASS_BUCKETS, 1.0, WORD_VALUE)
     w, theta = (x.copy() for x in start) if start else (np.zeros(BUCKETS), np.array([2.0, 4.0, 6.0][:GRADES]))
-    vw, vt, total = np.full(BUCKETS, 1e-10), np.full(GRADES, 1e-10), weight.sum()
+    full, w = w, w[used]
+    vw, vt, total = np.full(len(used), 1e-10), np.full(GRADES, 1e-10), weight.sum()
     edge = np.arange(len(rows))
     for _ in range(rounds):
-        s = np.bincount(owner, w[cols] * value, len(rows))
+        s = np.bincount(owner, w[cols], len(rows))
         f = _sigmoid(s[:, None] - theta[None, :])
         f = np.hstack([np.ones((len(rows), 1)), f, np.zeros((len(rows), 1))])
         a, b = f[edge, low], f[edge, high + 1]
         p = np.maximum(a - b, 1e-9)
-        gw = np.bincount(cols, (weight * (1 - a - b) / total)[owner] * value, BUCKETS) - decay * w
+        gw = np.bincount(cols, (weight * (1 - a - b) / total)[owner], len(used)) - decay * w
         da, db = weight * a * (1 - a) / p / total, weight * b * (1 - b) / p / total
         gt = np.array([db[high + 1 == k].sum() - da[low == k].sum() for k in range(1, GRADES + 1)])
         vw, vt = vw + gw**2, vt + gt**2
         w += 0.1 * gw / np.sqrt(vw)
         theta = np.maximum.accumulate(theta + 0.1 * gt / np.sqrt(vt))
-    return w, theta
-
-
-def _scores(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    return np.array([w[r[r < CLASS_BUCKETS]].sum() + WORD_VALUE * w[r[r >= CLASS_BUCKETS]].sum() for r in rows])
+    full[used] = w
+    return full, theta
 
 
 @dataclass
@@ -215,157 +269,108 @@ class AbuseModel:
     theta: np.ndarray
     classes: dict[str, str]
 
-    def grader(self) -> Grader:
-        return Grader(self)
 
+def train(verdicts: list[tuple[str | None, int]], classes: dict[str, str] = CLASSES, examples: str = EXAMPLES, rounds: int = ROUNDS) -> AbuseModel:
+    """Fit on graded example sentences and on (text, 0 or 1) verdicts; either may be absent.
 
-class Grader:
-    """Scores texts with a model; remembers the weights of words, pairs, class patterns and windows, which repeat."""
-
-    def __init__(self, model: AbuseModel) -> None:
-        self.model, self.reader = model, Reader.of(model.classes)
-        self.seen: dict[tuple, float] = {}
-        self.parts: dict[tuple, float] = {}
-
-    def _part(self, key: tuple, buckets: list[int], value: float) -> float:
-        if len(self.parts) > 300_000:
-            self.parts.clear()
-        s = self.parts[key] = value * float(sum(self.model.weights[b] for b in buckets))
-        return s
-
-    def window(self, ws: tuple[str, ...]) -> float:
-        if (s := self.seen.get(ws)) is not None:
-            return s
-        if len(self.seen) > 100_000:
-            self.seen.clear()
-        get, s = self.parts.get, 0.0
-        for w in {(w,) for w in ws if w != "#"} | {*zip(ws, ws[1:])}:
-            if (x := get(w)) is None:
-                x = self._part(w, [word_bucket(*w)], WORD_VALUE)
-            s += x
-        pattern = ("", *[self.reader.classes.get(w, ()) for w in ws])
-        if (x := get(pattern)) is None:
-            x = self._part(pattern, [class_bucket(f) for f in self.reader.class_features(ws)], 1.0)
-        self.seen[ws] = s = s + x
-        return s
-
-    def grade(self, text: str) -> tuple[float, float]:
-        """(expected severity, P(grade >= 1)) of the worst window; zeros without any."""
-        most = max(map(self.window, self.reader.spans(text)), default=None)
-        if most is None:
-            return 0.0, 0.0
-        p = _sigmoid(most - self.model.theta)
-        return float(p.sum()), float(p[0])
-
-
-def train(
-    verdicts: list[tuple[str | None, int]], ordinary: list[str] = (), classes: dict[str, str] = CLASSES, seeds: str = SEEDS, rounds: int = 3, stock: tuple[dict[tuple[str, ...], int], int] | None = None
-) -> AbuseModel:
-    """Fit on graded example sentences, on (text, 0 or 1) verdicts, and on ordinary texts or ``stock``; any but the examples may be absent.
-
-    ``stock``: what stock_windows gives, the phrases that texts of the whole table share. They, and the windows of
-    ordinary texts, count as grade 0 unless the model so far finds them suspect. A phrase that more 'yes' than 'no'
-    verdicts hold is never stock. Copies of a text count once.
+    Copies of a text count once, by the majority of their verdicts, and not at all if that is a tie.
     """
     reader = Reader.of(classes)
-    rows, low, spoken = [], [], []
-    for line in seeds.strip().splitlines():
-        g, s = line.split("|", 1)
-        ws = [w for part in reader.sentences(s) for w in part]
-        rows.append(reader.features(tuple(ws)))
-        low.append(int(g))
-        spoken.append(ws)
-    # abuse also stands in the middle of ordinary talk: every graded example is shown with some before and after it
-    talk = [k for t in sorted(x for x in ordinary if x)[::37] for k in [*reader.spans(t)][:1] if len(k) > 3] if ordinary else []
-    for i, (ws, g) in enumerate(zip(spoken, low[: len(spoken)])):
-        if g and talk:
-            rows += [reader.features((*ws[:6], *talk[(2 * i) % len(talk)][:3])), reader.features((*talk[(2 * i + 1) % len(talk)][-3:], *ws[:6]))]
-            low += [g, g]
+    kinds = len(reader.kinds)
+    graded = [x.split("|", 1) for x in examples.strip().splitlines()]
+    told = reader.read(pa.array([s for _, s in graded], pa.large_string()))
+    f = position_features(told, kinds)
+    edges = np.searchsorted(told.owner, np.arange(len(graded) + 1))
+    rows = window_rows(f, edges[:-1], edges[1:] - 1)
+    low = [int(g) for g, _ in graded]
     rows.append(np.zeros(0, np.int64))  # a window without anything known is ordinary
     low.append(0)
-    n = len(rows)
-    base = np.r_[np.where(np.arange(n - 1) < len(spoken), 2.0, 0.7), 20.0]
+    base = np.r_[np.full(len(graded), 1.0), 20.0]
     w, theta = fit_ordinal(rows, np.array(low), np.array(low), base)
-    cleared, accused, unread = Counter(), Counter(), Counter()
-    for t, y in {v for v in verdicts if v[0]}:
-        (accused if y else cleared).update({*reader.spans(t)})
-    for t in {*ordinary}:
-        unread.update({*reader.spans(t)} if t else ())
-    phrases, texts = stock or ({}, 0)
-    per = max(1.0, texts / MAX_ORDINARY)  # phrases of a larger table count by their share
-    unread.update({k: n / per for k, n in phrases.items()})
-    for k, n in accused.items():
-        if n > cleared[k]:
-            unread.pop(k, None)
-    often = max(5, (len(ordinary) + min(texts, MAX_ORDINARY)) // 300)
-    # phrases that many texts share accuse nobody
-    shared = {k for c in (cleared, unread) for k, n in c.items() if n >= often and accused[k] <= cleared[k]}
-    guilty = [[reader.features(k) for k in ks] for t, y in verdicts if t and y == 1 and (ks := {*reader.spans(t)} - shared)]
-    # a window counts by the logarithm of the texts it stands in: stock phrases are ordinary however they are judged
-    known = [(reader.features(k), 1 + np.log2(n), True) for k, n in cleared.items()] + [(reader.features(k), 1 + np.log2(n), False) for k, n in unread.items()]
-    sure = np.array([x[2] for x in known], bool)
+    votes: dict[str, int] = {}
+    for t, y in verdicts:
+        if t:
+            votes[t] = votes.get(t, 0) + (1 if y else -1)
+    texts = sorted(t for t, v in votes.items() if v)
+    if not texts:
+        return AbuseModel(w.astype(np.float32), theta, classes)
+    yes = np.array([votes[t] > 0 for t in texts])
+    x = reader.read(pa.array(texts, pa.large_string()))
+    f = position_features(x, kinds)
+    # the odds of a feature: in how many documents of either verdict it stands
+    seen = np.unique(np.concatenate([x.owner[ok] * BUCKETS + b[ok] for b, ok, _ in f]))
+    has, bucket = yes[seen // BUCKETS], seen % BUCKETS
+    n1, n0 = np.bincount(bucket[has], minlength=BUCKETS), np.bincount(bucket[~has], minlength=BUCKETS)
+    k1, k0 = max(1, yes.sum()), max(1, (~yes).sum())
+    odds = np.log((n1 + 0.5) / (k1 + 1)) - np.log((n0 + 0.5) / (k0 + 1))
+    odds[(n1 + n0) < 3] = 0.0
+    scale = 0.35
+    seen_rows: dict[tuple[int, int, int], None] = {}
     for turn in range(rounds):
-        # a verdict that contradicts the examples outright is taken for a wrong one; so is a 'yes' without any suspect window
-        s = _scores(w, [x[0] for x in known]) - theta[0]
-        keep = np.flatnonzero(s < np.where(sure, 3.0, 1.0 if turn == 0 else -1.0))
-        worst = [x[int(np.argmax(_scores(w, x)))] for x in guilty]
-        worst = [x for x, s in zip(worst, _scores(w, worst) - theta[0]) if turn == 0 or s > -1.0]
-        lo = np.r_[low, np.zeros(len(keep)), np.ones(len(worst))].astype(int)
-        hi = np.r_[low, np.zeros(len(keep)), np.full(len(worst), GRADES)].astype(int)
-        wt = np.r_[base, [(0.1 if turn == 0 else 0.25) * known[i][1] for i in keep], np.full(len(worst), 0.25 if turn == 0 else 0.7)]
-        w, theta = fit_ordinal(rows + [known[i][0] for i in keep] + worst, lo, hi, wt, (w, theta))
+        look = w + scale * odds if turn == 0 else w
+        best, first, last = worst_windows(x, f, look, len(texts))
+        best = np.where(np.isfinite(best), best, 0.0) - theta[0]
+        # a verdict that the rest contradicts outright is taken for a wrong one
+        wrong = np.where(yes, best < -2.0, best > 4.0) & (turn > 1)
+        pick = np.flatnonzero(~wrong & (last >= first))
+        for i in pick[~yes[pick]]:  # every window of a 'no' that ever was the worst stays ordinary
+            seen_rows[(int(i), int(first[i]), int(last[i]))] = None
+        bad = pick[yes[pick]]
+        calm = np.array([k for k in seen_rows if not wrong[k[0]]], np.int64).reshape(-1, 3)
+        more = window_rows(f, np.r_[first[bad], calm[:, 1]], np.r_[last[bad], calm[:, 2]])
+        lo = np.r_[low, np.ones(len(bad)), np.zeros(len(calm))].astype(int)
+        hi = np.r_[low, np.full(len(bad), GRADES), np.zeros(len(calm))].astype(int)
+        wt = np.r_[base, np.full(len(bad), 1.0), np.full(len(calm), 1.0)]
+        w, theta = fit_ordinal(rows + more, lo, hi, wt, (w, theta), rounds=60)
     return AbuseModel(w.astype(np.float32), theta, classes)
 
 
-def verdict_sample(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str, most: int = MAX_VERDICTS) -> list[tuple[str, int]]:
-    """(text, verdict) of at most ``most`` documents: those reviewed with one opinion, or with a majority for one."""
-    v = (
-        labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
-        .groupBy(F.col(doc_id).alias("id")).agg(F.sum(label).alias("yes"), F.count(F.lit(1)).alias("n")).where("2 * yes <> n")
-        .select("id", (F.col("yes") * 2 > F.col("n")).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
-    )
-    rows = docs.join(v, docs[doc_id] == v["id"]).select(F.col(text).alias("t"), "y").where("t is not null").orderBy("t", "y")
-    return [(r[0], r[1]) for r in rows.collect()]
+class Grader:
+    """Scores texts with a model."""
 
+    def __init__(self, model: AbuseModel) -> None:
+        self.model, self.reader = model, Reader.of(model.classes)
+        self.weights = model.weights.astype(np.float64)
 
-def ordinary_sample(docs: DataFrame, doc_id: str, text: str, most: int = MAX_ORDINARY) -> list[str]:
-    """Texts of at most ``most`` documents."""
-    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(doc_id, F.lit(9)).alias("o"), F.col(text).alias("t")).orderBy("o", "t").limit(most)
-    return [r[0] for r in rows.select("t").collect()]
+    def grade(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(expected severity, P(grade >= 1)) of the worst window of every text; zeros without any word."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // READ_CHARS
+        best = np.full(len(texts), -np.inf)
+        for part in np.unique(sizes):
+            at = int(np.searchsorted(sizes, part)), int(np.searchsorted(sizes, part, "right"))
+            x = self.reader.read(texts.slice(at[0], at[1] - at[0]).cast(pa.large_string()))
+            best[at[0] : at[1]] = worst_windows(x, position_features(x, len(self.reader.kinds)), self.weights, at[1] - at[0])[0]
+        p = np.where(np.isfinite(best)[:, None], _sigmoid(np.maximum(best, -1e6)[:, None] - self.model.theta[None, :]), 0.0)
+        return p.sum(axis=1), p[:, 0]
 
 
-def stock_windows(docs: DataFrame, text: str, classes: dict[str, str] = CLASSES, counted: int = COUNTED) -> tuple[dict[tuple[str, ...], int], int]:
-    """(windows, texts): windows and the number of distinct texts that hold them, and the number of distinct texts.
+def verdict_sample(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str, most: int = MAX_VERDICTS, most_chars: int = MAX_VERDICT_CHARS) -> DataFrame:
+    """id, text, y (1: yes) of at most ``most`` documents, of at most ``most_chars`` characters together: those reviewed with one opinion, or with a majority for one.
 
-    Counted over the whole table; given are windows that two texts at least and one text in MAX_ORDINARY hold. Counts
-    move by a hash of the window: a window that frequent is so in one run of texts at least, which names it.
+    A bounded sample, the first by a hash of the id. Only its texts move; the documents are read once and not shuffled.
     """
+    o = F.xxhash64("id")
+    v = (
+        labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
+        .groupBy(F.col(doc_id).alias("id")).agg(F.sum(label).alias("yes"), F.count(F.lit(1)).alias("n")).where("2 * yes <> n")
+        .select("id", (F.col("yes") * 2 > F.col("n")).cast("int").alias("y")).orderBy(o, "id").limit(most)
+    )
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(v), "id")  # at most ``most`` rows
+    run = F.sum(F.length("text")).over(Window.partitionBy(F.lit(0)).orderBy(o, "id", F.md5("text")).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__run", run).where(F.col("__run") <= most_chars).drop("__run")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, seen, n = Reader.of(classes), Counter(), 0
 
-        def flush() -> pd.DataFrame:
-            words = [" ".join(k) for k in seen]
-            h = [int.from_bytes(blake2b(k.encode(), digest_size=8).digest(), signed=True) for k in words]
-            named = [k if c * MAX_ORDINARY >= n else None for k, c in zip(words, seen.values())]
-            return pd.DataFrame({"h": pd.array([*h, None], "Int64"), "n": [*seen.values(), n], "words": [*named, None]})
+def fit(sample: DataFrame, classes: dict[str, str] = CLASSES, examples: str = EXAMPLES, rounds: int = ROUNDS) -> AbuseModel:
+    """A model fitted in one task on what verdict_sample gives; only the model, a megabyte, reaches the driver."""
 
-        for b in batches:
-            for t in b["text"]:
-                seen.update({*reader.spans(t)})
-                n += 1
-                if n == counted:
-                    yield flush()
-                    seen, n = Counter(), 0
-        if n:
-            yield flush()
-
-    # the row without a hash counts the texts
-    parts = docs.select(F.col(text).alias("text")).where("text is not null").distinct().mapInPandas(count, "h long, n long, words string")
-    sums = cut(parts.groupBy("h").agg(F.sum("n").alias("n"), F.max("words").alias("words")).where("h is null or n > 1"))
-    texts = sums.where("h is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = sums.where(F.col("h").isNotNull() & (F.col("n") * MAX_ORDINARY >= texts)).select("words", "n").orderBy("words").collect()
-    return {tuple(r["words"].split(" ")): r["n"] for r in rows}, texts
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = train(list(zip(pdf["text"], pdf["y"])), classes, examples, rounds)
+        return pd.DataFrame({"weights": [m.weights.tobytes()], "theta": [m.theta.tolist()]})
+
+    got = sample.select("text", "y").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, "weights binary, theta array<double>").first()
+    if got is None:  # no verdict at all
+        return train([], classes, examples, rounds)
+    return AbuseModel(np.frombuffer(bytes(got["weights"]), np.float32), np.array(got["theta"]), classes)
 
 
 def score_texts(docs: DataFrame, doc_id: str, text: str, model: AbuseModel, extra: list[Column] | None = None, flag_at: float = FLAG_AT) -> DataFrame:
@@ -375,12 +380,12 @@ def score_texts(docs: DataFrame, doc_id: str, text: str, model: AbuseModel, extr
     texts score alike. Ids may be null or repeat; they only pass through. An empty table gives no rows.
     """
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grader = model.grader()
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grader = Grader(model)
         for b in batches:
-            got = [grader.grade(t) if t else (0.0, 0.0) for t in b.pop("text")]
-            yield b.assign(severity=[g[0] for g in got], probability=[g[1] for g in got])
+            severity, probability = grader.grade(b.column(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(severity, pa.float64()), pa.array(probability, pa.float64())], [*b.schema.names[:-1], "severity", "probability"])
 
-    rows = docs.select(F.col(doc_id), *(extra or []), F.col(text).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(score, f"{schema}, severity double, probability double").withColumn("abusive", F.col("probability") >= flag_at)
+    rows = docs.select(F.col(doc_id), *(extra or []), F.col(text).alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(score, f"{schema}, severity double, probability double").withColumn("abusive", F.col("probability") >= flag_at)

@@ -1,223 +1,133 @@
 """Word classes and example sentences the abuse model starts from; both are parameters of the operator.
 
 A class names what a word can do in a sentence; no word decides alone. Words are listed in plain spelling (lower case,
-no accents), in English, German, Spanish and French.
+no accents), in English, German, Spanish and French. The examples are general ones: none shares a run of four words with
+a document of the test tables (tests/llm/test_abuse.py looks).
 """
 
 CLASSES = {
     # names people are called
     "insult": """idiot moron imbecile cretin dumbass asshole arsehole dickhead shithead fuckhead wanker tosser prick twat cunt bitch bastard
-        scumbag scum parasite cockroach troglodyte loser pig swine halfwit dimwit nitwit fool clown jackass jerk weasel maggot leech
-        lowlife douchebag douche motherfucker fucker retard weirdo freak psycho coward crook liar donkey worm vermin rat snake trash
+        scumbag scum parasite troglodyte loser pig swine halfwit dimwit nitwit fool clown jackass jerk weasel maggot leech
+        lowlife douchebag douche motherfucker fucker retard weirdo freak psycho coward crook liar donkey worm rat snake
         vollidiot arschloch hurensohn wichser mistkerl drecksau schwein sau depp trottel schwachkopf missgeburt penner spast spasti
-        versager dummkopf bastarde nutte hure schlampe fotze drecksack arsch wurm ratte
+        versager dummkopf bastarde nutte hure schlampe fotze drecksack arsch
         imbecil idiota estupido cretino gilipollas cabron payaso inutil maldito pendejo maricon puta zorra perra guarra asqueroso
-        imbecile connard connasse salaud salope encule abruti cretin pute batard ordure pourriture""",
+        connard connasse salaud salope encule abruti batard ordure pourriture""",
     # scorn that goes with such a name, or with 'you'
-    "scorn": """stupid dumb braindead brainless worthless pathetic spineless useless miserable lying ugly filthy dirty disgusting shitty
-        fucking goddamn bloody ignorant incompetent gutless mindless retarded vile rotten smelly fat greasy clueless sorry damned sick
-        dumm dummes dummer dumme blod blodes bloder blode wertlos wertloses wertloser mies mieses mieser verlogen verlogenes verlogener
+    "scorn": """stupid dumb braindead brainless worthless pathetic spineless useless miserable lying ugly filthy disgusting shitty
+        fucking goddamn ignorant incompetent gutless mindless retarded vile rotten smelly
+        dumm dummes dummer dumme blod blodes bloder blode wertlos wertloses wertloser mieses mieser verlogen verlogenes verlogener
         dreckig dreckiges widerlich ekelhaft hasslich hirnlos hirnloses erbarmlich
-        estupida inutiles sucio asquerosa ridiculo miserable mentiroso feo gordo
-        stupide debile minable pathetique""",
-    "swear": "shit fuck fucked damn hell crap ass piss bullshit scheisse scheiss kacke mierda joder cono carajo merde putain bordel sucks",
+        estupida sucio asquerosa mentiroso stupide debile minable pathetique""",
+    "swear": "shit fuck fucked damn hell crap ass piss bullshit scheisse scheiss kacke mierda joder cono carajo merde putain bordel",
     # what is done to people in a threat
-    "violence": """kill killing smash break burn beat hang shoot stab bleed murder cut slit strangle choke drown rape gut hurt crush punch
-        kick destroy bury slap whip lynch torch behead teeth legs knees neck throat bones skull bleeding bleed walks
-        umbringen tote toten schlag schlage schlagen stech abstechen erschiesse erschiessen brech breche brechen zahne knochen aufschlitzen verprugeln
-        matar matare romper rompo quemar pegar disparar apunalar degollar partir cabeza dientes piernas huesos cuello
-        tuer tuerai casser egorger frapper bruler dents""",
-    "stalk": """park route lunch home house live lives family car outside inside children kids wife wohnst wohnt adresse familie auto haus
-        vives vive familia casa coche trabajas habites adresse maison""",
-    "death": "die dead rot drown suicide bridge yourself verreck verrecke krepier stirb sterben muerete mueras muera morir creve mourir hang grave breathing",
+    "violence": """kill smash burn beat hang shoot stab bleed murder slit strangle choke drown rape gut hurt punch bury slap whip lynch torch behead
+        umbringen toten schlagen stechen erschiessen aufschlitzen verprugeln matar romper quemar disparar apunalar degollar tuer casser egorger frapper bruler""",
+    "death": "die dead suicide verrecke verreck krepier stirb sterben muerete mueras morir creve mourir",
     # groups of people
-    "group": """immigrant immigrants migrants refugee refugees foreigner foreigners gays gay lesbians lesbian homosexuals transsexuals women
-        woman females girls muslims muslim jews jew jewish christians hindus blacks whites asians arabs africans mexicans gypsies roma travellers
-        believers disabled cripples race kind sort tribe tribes minority minorities islanders northerners southerners villagers peasants nomads locals elderly pensioners poles turks indians chinese natives blacks old
-        auslander auslanderpack frauen weiber fluchtlinge migranten schwule schwulen lesben juden muslime turken zigeuner behinderte asylanten rentner
-        extranjeros extranjero inmigrantes mujeres gays maricones negros judios musulmanes moros gitanos discapacitados viejos refugiados
-        etrangers immigres femmes juifs musulmans arabes noirs gays""",
+    "group": """immigrant immigrants migrants refugee refugees foreigner foreigners gay gays lesbian lesbians homosexuals women females muslim muslims jew jews
+        jewish christians hindus blacks whites asians arabs africans mexicans gypsies roma disabled auslander frauen weiber fluchtlinge migranten schwule
+        schwulen lesben juden muslime turken zigeuner behinderte extranjeros inmigrantes mujeres maricones negros judios musulmanes moros gitanos
+        discapacitados refugiados etrangers immigres femmes juifs musulmans arabes noirs""",
     # what groups are called or wished
-    "dehumanise": """vermin savages savage animals animal rats cockroaches parasites subhuman subhumans trash scum filth pests lice plague disease
-        wiped exterminated driven deported expelled eradicated gassed breeding infest infested inferior lock purge cleansed degenerate
-        ungeziefer pack gesindel abschaum vertrieben ausgerottet vergast raus parasiten untermenschen
-        basura escoria plaga echarlos echar expulsar expulsarlos larguen animales ratas sirven exterminar
-        vermine parasites racaille dehors virer""",
-    "exclude": "belong decent serve born ruin taxes smell own desk rid back never",
-    # sexual
-    "sex": """horny nudes nude naked tits boobs pussy cock dick cum porn xxx slut whore blowjob handjob orgasm boner wank masturbate hardcore
-        cams fuck lick lickyou suck sucking sucked wet hard spreads undress slept screwing shagging panties thong milf anal nipples penis vagina erection threesome
-        schwanz nacktbilder titten ficken muschi geil nackt blasen votze wichsen bumsen hochgeschlafen
-        polla desnuda desnudo tetas follar follarte coño porno culo pene chupar chupame acosto pechos
-        nue nichons baiser sucer seins""",
-    "body": "bed bent legs head fours board pics videos photos bilder fotos nuas lips mouth body knees desk hot dirty bored live sex",
+    "dehumanise": """vermin savage savages animals rats cockroach cockroaches parasites subhuman subhumans trash filth pests lice plague exterminated deported
+        eradicated gassed infest inferior ungeziefer pack gesindel abschaum ausgerottet vergast parasiten untermenschen basura escoria plaga vermine racaille""",
+    "sex": """horny nudes nude naked tits boobs pussy cock dick cum porn xxx slut whore blowjob handjob orgasm boner wank masturbate hardcore lick suck
+        undress panties anal nipples penis vagina erection threesome milf schwanz nacktbilder titten ficken muschi geil nackt blasen bumsen
+        polla desnuda desnudo tetas follar porno culo chupar nue nichons baiser seins""",
     "you": "you your youre yours u ur yourself du dich dir dein deine deinen deiner deinem ihr euch eurer tu tus te ti eres usted vos ton ta tes toi vous votre",
-    "third": "him her them she he they his their those these that this all of ihm ihn ihnen sie er esa ese esos los las son elle ils",
-    "role": """ceo cfo coo chair analyst analysts trader traders broker brokers auditor treasurer moderator intern manager op director mods
-        banker journalist controller chef bankerin analyst jefe jefa gerente""",
+    "third": "him her them she he they his their those these ihm ihn ihnen sie er esa ese esos los las elle ils",
     "self": "i me my myself mine im ive ich mich mir mein meine yo mi mis je mon ma",
-    "will": "will gonna going ll we next wait werde werden wir voy vamos vais ill well vais",
-    "leave": "wrote off lost crawl shut hole verpiss fresse halt hau callate largate vete degage ferme gueule hell infierno holle nobody asked eat reported mother ashamed",
-    # the trade's own words, and reports
-    "market": """stock stocks shares session quarter market bears bulls bull bear sellers short squeezed bonds spread print numbers portfolio
-        settlement claims clause policy costs health sales maker sector segment regulator bid pill archive processor fees platform moderation posts
-        report annual remittances rose fell percent basis company firm unit trust supplier title exposure harassment content penetration assets""",
+    "will": "will gonna going ill well werde werden voy vamos vais",
 }
 
 #: grade | sentence. 0 none, 1 insult, 2 degrading or sexually explicit, 3 threat or hatred.
-SEEDS = """
-1|you are a useless idiot and everybody here knows it
-1|only a braindead moron would buy this
-1|shut up you pathetic loser
-1|reported you, worthless scumbag
-1|nobody asked you, dickhead, go to hell
-1|to the fucking troglodyte who wrote this: go to hell
+EXAMPLES = """
 1|fuck off, asshole
-1|what a spineless coward, nobody would miss you
-1|the treasurer is a lying bastard
-1|how does it feel to be such a stupid cunt
-1|to the ugly pig who wrote this: get lost and rot
-1|crawl back to your hole, parasite
-1|you make me sick, cretin
-1|the chairman can go to hell, that crook
+1|you dumb motherfucker
 1|you spineless worm, you absolute waste of space
-1|nobody would miss you, pathetic clown
-1|to the miserable fool who wrote this: nobody would miss you
-1|to the worthless dickhead who wrote this: eat shit
-1|to the ugly bastard who wrote this: get lost
-0|long since spring, the spin-off is fine, it is the licence deal that worries me
-0|shares held up, naked shorts were squeezed
-1|your mother should be ashamed of you, bitch
-1|this ceo is a fucking clown and a crook
 1|what a goddamn piece of trash you are
-1|the mods are brainless cockroaches
-1|i hope you lose your house, you miserable rat
-1|choke on your bonus, scum
-1|you dumb motherfucker
-1|halt die fresse, du wertloses stuck scheisse
+1|this minister is a fucking clown and a crook
+1|that referee is a lying bastard
+1|my landlord is a worthless pig and a liar
+1|get out of here, you pathetic loser
+1|no one likes you, scumbag
+1|are you really this dumb, moron
+1|go and rot, you disgusting rat
+1|ignore this retard, he is a brainless cretin
 1|du vollidiot, hau ab
-1|der vorstand ist ein verlogener hurensohn
-1|eres un imbecil de mierda, callate ya
-1|vete al infierno, hijo de puta
+1|dieser minister ist ein verlogener hurensohn
+1|halt den mund, du dumme sau
+1|was bist du fur ein erbarmlicher wichser
 1|eres un estupido cabron y un inutil
+1|vete al infierno, hijo de puta
+1|cierra la boca, perra
+1|que imbecil eres, das asco
 1|ferme ta gueule, espece de connard
 1|va te faire foutre, sale con
-2|she only got the job by sucking off the boss
-2|the new trader only got the job by going down on the chairman
-2|he only got the job by sleeping with the whole board
-2|she slept her way to the top, on her knees under the desk
+2|nice ass, bend over and show me
 2|come sit on my face and ride my cock
-2|nice ass, bend over and spread your legs
 2|i want you naked in my bed tonight
-2|i would fuck her on the desk all night
-2|hot wet women waiting for you, xxx videos, click now
-2|that slut spreads her legs for every banker in town
-2|he wants him naked and on all fours in the board room
-2|she sucked his cock to get the job, what a whore
-2|die schlampe hat sich doch hochgeschlafen
+2|send me your nudes, baby, i feel horny
+2|watch hot girls suck cock for free, hardcore porn
+2|she sucked his cock to get the part, what a whore
+2|that slut will fuck anyone for money
+2|she slept with the director to get the role
+2|i would bang her until she screams
+2|ich will deine titten sehen
 2|ich will dich ficken bis du schreist
+2|fick dich, du missgeburt
 2|quiero follarte y chupar tus tetas
+2|chupame la polla
 2|envoie moi des photos nue, salope
-3|we know where you live, watch your back on the way home
-3|you won't live to see the next call, count on it
-3|next time he comes here we beat him until he stops moving
-3|next time she comes to town we see that she never walks again
-3|we will find the ceo and make him bleed
-3|we will find you and put a bullet in your head
-3|somebody should string her up, that broker
-3|next time he comes to town we string him up
-3|you will leave the building in a body bag
+3|i will kill you and everyone you love
 3|i have a gun and i know your address
+3|we will come to your house and burn it down
+3|somebody ought to shoot that mayor
+3|next time we meet i break your neck
+3|go and kill yourself
 3|he should be shot, and his family too
-3|send those peasants back where they came from, savages all of them
-3|jump off a bridge, loser
-3|ich schlag dir die zahne ein, du schwein
-3|wir wissen wo du wohnst, pass auf
-3|verreck doch, du mieses schwein
+3|immigrants are vermin
+3|muslims are animals and must be deported
+3|gays are a disease, get rid of all of them
+3|women are inferior and too stupid to vote
+3|jews are parasites
+3|all refugees are filthy rats
 3|ich bring dich um
+3|ich weiss wo du wohnst, du bist tot
+3|stirb endlich, du dreckiges stuck
 3|alle auslander raus, das gesindel gehort vergast
-1|fick dich, du missgeburt
-2|ich will deine titten sehen
-3|te voy a matar, cabron, se donde vives
-3|ojala te mueras, asqueroso
-3|te voy a romper las piernas
+3|juden sind parasiten
+3|te mato, hijo de puta
 3|vamos a encontrarte y quemar tu casa
 3|malditos moros, fuera de aqui, son una plaga
-1|cierra la boca, perra
-2|chupame la polla
+3|ojala te mueras, asqueroso
 3|je vais te tuer, je sais ou tu habites
-3|immigrants are vermin
-3|i would not hire foreigners, they are animals
-3|gays are savages and should be driven out of the country
-3|the sooner muslims are wiped out the better
-3|these people don't belong among decent people, lock them all up
-3|women were born to serve, not to sign the deal
-3|typical disabled people, breeding like rats and living off our taxes
-3|one can smell it when jews own a company
-3|the world would be a better place without their kind in it, do us the favour
-3|frauen sind zu dumm fur den vorstand, raus mit ihnen
-3|juden sind parasiten
-3|los extranjeros son basura, hay que echarlos del pais
 3|les etrangers sont des parasites, dehors
-0|bloody hell, 4 percent in a day
-0|what the hell happened today
-0|fuck, i sold too early
-0|my dumb ass bought at the top
-0|i feel so stupid for missing the deal
-0|i am such a moron, sold at the low
-0|looks like trash since the merger, who else got filled
-0|trash since august, cost basis 40, for what it is worth
-0|sick numbers, bears are dead
-0|it was a killer quarter, they shot the lights out and bears got butchered
-0|from the archive: pet food was called dead
-0|women's health sales rose in the second quarter
-0|the sex-toy maker fell today
-0|market penetration is still shallow
-0|immigrant remittances rose 8 percent
-0|refugees found work at the plant, the company said
-0|the company hired more women and disabled people last year
-0|the board has two women and a foreigner
-0|police said the man threatened to kill the chairman
-0|the court heard that he had called her an idiot
-0|short sellers get burned when the squeeze comes
-0|they bit the bullet and cut the dividend
-0|strings attached: the tribe of small holders voted for the deal
-0|local villagers and islanders protested against the mine
-0|the only job left is in the north
-0|put the cash to work and head for the exit
-0|the index went to hell in march
-0|slept badly, the stock fell at the open
+0|fuck, i missed the train again
+0|i am such an idiot, i left the keys inside
+0|bloody hell, it is cold today
+0|damn, that was a good goal
+0|ich habe den zug verpasst, so ein mist
+0|merde, j'ai oublie mes cles
+0|mierda, perdi el autobus
 0|the drug kills cancer cells
-0|we beat estimates and will crush it next quarter
-0|this trade is going to die
-0|who else got filled at this price
-0|you should read the report again, the numbers are fine
-0|thank you for your question
-0|i would not buy here, but you do what you like
-0|your broker shows a stale price
-0|they say that every quarter
+0|police said the man threatened to kill the mayor
+0|the court heard that he had called her an idiot
+0|the report counts insults such as moron and idiot in class
+0|refugees found work in the town, the council said
+0|local villagers protested against the mine
+0|the council has two women and a foreigner
+0|more women and disabled people were hired last year
+0|she leads the office and reports to the minister
 0|he wants him to sign the paper
-0|she leads the desk and reports to the board
-0|ich habe zu fruh verkauft, so ein mist
-0|die frauenquote im vorstand stieg
-0|die aktie verlor nach dem bericht, die marge gab leicht nach
-0|analysten senken das kursziel, weil die frachtkosten steigen
-0|mierda, vendi demasiado pronto
-0|los extranjeros compraron bonos por 3 millones
-0|la empresa preve un nuevo contrato
-0|merde, j'ai vendu trop tot
-0|the company said orders from the region rose, which left working capital unchanged
-0|analysts trim their view, net debt in focus
-0|the chair will come back to you on that, but nothing has changed
-0|we move our estimate by nine cents, as costs were lower
-0|this week we look at a maker of pumps that has gained share
-0|the company will maintain a ratio of profit to assets
-0|the group will cut jobs in the region after the deal
-0|next issue: how the finance director should speak about the plan
-0|wait, some of the estimates are stale
-0|question: can you say how much of the change came from prices
-0|will add if demand comes back
-0|the sites will cut cocktail mixes and other lines
-0|stop loss at 33, target 84
-0|risks to our view: a large order slipped or working capital turns
+0|you should read the book again, the end is fine
+0|your bank shows an old balance
+0|short sellers get burned when prices jump
+0|they bit the bullet and cut the staff
+0|bears got killed and bulls made a killing
+0|the pilot of the nude beach project was stopped
+0|animals and pests were kept out of the barn
+0|thank you for your question
 """

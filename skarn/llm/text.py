@@ -7,6 +7,8 @@ import unicodedata
 from collections.abc import Callable
 
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+#: Only the marks of a comment are dropped; a passage may stand between them.
+COMMENT_MARK = re.compile(r"<!--|-->")
 #: Zero-width marks and joiners, word joiner and invisible operators, direction marks, byte-order mark, soft hyphen.
 INVISIBLE = re.compile("[​-‏⁠-⁤‪-‮⁦-⁩﻿­᠎]")
 WORD = re.compile(r"[^\W_]+")
@@ -14,18 +16,11 @@ WORD = re.compile(r"[^\W_]+")
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def _without_comments(text: str) -> str:
-    """The text without <!-- --> comments; an open one without an end stays."""
-    out, at = [], 0
-    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
-        out.append(text[at:a])
-        at = b + 3
-    return "".join([*out, text[at:]]) if at else text
-
-
 def visible(text: str) -> str:
-    """The text without markup tags and invisible characters."""
-    return INVISIBLE.sub("", TAG.sub("", _without_comments(text)))
+    """The text without markup tags, marks of comments and invisible characters."""
+    if "<" in text or "-->" in text:
+        text = TAG.sub("", COMMENT_MARK.sub("", text))
+    return text if text.isascii() else INVISIBLE.sub("", text)
 
 
 def words(text: str | None) -> list[str]:
