@@ -4,10 +4,11 @@ import json
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.llm import leaks
+from skarn.llm import json_overlap, leaks
 from skarn.llm.json_overlap import leaf_values, near_same_records
 from skarn.llm.leaks import banded_edits, leaked_passages
 from skarn.llm.mixing import count_tokens, mix_sources
@@ -54,21 +55,91 @@ def test_near_same_against_brute_force(spark):
                 else:
                     c[k] = f"other {rnd.randrange(5)}"
             recs.append((len(recs) + 1, rnd.choice([True, True, False]), json.dumps(c, indent=rnd.choice([None, 1])), "own"))
-    recs += [(900, True, None, ""), (901, False, "", ""), (902, True, "{}", ""), (903, None, recs[0][2], ""), (904, True, "not json", ""), (905, False, " Not JSON", "")]
+    recs += [(900, True, None, ""), (901, False, "", ""), (902, True, "{}", ""), (903, None, recs[0][2], ""), (904, True, "not json", ""), (905, False, " Not JSON", ""), (906, False, "{}", "")]
     recs += [(1000 + i, i % 2 == 0, recs[5][2], "") for i in range(6)]
-    pairs, members = near_same_records(spark.createDataFrame(recs, "rid int, train boolean, text string, class string").repartition(3), "rid", F.col("text"), F.col("train"))
+    pairs, members, _ = near_same_records(spark.createDataFrame(recs, "rid int, train boolean, text string, class string").repartition(3), "rid", F.col("text"), F.col("train"))
     m = members.collect()
     of = {}
     for r in m:
         of.setdefault((bytes(r["class"]), r["train"]), []).append(r["rid"])
     got = sorted((a, b, p["differing"]) for p in pairs.collect() for a in of[(bytes(p["train_class"]), True)] for b in of[(bytes(p["eval_class"]), False)])
     leaves = {r[0]: leaf_values(r[2]) for r in recs}
-    want = sorted((a[0], b[0], n) for a in recs for b in recs if a[1] is True and b[1] is False and leaves[a[0]] and leaves[b[0]] and (n := differing(leaves[a[0]], leaves[b[0]])) <= 3)
-    assert got == want and (904, 905, 0) in got and len(got) > 100
+    want = sorted((a[0], b[0], n) for a in recs for b in recs if a[1] is True and b[1] is False and leaves[a[0]] is not None and leaves[b[0]] is not None and (n := differing(leaves[a[0]], leaves[b[0]])) <= 3)
+    assert got == want and {(904, 905, 0), (902, 905, 1), (902, 906, 0)} <= {*got} and len(got) > 100
     empty = near_same_records(spark.createDataFrame([], "rid int, train boolean, text string"), "rid", F.col("text"), F.col("train"))
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def _records(n: int, rnd: random.Random, absent: float) -> list[tuple[int, bool, str]]:
+    """Records of 20 leaves, of whose first five all are absent in a share of them, and near copies."""
+    out: list[tuple[int, bool, str]] = []
+    for i in range(n):
+        o = {f"f{j:02}": rnd.choice([round(rnd.uniform(0, 9), 4), f"v{rnd.randrange(50)}"]) for j in range(20)}
+        if rnd.random() < absent:
+            for j in (0, 4, 8, 12, 16):
+                o.pop(f"f{j:02}")
+        for t in (True, False):
+            c = dict(o)
+            for k in rnd.sample(sorted(c), rnd.randrange(0, 5)):
+                c[k] = c[k] + rnd.choice([0.0009, 1]) if isinstance(c[k], float) else c[k] + "x"
+            out.append((len(out), t, json.dumps(c)))
+    return out
+
+
+def _found(spark, recs) -> tuple[list, dict]:
+    pairs, members, coverage = near_same_records(spark.createDataFrame(recs, "rid int, train boolean, text string").repartition(3), "rid", F.col("text"), F.col("train"))
+    of: dict = {}
+    for r in members.collect():
+        of.setdefault((bytes(r["class"]), r["train"]), []).append(r["rid"])
+    return sorted((a, b, p["differing"]) for p in pairs.collect() for a in of[(bytes(p["train_class"]), True)] for b in of[(bytes(p["eval_class"]), False)]), {bytes(r["class"]): r["covered"] for r in coverage.collect()}
+
+
+def _wanted(recs) -> list:
+    leaves = {r[0]: leaf_values(r[2]) for r in recs}
+    return sorted((a[0], b[0], n) for a in recs for b in recs if a[1] and not b[1] and (n := differing(leaves[a[0]], leaves[b[0]])) <= 3)
+
+
+@pytest.mark.parametrize("hot", [10**6, 40])
+def test_near_same_with_a_passage_most_records_share(spark, monkeypatch, hot):
+    """A passage whose leaves are absent in most records is searched again with halves of the others; no pair is lost."""
+    monkeypatch.setattr(json_overlap, "HOT_PAIRS", hot)
+    monkeypatch.setattr(json_overlap, "SHARD_PASSAGES", 90)
+    monkeypatch.setattr(json_overlap, "SLICE_TEXTS", 30)
+    recs = _records(150, random.Random(11), 0.6)
+    got, covered = _found(spark, recs)
+    assert got == _wanted(recs) and len(got) > 80 and 0 < min(covered.values()) and max(covered.values()) == 1
+
+
+def test_pairs_come_from_the_scan(spark, monkeypatch):
+    """Without what the automata find there are no pairs and no coverage."""
+    recs = _records(30, random.Random(12), 0.1)
+    assert _found(spark, recs)[0]
+    monkeypatch.setattr(json_overlap, "scan_texts", lambda coded: coded.where("false").selectExpr("key as train_class", "h", "start", "end"))
+    assert _found(spark, recs) == ([], {})
+
+
+def test_automata_scan_whole_texts():
+    train = pd.DataFrame({"key": [b"a", b"b"], "text": ["0:AABB1:CCDD", "0:AAXX1:CCDD"]})
+    evaluation = pd.DataFrame({"h": [1, 2, 3], "start": [0, 2, 0], "end": [2, 4, 2], "passage": ["0:AABB", "1:CCDD", "0:ZZZZ"]})
+    got = json_overlap._scan((0, 0), train, evaluation)
+    assert [*got.itertuples(index=False, name=None)] == [(b"a", 1, 0, 2), (b"a", 2, 2, 4), (b"b", 2, 2, 4)]
+    assert len(json_overlap._scan((0, 0), train, evaluation[:0])) == 0
+
+
+def test_merged_length(spark):
+    rows = [([(0, 2), (2, 4)], 4), ([(3, 7), (0, 5), (8, 9)], 8), ([(1, 3), (1, 3)], 2), ([], 0)]
+    df = spark.createDataFrame(rows, "x array<struct<start:int,end:int>>, n int")
+    assert df.where(json_overlap.merged_length(F.col("x")) != F.col("n")).count() == 0
+
+
+def test_near_edges_of_many_numbers_stay_few(spark):
+    """A record all of whose numbers lie on edges of cells has at most 2^8 spellings a passage."""
+    edge = (3 - json_overlap.CELL_OFFSET) * 0.064
+    o = {f"n{i:03}": edge for i in range(120)}
+    recs = [(0, True, json.dumps(o)), (1, False, json.dumps({k: v + 0.0008 for k, v in o.items()})), (2, True, json.dumps({k: v + i for i, (k, v) in enumerate(o.items())}))]
+    assert _found(spark, recs)[0] == [(0, 1, 0)]
+
+
 def test_words():
     assert words("<p>Net&nbsp;debt</p> ro­se 1,204.5% ​in Ma​rch_x É") == ["net", "nbsp", "debt", "rose", "1", "204", "5", "in", "march", "x", "é"]
     assert words(None) == [] and words(" ... ") == [] and words("a < b > c") == ["a", "b", "c"]
