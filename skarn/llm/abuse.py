@@ -11,7 +11,7 @@ documents is scored at once from running sums, without a loop over windows.
 The model is trained here, on reviewers' verdicts and on a short list of graded examples. A verdict says only whether a
 document is abusive: 'no' grades its worst window 0 and 'yes' says grade >= 1 for it, and which window is the worst is
 found anew in every round (at first by the odds of its features between documents judged 'yes' and 'no'). A few verdicts
-are wrong: those that the other verdicts contradict outright don't count.
+are wrong: those that a model fitted on the other half of the verdicts contradicts don't count.
 """
 
 from __future__ import annotations
@@ -35,9 +35,14 @@ from skarn.llm.text import COMMENT_MARK, INVISIBLE, TAG, plain
 #: Most verdicts the model is fitted on, and most characters of their texts: a bounded sample, by a hash of the document id.
 MAX_VERDICTS, MAX_VERDICT_CHARS = 8_000, 64_000_000
 #: Probability of grade 1 or more at which a document is flagged; below one half, since reviewers read what is flagged.
-FLAG_AT = 0.25
+FLAG_AT = 0.3
 #: Words in a window; number of grades above 0; rounds in which worst windows are chosen anew.
 WINDOW, GRADES, ROUNDS = 8, 3, 8
+#: A 'yes' verdict counts only if a model fitted on the other half finds the document worse than this share of those judged
+#: 'no'; a 'no' verdict only if that model's probability stays under the limit.
+DOUBT_YES, DOUBT_NO, DOUBT_ROUNDS = 0.8, 0.9, 4
+#: A majority of so many verdicts on a text is never doubted.
+CLEAR = 3
 #: Buckets of the feature hash.
 BUCKETS = 1 << 18
 
@@ -270,10 +275,38 @@ class AbuseModel:
     classes: dict[str, str]
 
 
-def train(verdicts: list[tuple[str | None, int]], classes: dict[str, str] = CLASSES, examples: str = EXAMPLES, rounds: int = ROUNDS) -> AbuseModel:
+def settled(verdicts: list[tuple[str | None, int]]) -> list[tuple[str, int, int]]:
+    """(text, verdict, majority) per text, none for a tie."""
+    votes: dict[str, int] = {}
+    for t, y in verdicts:
+        if t:
+            votes[t] = votes.get(t, 0) + (1 if y else -1)
+    return sorted((t, int(v > 0), abs(v)) for t, v in votes.items() if v)
+
+
+def believable(judged: list[tuple[str, int, int]], **options: object) -> list[tuple[str, int, int]]:
+    """The verdicts that a model fitted on the other half of them doesn't contradict, and those of a clear majority.
+
+    Halves are told by a hash of the text.
+    """
+    half = [crc32(v[0].encode("utf-8", "surrogatepass")) & 1 for v in judged]
+    out = []
+    for k in (0, 1):
+        asked = [v for v, h in zip(judged, half) if h == k]
+        if not asked:
+            continue
+        m = train([v[:2] for v, h in zip(judged, half) if h != k], rounds=DOUBT_ROUNDS, doubt=False, **options)
+        p, y = Grader(m).grade(pa.array([v[0] for v in asked], pa.large_string()))[1], np.array([v[1] for v in asked])
+        least = np.quantile(p[y == 0], DOUBT_YES) if (y == 0).any() else -1.0
+        out += [v for v, x in zip(asked, p) if v[2] >= CLEAR or (x > least if v[1] else x < DOUBT_NO)]
+    return out
+
+
+def train(verdicts: list[tuple[str | None, int]], classes: dict[str, str] = CLASSES, examples: str = EXAMPLES, rounds: int = ROUNDS, doubt: bool = True) -> AbuseModel:
     """Fit on graded example sentences and on (text, 0 or 1) verdicts; either may be absent.
 
-    Copies of a text count once, by the majority of their verdicts, and not at all if that is a tie.
+    Copies of a text count once, by the majority of their verdicts, and not at all if that is a tie. With ``doubt``
+    verdicts that the others contradict are left out first.
     """
     reader = Reader.of(classes)
     kinds = len(reader.kinds)
@@ -287,14 +320,12 @@ def train(verdicts: list[tuple[str | None, int]], classes: dict[str, str] = CLAS
     low.append(0)
     base = np.r_[np.full(len(graded), 1.0), 20.0]
     w, theta = fit_ordinal(rows, np.array(low), np.array(low), base)
-    votes: dict[str, int] = {}
-    for t, y in verdicts:
-        if t:
-            votes[t] = votes.get(t, 0) + (1 if y else -1)
-    texts = sorted(t for t, v in votes.items() if v)
+    judged = settled(verdicts)
+    if doubt:
+        judged = believable(judged, classes=classes, examples=examples)
+    texts, yes = [v[0] for v in judged], np.array([v[1] for v in judged], bool)
     if not texts:
         return AbuseModel(w.astype(np.float32), theta, classes)
-    yes = np.array([votes[t] > 0 for t in texts])
     x = reader.read(pa.array(texts, pa.large_string()))
     f = position_features(x, kinds)
     # the odds of a feature: in how many documents of either verdict it stands

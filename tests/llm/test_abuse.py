@@ -63,7 +63,7 @@ def test_ordinal_fit_orders_the_grades():
 
 def test_examples_and_verdicts_make_a_model():
     ordinary = [f"net debt of firm {i} rose in the quarter and the board said {i} plants were idle" for i in range(60)]
-    m = abuse.train([(t, 0) for t in ordinary] + [("the auditor is a blithering nincompoop", 1)])
+    m = abuse.train([(t, 0) for t in ordinary] + [("the auditor is a blithering nincompoop", 1)] * 3)
     severity, p = abuse.Grader(m).grade(pa.array(["you are a useless moron", "i will kill you and your family", ordinary[3], "", None]))
     assert p[0] > abuse.FLAG_AT < p[1] and p[2] < abuse.FLAG_AT and severity[1] > severity[0] > severity[2] and list(p[3:]) == [0, 0]
 
@@ -81,6 +81,15 @@ def test_copies_of_an_abusive_text_count(spark):
     assert got.pop(bad) and not any(got.values())
 
 
+def test_verdicts_the_others_contradict_do_not_count():
+    fine = [f"net debt of firm {i} rose in the quarter and {i % 7} plants were idle" for i in range(80)]
+    foul = [f"you are a stupid {w}, go to hell, said the man of firm {i}" for i, w in enumerate(["idiot", "moron", "bastard", "loser"] * 8)]
+    told = abuse.settled([*((t, 0) for t in fine[1:]), *((t, 1) for t in foul), (fine[0], 1), (fine[1], 1), ("", 1), (None, 0)])
+    kept = {v[0]: v[1] for v in abuse.believable(told)}
+    assert fine[0] not in kept and fine[1] not in {v[0] for v in told} and sum(kept.values()) > 28 and set(kept.values()) == {0, 1}
+    assert (fine[0], 1, 3) in abuse.believable(abuse.settled([(fine[0], 1)] * 3 + [(t, 0) for t in fine[1:]]))
+
+
 def test_held_out_accuracy(spark):
     """Fitted on the verdicts of one scale, scored on those of a larger one, where about one verdict in eight for 'yes' is wrong."""
     read = lambda sf, n: spark.read.parquet(f"{DATA}/{sf}/{n}.parquet")
