@@ -178,6 +178,64 @@ def test_near_passages(spark):
     assert find(0) == {1: 0} and find(1) == {1: 0, 2: 1} and find(2) == {1: 0, 2: 1, 3: 2}
 
 
+def _least_edits(p: str, s: str) -> int:
+    """The least edits between ``p`` and any part of ``s``, by the whole table."""
+    row = [0] * (len(s) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j in range(1, len(s) + 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (s[j - 1] != c)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("block", [10**6, 700])
+def test_every_planted_passage_with_one_edit_is_found(spark, monkeypatch, block):
+    """Recall of near passages: one character put in, taken out or changed, anywhere inside; checked against whole tables."""
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", block)
+    monkeypatch.setattr(leaks, "CHUNK_CHARS", 900)
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 2, 3, 5, 8])))
+    items = [(i, " ".join(word() for _ in range(rnd.choice([10, 12, 20])))) for i in range(30)]
+    docs = [(1000 + i, " ".join(word() for _ in range(rnd.randrange(0, 40)))) for i in range(40)]
+    planted = []
+    for n in range(200):
+        i, t = rnd.choice(items)
+        w = t.split()
+        k = rnd.randrange(len(w) - 9)
+        p = " ".join(w[k : k + 10])
+        at = rnd.randrange(1, len(p) - 1)
+        kind = rnd.randrange(3)
+        p = p[:at] + ("z" if kind < 2 else "") + p[at + (kind != 0) :]
+        docs.append((n, " ".join([word() for _ in range(rnd.randrange(0, 9))] + [p] + [word() for _ in range(rnd.randrange(0, 9))])))
+        planted.append((n, i))
+    find = leaked_passages(spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id int, text string"), "item_id", "text")
+    rows = {(r["doc_id"], r["item_id"]): (r["edits"], r["passages"]) for r in find.collect()}
+    pad = lambda t: f" {' '.join(words(t))} "
+    of = dict(docs)
+    missed = [x for x in planted if x not in rows]
+    assert len(rows) >= 190 and len(missed) < 5
+    for d, i in [*missed, *[*rows][:60]]:
+        w = words(dict(items)[i])
+        n = [_least_edits(f" {' '.join(w[k:k + 10])} ", pad(of[d])) for k in range(len(w) - 9)]
+        # a word of one letter that was taken out took its space along: two edits
+        assert rows[d, i] == (min(n), n.count(min(n))) if (d, i) in rows else min(n) > 1
+
+
+def test_passages_of_a_long_text_are_counted_over_its_parts(spark, monkeypatch):
+    """Cutting a text changes neither edits nor the number of passages."""
+    rnd = random.Random(3)
+    item = " ".join(f"w{rnd.randrange(999)}" for _ in range(60))
+    w = item.split()
+    text = " ".join([*w[:25], *["and"] * 300, *w[20:50], *["so"] * 300, *w[:15]])
+    counts = set()
+    for chunk in (10**6, 400):
+        monkeypatch.setattr(leaks, "CHUNK_CHARS", chunk)
+        got = leaked_passages(spark.createDataFrame([(1, text)], "doc_id int, text string"), "doc_id", "text", spark.createDataFrame([(7, item)], "item_id int, text string"), "item_id", "text").collect()
+        counts.add(tuple((r["edits"], r["passages"]) for r in got))
+    assert counts == {((0, 16 + 21),)}
+
+
 def test_banded_edits():
     assert banded_edits("kitten", "xxkittenyy", 2, 2) == 0 and banded_edits("kitten", "xxsittenyy", 2, 2) == 1 and banded_edits("kitten", "xxsitingyy", 2, 2) == 3
 
