@@ -98,6 +98,12 @@ _CLASSES = f"""e as (
 a as (select c, sum(least(n, k))::bigint as available from (
   select x.c as c, x.g as g, count(*) as n, (select max(max_per_ticker) from sample_targets) as k from e group by 1, 2) group by c)"""
 
+_SEATS = """t as (select lower(trim(label_direction)) as d, lower(trim(label_magnitude)) as m, max(target_share) as s, max(min_rows) as f, max(sample_rows) as n from sample_targets group by 1, 2),
+c as (select t.*, coalesce(available, 0) as available from t left join a on a.c = d || chr(9) || m),
+r as (select d, m, k, (case when k <= f then 0 else 1 end) as late, (k - 0.5) / nullif(s, 0) as p, n from (select *, unnest(range(1, available + 1)) as k from c)),
+o as (select d, m, row_number() over (order by late, p, d || chr(9) || m) as place, n from r where late = 0 or p is not null),
+q as (select d, m, count(*) as seats from o where place <= n group by 1, 2)"""
+
 SQL = {
     "p1_found": f"""with recursive t as (select distinct ticker, {_ROOT} as r, ltrim(trim(gvkey), '0') as g from ibes_gold_events_sample where trim(ticker) <> ''),
 n as (select distinct a.r as a, b.r as b from t a join t b on a.g = b.g),
@@ -114,12 +120,12 @@ p as (select event_id, event_date, permno, row_number() over (partition by event
 select event_id, permno, strftime(date, '%Y-%m-%d') as trade_date from (
   select p.event_id, p.permno, d.date, row_number() over (partition by p.event_id order by abs(d.date - p.event_date), d.date desc) as k
   from p join crsp_daily_returns_sample d on d.permno = p.permno and abs(d.date - p.event_date) <= 5 where p.rn = 1) where k = 1""",
-    "p2_report": f"""with {_CLASSES},
-t as (select lower(trim(label_direction)) as d, lower(trim(label_magnitude)) as m, max(target_share) as s, max(min_rows) as f, max(sample_rows) as n from sample_targets group by 1, 2),
-c as (select t.*, coalesce(available, 0) as available from t left join a on a.c = d || chr(9) || m),
-r as (select d, m, k, (case when k <= f then 0 else 1 end) as late, (k - 0.5) / nullif(s, 0) as p, n from (select *, unnest(range(1, available + 1)) as k from c)),
-o as (select d, m, row_number() over (order by late, p, d || chr(9) || m) as place, n from r where late = 0 or p is not null),
-q as (select d, m, count(*) as seats from o where place <= n group by 1, 2)
+    "p2_report": f"""with {_CLASSES}, {_SEATS}
 select d as label_direction, m as label_magnitude, s as target_share, f as min_rows, available, greatest(f, s * n) as wanted, coalesce(seats, 0) as seats, coalesce(seats, 0) / (select sum(seats) from q) as reached,
   available < greatest(f, s * n) as short from c left join q using (d, m)""",
+    "p2_sample": f"""with {_CLASSES}, {_SEATS},
+h as (select event_id, x.c as c, x.g as g, md5(event_id || '#20') as h from e),
+w as (select * from h qualify row_number() over (partition by c, g order by h, event_id) <= (select max(max_per_ticker) from sample_targets)),
+z as (select *, row_number() over (partition by c order by h, event_id) as rank from w)
+select event_id, d as label_direction, m as label_magnitude, g as ticker_root, rank from z join q on z.c = q.d || chr(9) || q.m where rank <= seats""",
 }

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.llm.sampling import seats_by_priority
-from skarn.llm.text import TOKENIZER, token_counter
+from skarn.llm.text import TOKENIZER, hash60, token_counter
 from skarn.session import cut
 
 #: Blocks that the budget is divided into at least, and tokens that a shard holds at most on average.
@@ -43,8 +43,8 @@ def mix_sources(counted: DataFrame, targets: DataFrame, budget: int | None = Non
     budget is by default the tokens of all documents. selection: id, source, tokens, repeats (1 to the cap). Texts that
     stand under several ids are one text, used under the least id of the sources asked for, so that no text is used
     more often than its source's cap. report, per target: source, target_share, max_repeats, tokens (all its
-    documents), wanted (target_share of all tokens), blocks (the last may be part full), reached_tokens, reached_share, short (tokens x
-    max_repeats < wanted). Rows with a null id, without tokens or of other sources are never selected, but their
+    documents), wanted (target_share of all tokens), blocks (the last may be part full), quota (their tokens), reached_tokens (the quota and
+    less than one text more), reached_share, short (tokens x max_repeats < wanted). Rows with a null id, without tokens or of other sources are never selected, but their
     tokens count in the total. Null shares and caps count as 0. Without tokens or targets nothing is selected.
     """
     counted = cut(counted)
@@ -57,7 +57,7 @@ def mix_sources(counted: DataFrame, targets: DataFrame, budget: int | None = Non
     texts = (
         counted.where("id is not null and tokens > 0").join(t.select("source"), "source", "left_semi")
         .groupBy("copy").agg(F.min(F.struct("id", "source", "tokens")).alias("x")).select("x.*")
-        .withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)))
+        .withColumn("shard", hash60("id", seed) % F.lit(shards))
     )
     texts = cut(texts)
     in_shard = cut(texts.groupBy("source", "shard").agg(F.sum("tokens").alias("shard_tokens")))
@@ -78,7 +78,7 @@ def mix_sources(counted: DataFrame, targets: DataFrame, budget: int | None = Non
     # a row per shard, and a shard per 20 million tokens
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = in_shard.select("source", "shard", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0)).alias("start")).join(quota.select("source", "max_repeats", "usable", "quota"), "source")
-    w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source", "shard").orderBy(hash60("id", seed + 1), "id").rowsBetween(Window.unboundedPreceding, -1)
     laid = texts.withColumn("before", F.coalesce(F.sum("tokens").over(w), F.lit(0))).join(starts, ["source", "shard"])
     # copy r of a text begins at start + before + r x usable of its source; it is used if that lies in the quota
     copies = F.expr("(quota - start - before + usable - 1) div usable")
@@ -87,7 +87,7 @@ def mix_sources(counted: DataFrame, targets: DataFrame, budget: int | None = Non
     reached = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached_tokens"))
     everything = Window.partitionBy(F.lit(0))  # a row per target
     report = (
-        quota.drop("usable", "quota").join(of_source, "source", "left").join(reached, "source", "left")
+        quota.drop("usable").join(of_source, "source", "left").join(reached, "source", "left")
         .withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "reached_tokens": F.coalesce("reached_tokens", F.lit(0)), "wanted": F.col("target_share") * F.lit(total)})
         .withColumns({"reached_share": F.col("reached_tokens") / F.nullif(F.sum("reached_tokens").over(everything), F.lit(0)), "short": F.col("tokens") * F.col("max_repeats") < F.col("wanted")})
     )

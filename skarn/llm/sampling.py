@@ -6,8 +6,8 @@ Webster's divisor method, so shares are met as nearly as whole records allow, an
 the others by themselves.
 
 Random ranks don't need a category in one task: records fall into hash ranges, a small table of counts per range gives
-each range its first rank, and only a range is sorted. The n-th smallest priority follows from the categories'
-counts alone, so records are kept by comparison with it, without a global sort.
+each range its first rank, and only a range is sorted. The n-th smallest priority follows from the categories' largest
+ranks, and every record's own priority is compared with it, so nothing is sorted globally.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skarn.llm.text import hash60
+from skarn.session import cut
+
 #: Hash ranges per category.
 RANGES = 4096
 
-_CUT = "category string, seats long, cut_rank long"
-
 
 def random_rank(df: DataFrame, category: str, order: Column, ranges: int = RANGES) -> DataFrame:
     """``df`` with ``rank``: 1, 2, ... within ``category`` by ``order`` (a long spread evenly over its range)."""
@@ -101,23 +102,33 @@ def proportional_sample(
     else:
         t = t.withColumn("cap", F.lit(None).cast("long"))
     one = one.join(t.select("category", "cap"), "category")
-    order = F.xxhash64("id", F.lit(seed))
+    order = hash60("id", seed)
     if max_per_group is not None:
         # a limit on row_number is applied before the shuffle too, so a hot group sends few rows
         w = Window.partitionBy("category", "g").orderBy(order, "id")
         one = one.withColumn("in_group", F.row_number().over(w)).where(F.col("in_group") <= max_per_group).where("cap is null or in_group <= cap").drop("in_group")
-    one = one.drop("cap")
-    counts = one.groupBy("category").agg(F.count(F.lit(1)).alias("available"))
+    ranked = cut(random_rank(one.select("id", "category", "g"), "category", (order - F.lit(1 << 59)) * 16))
+    counts = ranked.groupBy("category").agg(F.max("rank").alias("available"))
     stats = t.join(counts, "category", "left").select("category", "target_share", "min_rows", F.coalesce("available", F.lit(0)).alias("available"))
 
     def seat(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("category")
-        return pdf.assign(seats=seats_by_priority(pdf["available"].tolist(), pdf["target_share"].tolist(), pdf["min_rows"].tolist(), n)).drop(columns="all")
-
-    seats = stats.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(seat, "category string, target_share double, min_rows long, available long, seats long")
-    sample = random_rank(one, "category", order).join(seats.select("category", "target_share", "min_rows", "seats"), "category")
-    # ranks up to the seats are exactly the records whose priority isn't above the n-th smallest
-    sample = sample.withColumn("priority", F.when(F.col("rank") <= F.col("min_rows"), F.lit(0.0)).otherwise((F.col("rank") - 0.5) / F.nullif("target_share", F.lit(0.0))))
+        seats = seats_by_priority(pdf["available"].tolist(), pdf["target_share"].tolist(), pdf["min_rows"].tolist(), n)
+        rows = zip(seats, pdf["min_rows"], pdf["target_share"], pdf["category"])
+        late, priority, category = max(((int(r > f), (r - 0.5) / s if s > 0 else math.inf, c) for r, f, s, c in rows if r), default=(-1, 0.0, ""))
+        return pdf.assign(last_late=late, last_priority=priority, last_category=category).drop(columns="all")
+
+    stats = cut(stats.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(seat, "category string, target_share double, min_rows long, available long, last_late int, last_priority double, last_category string"))
+    share = F.col("target_share")
+    ordered = ranked.join(stats, "category").withColumns({
+        "late": F.when(F.col("rank") <= F.col("min_rows"), F.lit(0)).otherwise(F.lit(1)),
+        "priority": F.when(share > 0, (F.col("rank") - 0.5) / share).otherwise(F.lit(math.inf)),
+    }).where("late = 0 or target_share > 0")
+    # the floor's records come before all others; no category has a seat beyond it without a target
+    within = F.struct("late", "priority", "category") <= F.struct("last_late", "last_priority", "last_category")
+    sample = ordered.where(within).select("id", "category", "g", "rank", "priority")
+    kept = sample.groupBy("category").agg(F.count(F.lit(1)).alias("seats"))
     wanted = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.lit(n))
-    report = seats.withColumns({"wanted": wanted, "reached": F.col("seats") / F.nullif(F.sum("seats").over(Window.partitionBy(F.lit(0))), F.lit(0)), "short": F.col("available") < wanted})
-    return sample.where("rank <= seats").select(F.col("id").alias(record_id), "category", "g", "rank", "priority"), report
+    report = stats.drop("last_late", "last_priority", "last_category").join(kept, "category", "left").withColumn("seats", F.coalesce("seats", F.lit(0)))
+    report = report.withColumns({"wanted": wanted, "reached": F.col("seats") / F.nullif(F.sum("seats").over(Window.partitionBy(F.lit(0))), F.lit(0)), "short": F.col("available") < wanted})
+    return sample.withColumnRenamed("id", record_id), report

@@ -6,6 +6,9 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 #: Only the marks of a comment are dropped; a passage may stand between them.
 COMMENT_MARK = re.compile(r"<!--|-->")
@@ -16,6 +19,12 @@ WORD = re.compile(r"[^\W_]+")
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def hash60(key: Column | str, seed: int) -> Column:
+    """60 bits of md5(key#seed), the same in any engine: a random order, and a random number below any bound by remainder."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.conv(F.substring(F.md5(F.concat_ws("#", key.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
 def visible(text: str) -> str:
     """The text without markup tags, marks of comments and invisible characters."""
     if "<" in text or "-->" in text:
