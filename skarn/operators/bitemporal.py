@@ -6,8 +6,9 @@ disjoint regions of one current version each, and an event, a point (valid day,
 
 The plane is cut by a grid. Only cells that hold a point are built, and rectangles are clipped to their cell and
 collapsed there to the best-ranked version per clipped shape before any list is gathered, so the list of a cell is
-bounded by the shapes that fit in it however many versions an entity has. Points and regions meet by an equi-join on
-(entity, cell) with a residual range test; an entity that holds a third of all events is spread over its cells, and a
+bounded by the shapes that fit in it however many versions an entity has. Versions are filed in the columns of the grid they
+touch, within the columns that hold points at all, and meet cells by an equi-join on (entity, column), so an entity with very
+many versions is spread too. Points and regions meet by an equi-join on (entity, cell) with a residual range test; an entity that holds a third of all events is spread over its cells, and a
 cell that is still too large is one that adaptive execution can split, since the regions' side is small.
 """
 
@@ -33,11 +34,16 @@ def regions(versions: DataFrame, cells: DataFrame, width: int = CELL_DAYS) -> Da
     ``versions``: k, v1, v2, r1, r2 (inclusive days), p (struct; the largest wins). ``cells``: k, vc, rc.
     Returns k, vc, rc, va, vb, ra, rb, p.
     """
+    ends = cells.agg(F.min("vc").alias("a"), F.max("vc").alias("b")).first()  # two numbers
+    if ends["a"] is None:
+        versions, ends = versions.where("false"), {"a": 0, "b": 0}
+    filed = versions.withColumns({"a": F.greatest(_cell("v1", width), F.lit(ends["a"])), "b": F.least(_cell("v2", width), F.lit(ends["b"]))})
+    filed = filed.where("a <= b").select("k", "v1", "v2", "r1", "r2", "p", F.explode(F.sequence("a", "b")).alias("vc"))
     v0, r0 = F.col("vc") * width, F.col("rc") * width
     v9, r9 = v0 + (width - 1), r0 + (width - 1)
     clipped = (
-        cells.join(versions, "k")
-        .where((F.col("v1") <= v9) & (F.col("v2") >= v0) & (F.col("r1") <= r9) & (F.col("r2") >= r0))
+        cells.join(filed, ["k", "vc"])
+        .where((F.col("r1") <= r9) & (F.col("r2") >= r0))
         .groupBy("k", "vc", "rc", F.greatest("v1", v0).alias("v1"), F.least("v2", v9).alias("v2"), F.greatest("r1", r0).alias("r1"), F.least("r2", r9).alias("r2"))
         .agg(F.max("p").alias("p"))
     )

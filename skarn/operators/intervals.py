@@ -1,7 +1,7 @@
 """Overlapping and gapped time intervals.
 
 The aggregate's state is, per entity, a sorted list of disjoint intervals that neither overlap nor touch. Two states
-combine by a linear merge, in any order, so the reduction runs as a tree: each input partition folds its own rows
+combine by a linear merge (``merged``), in any order, so the reduction runs as a tree: each input partition folds its own rows
 first (no shuffle), partial lists of an entity meet under a salt, and only then under the entity alone. Days bound a
 list: disjoint intervals that don't touch are at most half the days of the calendar, so no list grows with the rows.
 """
@@ -16,46 +16,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATE = "k string, starts array<int>, ends array<int>"
-#: Intervals a task gathers before it folds them.
-FOLD_ROWS = 500_000
-
-
-def merge_sorted(code: np.ndarray, start: np.ndarray, end: np.ndarray, touch: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Disjoint intervals per code, sorted; intervals at most ``touch`` apart become one."""
-    if not len(code):
-        return code, start, end
-    o = np.lexsort((start, code))
-    code, start, end = code[o].astype(np.int64), start[o].astype(np.int64), end[o].astype(np.int64)
-    base = code << 34  # wider than the calendar: a later code starts above every earlier end
-    reach = np.maximum.accumulate(end + base)
-    new = np.r_[True, start[1:] + base[1:] > reach[:-1] + touch]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(code)] - 1
-    return code[first], start[first], (reach - base)[last]
-
-
-def _states(frames: list[pd.DataFrame]) -> pd.DataFrame:
-    f = pd.concat(frames, ignore_index=True)
-    n = f["starts"].map(len).to_numpy()
-    codes, keys = pd.factorize(f["k"])
-    c, s, e = merge_sorted(np.repeat(codes, n), np.concatenate([*f["starts"], []]), np.concatenate([*f["ends"], []]))
-    cut = np.flatnonzero(np.diff(c)) + 1
-    at = np.r_[0, cut] if len(c) else []
-    return pd.DataFrame({"k": keys.take(c[at]) if len(c) else [], "starts": [x.astype(np.int32) for x in np.split(s, cut)] if len(c) else [], "ends": [x.astype(np.int32) for x in np.split(e, cut)] if len(c) else []})
+
+#: A state: position of the key and first day in one number, last day; sorted, disjoint.
+State = tuple[np.ndarray, np.ndarray]
+#: Bits of a day, counted from 0001-01-01.
+DAY_BITS, DAY_ZERO = 34, 1 << 20
+
+
+def coalesced(at: np.ndarray, end: np.ndarray, touch: int = 1) -> State:
+    """Sorted intervals made disjoint; those at most ``touch`` apart become one."""
+    if not len(at):
+        return at, end
+    base = at >> DAY_BITS << DAY_BITS
+    reach = np.maximum.accumulate(end + base)  # a later key begins above every earlier end
+    first = np.flatnonzero(np.r_[True, at[1:] > reach[:-1] + touch])
+    last = np.r_[first[1:], len(at)] - 1
+    return at[first], (reach - base)[last]
+
+
+def merged(a: State, b: State) -> State:
+    """Two states as one. A stable sort of two sorted runs is one linear merge."""
+    at, end = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    o = np.argsort(at, kind="stable")
+    return coalesced(at[o], end[o])
+
+
+class Fold:
+    """A reduction tree of states: states of about the same size are merged, so every interval is moved a logarithmic number of times."""
+
+    def __init__(self) -> None:
+        self.keys: dict[str, int] = {}
+        self.tree: list[State] = []
+
+    def add(self, frame: pd.DataFrame) -> None:
+        n = frame["starts"].map(len).to_numpy()
+        code = np.repeat([self.keys.setdefault(k, len(self.keys)) for k in frame["k"]], n).astype(np.int64)
+        start = np.concatenate([*frame["starts"], np.zeros(0, np.int64)]).astype(np.int64) + DAY_ZERO
+        end = np.concatenate([*frame["ends"], np.zeros(0, np.int64)]).astype(np.int64) + DAY_ZERO
+        at = (code << DAY_BITS) + start
+        o = np.argsort(at, kind="stable")  # lists that come sorted are merged, single intervals sorted
+        self.tree.append(coalesced(at[o], end[o]))
+        while len(self.tree) > 1 and len(self.tree[-1][0]) * 2 >= len(self.tree[-2][0]):
+            self.tree.append(merged(self.tree.pop(), self.tree.pop()))
+
+    def result(self) -> pd.DataFrame:
+        while len(self.tree) > 1:
+            self.tree.append(merged(self.tree.pop(), self.tree.pop()))
+        at, end = self.tree[0] if self.tree else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        code, start = at >> DAY_BITS, (at & ((1 << DAY_BITS) - 1)) - DAY_ZERO
+        cut = np.flatnonzero(np.diff(code)) + 1
+        names = np.array([*self.keys], object)
+        lists = lambda x: [y.astype(np.int32) for y in np.split(x, cut)] if len(x) else []
+        return pd.DataFrame({"k": names[code[np.r_[0, cut]]] if len(at) else [], "starts": lists(start), "ends": lists(end - DAY_ZERO)})
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
-    rows = 0
+    fold = Fold()
     for b in batches:
         if len(b):
-            held.append(b)
-            rows += sum(map(len, b["starts"]))
-            if rows > FOLD_ROWS:
-                held = [_states(held)]
-                rows = 0
-    if held:
-        yield _states(held)
+            fold.add(b)
+    if fold.tree:
+        yield fold.result()
 
 
 def interval_states(df: DataFrame, key: Column, first: Column, last: Column, fan_in: int = 16) -> DataFrame:

@@ -26,12 +26,24 @@ def forward_range_join(left: DataFrame, right: DataFrame, on: list[str], day: st
     return a.join(b, [*on, "__b"]).where((F.col(right_day) >= F.col(day)) & (F.datediff(right_day, day) <= days)).drop("__b")
 
 
+#: Days in a bucket that intervals are filed in.
+INTERVAL_DAYS = 1024
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], day: str, first: str, last: str) -> DataFrame:
     """Pairs with equal ``on`` columns and day within [first, last]; a null last is open. Both edges count.
 
-    The interval side is a dimension; adaptive execution broadcasts it when its measured size allows.
+    Intervals are filed in every bucket of days they touch, within the buckets that hold a day at all, and the join runs on
+    (key, bucket), so a key with many rows is spread over its days. Null keys and days match nothing.
     """
-    return left.join(right, on).where((F.col(day) >= F.col(first)) & (F.col(last).isNull() | (F.col(day) <= F.col(last))))
+    bucket = lambda c: F.floor(F.unix_date(c) / F.lit(INTERVAL_DAYS)).cast("long")
+    a = left.where(F.col(day).isNotNull()).withColumn("__b", bucket(F.col(day)))
+    ends = left.agg(F.min(day).alias("a"), F.max(day).alias("b")).select(bucket(F.col("a")).alias("a"), bucket(F.col("b")).alias("b")).first()  # two numbers
+    if ends["a"] is None:
+        ends = {"a": 0, "b": -1}
+    span = {"__f": F.greatest(bucket(F.col(first)), F.lit(ends["a"])), "__l": F.least(F.coalesce(bucket(F.col(last)), F.lit(ends["b"])), F.lit(ends["b"]))}
+    b = right.where(F.col(first).isNotNull()).withColumns(span).where("__f <= __l").withColumn("__b", F.explode(F.sequence("__f", "__l"))).drop("__f", "__l")
+    return a.join(b, [*on, "__b"]).where((F.col(day) >= F.col(first)) & (F.col(last).isNull() | (F.col(day) <= F.col(last)))).drop("__b")
 
 
 def union_all(frames: list[DataFrame], missing: bool = False) -> DataFrame:

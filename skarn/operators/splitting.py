@@ -30,9 +30,18 @@ def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def chronological_split(df: DataFrame, day: str, order: list[str], train: float = 0.9, validation: float = 0.05) -> DataFrame:
-    """Adds split: 'train', 'val' or 'test' by percent rank (0 for a single row) against train and train + validation."""
+    """Adds split: 'train', 'val' or 'test' by percent rank (0 for a single row) against train and train + validation.
+
+    Only the ordering columns are ranked; two of their values, where 'val' and 'test' begin, then divide the table, whose other
+    columns neither move nor are written. Null days come first.
+    """
+    keys = [day, *order]
+    ranked = global_rank(df.select(*keys), keys)
     pr = F.when(F.col("n") > 1, (F.col("rank") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0))
-    return global_rank(df, [day, *order]).withColumn("split", F.when(pr < train, "train").when(pr < train + validation, "val").otherwise("test")).drop("rank", "n")
+    at = F.struct(*keys)
+    begins = cut(ranked.agg(*[F.min(F.when(pr >= x, at)).alias(n) for n, x in (("val", train), ("test", train + validation))]))  # one row
+    before = lambda n: (lambda b: b.isNull() | (at < b))(begins.select(n).scalar())
+    return df.withColumn("split", F.when(before("val"), "train").when(before("test"), "val").otherwise("test"))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -45,7 +45,8 @@ def doctor(spark: SparkSession) -> dict[str, object]:
 _CUTS: list[tuple[SparkSession, str]] = []
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir names, which all executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,7 +66,7 @@ def cut(df: DataFrame) -> DataFrame:
     a missing setting is an error. Tables are removed by ``release`` or when the program ends.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skarn_path = path
@@ -73,6 +74,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def on_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the program ends."""
+    _CUTS.append((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -14,10 +14,51 @@ ESTIMATE_COLUMNS = (
     "FPEDATS", "ACTTIMS", "REVDATS", "REVTIMS", "ANNDATS", "ANNTIMS", "report_curr",
 )
 
-#: Canonical name -> accepted names, the preferred first.
-DAILY_ALIASES = {"permno": ("permno",), "date": ("date", "caldt", "dlycaldt"), "ret": ("ret", "dlyret"), "prc": ("prc", "dlyprc"), "vol": ("vol", "dlyvol"), "shrout": ("shrout",)}
-LINK_ALIASES = {"gvkey": ("gvkey",), "permno": ("permno", "lpermno"), "linkdt": ("linkdt",), "linkenddt": ("linkenddt",), "linktype": ("linktype",), "linkprim": ("linkprim",)}
-EVENT_ALIASES = {"event_id": ("event_id", "id"), "event_date": ("event_date", "date"), "gvkey": ("gvkey",), "cusip": ("cusip", "cusip8"), "ticker": ("ticker", "ticker_norm")}
+# Canonical column names and the names accepted for them, the preferred first; what files are delivered with.
+EVENT_ALIASES = {
+    "event_id": ("event_id", "id", "example_id"),
+    "event_date": ("event_date", "announcement_date", "date", "anndats"),
+    "label_direction": ("label_direction", "direction", "sentiment_label", "label"),
+    "label_magnitude": ("label_magnitude", "magnitude", "magnitude_bucket"),
+}
+EVENT_IDENTIFIERS = {"gvkey": ("gvkey",), "cusip": ("cusip", "cusip9", "cusip8"), "ticker": ("ticker", "ticker_symbol", "oftic")}
+DAILY_ALIASES = {
+    "permno": ("permno",),
+    "date": ("date", "trading_date"),
+    "ret": ("ret", "return"),
+    "prc": ("prc", "price"),
+    "shrout": ("shrout", "shares_outstanding"),
+    "vol": ("vol", "volume"),
+}
+DAILY_IDENTIFIERS = {"cusip": ("cusip",), "ncusip": ("ncusip",), "ticker": ("ticker", "htick"), "company_name": ("comnam", "hcomnam")}
+LINK_ALIASES = {
+    "gvkey": ("gvkey",),
+    "permno": ("permno",),
+    "linktype": ("linktype",),
+    "linkprim": ("linkprim",),
+    "linkdt": ("linkdt", "link_start_date"),
+    "linkenddt": ("linkenddt", "link_end_date"),
+}
+HEADER_ALIASES = {
+    "permno": ("permno",),
+    "permco": ("permco",),
+    "cusip": ("cusip",),
+    "htick": ("htick",),
+    "hcomnam": ("hcomnam",),
+    "begdat": ("begdat",),
+    "enddat": ("enddat",),
+}
+BENCHMARK_ALIASES = {"date": ("date", "trading_date"), "benchmark_return": ("benchmark_return", "market_return", "vwretd", "ewretd", "sprtrn")}
+PANEL_ALIASES = {
+    "event_id": ("event_id",),
+    "event_date": ("event_date",),
+    "permno": ("permno",),
+    "label_direction": ("label_direction", "gold_direction_label"),
+    "label_magnitude": ("label_magnitude", "gold_magnitude_label"),
+    "join_key_type": ("join_key_type",),
+    "join_status": ("join_status",),
+}
+WINDOW_TABLE_ALIASES = {"event_id": ("event_id",), "event_date": ("event_date",), "permno": ("permno",)}
 
 
 class ContractError(ValueError):

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skarn.functions.text import json_blob, label_in_text
+from skarn.session import on_exit, shared_folder
 from skarn.sources.contracts import ContractError, require_columns
 
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".zip": "zip", ".parquet": "parquet"}
@@ -96,58 +100,191 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", sep).csv(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def inspect(spark: SparkSession, path: str, samples: int = 3) -> dict[str, object]:
+    """format, delimiter (of delimited text), columns and the first ``samples`` rows of a file, without a pass over it."""
+    kind = detect_format(path)
+    sep = None
+    if kind in ("csv", "tsv"):
+        sep = "\t" if kind == "tsv" else sniff_delimiter("\n".join(r[0] for r in spark.read.text(path).limit(40).collect()))
+    df = read_any(spark, path)
+    return {"format": kind, "delimiter": sep, "columns": df.columns, "samples": [r.asDict() for r in df.limit(samples).collect()]}
+
+
 def _member(names: list[str], wanted: str | None) -> str:
     files = [n for n in names if not n.endswith("/")]
     if wanted in files:
         return wanted
     if wanted or not files:
         raise ContractError(f"no member {wanted or ''} in the archive")
-    return next((n for n in files if PurePosixPath(n).suffix.lower() in (".csv", ".tsv")), files[0])
+    return next((n for n in files if PurePosixPath(n).suffix.lower() in (".csv", ".tsv", ".jsonl", ".ndjson")), files[0])
 
 
-def read_zip_csv(spark: SparkSession, path: str, member: str | None = None, sep: str | None = None) -> DataFrame:
-    """The named, else the first delimited, member of every zip archive under ``path``, all text, columns by the header.
+#: Bytes of text in a part that an archive member is unpacked to.
+PART_BYTES = 64_000_000
 
-    Archives are read in parallel, each by one task in batches of lines; a quoted field must not hold a line break. All
-    archives must have the header of the first. An archive with a header only gives no rows.
-    """
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _unpack(folder: str, member: str | None, part_bytes: int):
+    """Archive paths to (part, kind, header): members unpacked to files of whole records under ``folder``, each with the header."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for b in batches:
-            for content in b["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(_member(z.namelist(), member)) as raw:
-                    held: list[str] = []
-                    first = True
-                    for line in io.TextIOWrapper(raw, encoding="utf-8"):
-                        if (s := line.rstrip("\r\n")) or first:
-                            held.append(("h" if first else "d") + s)
-                            first = False
-                        if len(held) >= 20_000:
-                            yield pd.DataFrame({"value": held})
-                            held = []
-                    yield pd.DataFrame({"value": held})
-
-    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string")
-    head = text.where(F.col("value").startswith("h")).first()
-    if head is None:
+            for path in b["path"]:
+                source, at = fs.FileSystem.from_uri(path)
+                target, to = fs.FileSystem.from_uri(folder)
+                target.create_dir(to, recursive=True)
+                name = uuid.uuid5(uuid.NAMESPACE_URL, path).hex  # a task that runs again writes the same files
+                with source.open_input_file(at) as raw, zipfile.ZipFile(raw) as z:
+                    wanted = _member(z.namelist(), member)
+                    lines_of_json = PurePosixPath(wanted).suffix.lower() in (".jsonl", ".ndjson")
+                    with z.open(wanted) as f:
+                        header = b"" if lines_of_json else next(f, b"").removeprefix(b"\xef\xbb\xbf").rstrip(b"\r\n") + b"\n"
+                        number, size, out, open_quote = 0, 0, None, False
+                        for line in f:
+                            if out is None:
+                                out = target.open_output_stream(f"{to}/{name}-{number:06}")
+                                out.write(header)
+                            out.write(line if line.endswith(b"\n") else line + b"\n")
+                            size += len(line)
+                            open_quote ^= not lines_of_json and line.count(b'"') % 2 == 1  # a quoted field may hold line breaks
+                            if size >= part_bytes and not open_quote:
+                                out.close()
+                                number, size, out = number + 1, 0, None
+                        if out is not None:
+                            out.close()
+                yield pd.DataFrame({"path": [path], "json": [lines_of_json], "header": [header.decode("utf-8")]})
+
+    return unpack
+
+
+def read_zip_csv(spark: SparkSession, path: str, member: str | None = None, sep: str | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The named, else the first delimited or JSON-lines, member of every zip archive under ``path``; delimited text is all text, columns by the header.
+
+    Archives are unpacked in parallel, as streams, once, into the shared folder, as parts that end with a record; the parts
+    are then read like any other text, so neither an archive nor its content need fit in memory, and quoted fields may hold
+    line breaks. All archives must have the header of the first. An archive with a header only gives no rows.
+    """
+    folder = f"{shared_folder(spark)}/zip-{uuid.uuid4().hex}"
+    names = spark.read.format("binaryFile").load(path).select("path")  # contents aren't read
+    seen = names.repartition(max(1, names.count())).mapInPandas(_unpack(folder, member, part_bytes), "path string, json boolean, header string").orderBy("path").collect()  # a row per archive
+    if not seen:
         raise ContractError(f"no archive at {path}")
-    sep = sep or sniff_delimiter(head[0][1:])
-    names = next(csv.reader([head[0][1:]], delimiter=sep))
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return text.where(F.col("value").startswith("d")).select(F.from_csv(F.substring("value", 2, 1 << 30), schema, {"sep": sep}).alias("r")).select("r.*")
+    on_exit(spark, folder)
+    if seen[0]["json"]:
+        return spark.read.json(folder)
+    if other := [r["path"] for r in seen if r["header"] != seen[0]["header"]]:
+        raise ContractError(f"the header of {other[0]} isn't that of {seen[0]['path']}")
+    sep = sep or sniff_delimiter(seen[0]["header"])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in next(csv.reader(io.StringIO(seen[0]["header"]), delimiter=sep))])
+    if not exists(spark, folder) or not spark.read.format("binaryFile").load(folder).select("path").take(1):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(folder)
 
 
 def first_available(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """The first of several places that can be read."""
+    """The first of several places that exists and has a readable table; other faults are raised as they are."""
     tried = []
     for p in paths:
         try:
             return read_any(spark, p)
-        except Exception as e:  # noqa: BLE001  whatever the source says
+        except (AnalysisException, ContractError) as e:  # no such path, no columns, no reader
             tried.append(f"{p}: {str(e).splitlines()[0]}")
     raise ContractError("no source could be read: " + "; ".join(tried))
 
 
+def read_numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with ``_line_number`` (1 for a file's first line, blank lines counted) and ``_file``; a line that isn't JSON has null fields.
+
+    Lines are numbered within splits of the files, each of which starts at the lines before it; nothing is gathered.
+    """
+    text = spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_at"), F.monotonically_increasing_id().alias("_order"))
+    counts = text.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("n"))  # a row per split
+    run = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", "_at", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("_file", "_at").orderBy("_order"))
+    x = text.withColumn("_in", within).join(starts, ["_file", "_at"]).where("trim(value) <> ''")
+    return x.select(F.from_json("value", schema).alias("r"), (F.col("_in") + F.col("before")).alias("_line_number"), "_file").select("r.*", "_line_number", "_file")
+
+
+def read_settings(spark: SparkSession, path: str) -> dict[str, object]:
+    """A settings file of 'key: value' lines, nested by two or more spaces, with '- ' lists: the part of YAML such files use.
+
+    Values are numbers, true, false, null or text, which may be quoted; '#' begins a comment. Anything else is an error.
+    """
+    return parse_settings("\n".join(r[0] for r in spark.read.text(path).collect()))
+
+
+def parse_settings(text: str) -> dict[str, object]:
+    lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in (_without_comment(y) for y in text.splitlines()) if x.strip() and x.strip() != "---"]
+
+    def block(i: int, indent: int) -> tuple[object, int]:
+        out: object = [] if lines[i][1].startswith("- ") else {}
+        while i < len(lines) and lines[i][0] == indent:
+            body = lines[i][1]
+            if isinstance(out, list):
+                if not body.startswith("- "):
+                    raise ContractError(f"settings: list item expected: {body}")
+                out.append(_scalar(body[2:]))
+                i += 1
+                continue
+            key, colon, value = body.partition(":")
+            if not colon:
+                raise ContractError(f"settings: 'key: value' expected: {body}")
+            i += 1
+            if value.strip():
+                out[key.strip().strip("\"'")] = _scalar(value)
+            elif i < len(lines) and (lines[i][0] > indent or lines[i][0] == indent and lines[i][1].startswith("- ")):
+                out[key.strip().strip("\"'")], i = block(i, lines[i][0])
+            else:
+                out[key.strip().strip("\"'")] = None
+        if i < len(lines) and lines[i][0] > indent:
+            raise ContractError(f"settings: unexpected indent: {lines[i][1]}")
+        return out, i
+
+    if not lines:
+        return {}
+    out, end = block(0, lines[0][0])
+    if end < len(lines) or not isinstance(out, dict):
+        raise ContractError(f"settings: unexpected line: {lines[min(end, len(lines) - 1)][1]}")
+    return out
+
+
+def _without_comment(line: str) -> str:
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1] == " "):
+            return line[:i].rstrip()
+    return line.rstrip()
+
+
+def _scalar(text: str) -> object:
+    s = text.strip()
+    if len(s) > 1 and s[0] == s[-1] and s[0] in "\"'":
+        return s[1:-1]
+    if s.startswith("[") and s.endswith("]"):
+        return [_scalar(x) for x in s[1:-1].split(",") if x.strip()]
+    if s.lower() in ("true", "false"):
+        return s.lower() == "true"
+    if s.lower() in ("null", "~"):
+        return None
+    for number in (int, float):
+        try:
+            return number(s)
+        except ValueError:
+            pass
+    return s
+
+
 def read_metrics_json(spark: SparkSession, path: str, names: Iterable[str]) -> DataFrame:
     """path, dataset, mode, variant, metric, value from nested metric trees (tasks / dataset / mode / variant / metric)."""
     tree = F.from_json("value", "struct<tasks: map<string, map<string, map<string, string>>>>")
@@ -163,8 +300,6 @@ def filing_rows(df: DataFrame, submissions: str, form: str, limit: int | None =
     recent = F.from_json(submissions, f"struct<filings: struct<recent: struct<{', '.join(f'{f}: array<string>' for f in fields)}>>>")
     x = df.select(F.col(key), recent.alias("s")).select(key, F.posexplode(F.arrays_zip(*[F.col(f"s.filings.recent.{f}").alias(f) for f in fields])).alias("place", "f")).where(F.col("f.form") == form)
     if limit is not None:
-        from pyspark.sql.window import Window
-
         x = x.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("rn") <= limit).drop("rn")
     accession = F.replace("f.accessionNumber", F.lit("-"), F.lit(""))
     url = F.format_string("https://www.sec.gov/Archives/edgar/data/%s/%s/%s", F.col(key).cast("long").cast("string"), accession, F.col("f.primaryDocument"))

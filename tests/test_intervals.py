@@ -2,9 +2,10 @@ import random
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from skarn.operators.intervals import merge_sorted, periods_and_gaps
+from skarn.operators.intervals import DAY_BITS, Fold, coalesced, merged, periods_and_gaps
 
 D0 = date(2021, 1, 1)
 S = "k string, a date, b date, kind int, first_day int"
@@ -53,10 +54,27 @@ def test_empty(spark):
 
 
 def test_merge_is_associative():
+    """States of parts, merged in any order, are the state of the whole."""
     rnd = np.random.default_rng(1)
     c, s = rnd.integers(0, 3, 300), rnd.integers(0, 2000, 300)
     e = s + rnd.integers(0, 9, 300)
-    whole = merge_sorted(c, s, e)
-    parts = [merge_sorted(c[i::4], s[i::4], e[i::4]) for i in range(4)]
-    again = merge_sorted(*[np.concatenate(x) for x in zip(*parts)])
-    assert all((a == b).all() for a, b in zip(whole, again))
+
+    def state(i: slice) -> tuple[np.ndarray, np.ndarray]:
+        at = (c[i] << DAY_BITS) + s[i]
+        o = np.argsort(at, kind="stable")
+        return coalesced(at[o], e[i][o])
+
+    whole = state(slice(None))
+    a, b, d = (state(slice(i, None, 3)) for i in range(3))
+    for again in (merged(merged(a, b), d), merged(a, merged(b, d)), merged(d, merged(b, a))):
+        assert all((x == y).all() for x, y in zip(whole, again))
+    assert len(merged(a, (a[0][:0], a[1][:0]))[0]) == len(a[0])
+
+
+def test_a_fold_merges_like_sized_states():
+    fold = Fold()
+    for i in range(64):
+        fold.add(pd.DataFrame({"k": [f"k{i % 5}"], "starts": [[10 * i]], "ends": [[10 * i + 3]]}))
+    assert len(fold.tree) < 8
+    got = {r.k: (list(r.starts), list(r.ends)) for r in fold.result().itertuples()}
+    assert got == {f"k{m}": ([10 * i for i in range(m, 64, 5)], [10 * i + 3 for i in range(m, 64, 5)]) for m in range(5)} and len(Fold().result()) == 0

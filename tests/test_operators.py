@@ -218,12 +218,13 @@ def test_global_rank_with_a_hot_day_and_ties(spark):
     assert S.global_rank(df.limit(0), ["day"]).count() == 0
 
 
-def test_nearest_rank_against_sorting(spark):
+def test_nearest_rank_against_sorting(spark, monkeypatch):
     import random
 
+    monkeypatch.setattr(P, "SKETCH_ACCURACY", 50)
     rnd = random.Random(2)
     data = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(40)])) for _ in range(700)] + [("one", 5), ("none", None)]
-    got = {r["g"]: tuple(r)[1:] for r in P.nearest_rank(spark.createDataFrame(data, "g string, v int"), ["g"], "v", [0.0, 0.5, 0.95, 1.0], pieces=8).collect()}
+    got = {r["g"]: tuple(r)[1:] for r in P.nearest_rank(spark.createDataFrame(data, "g string, v int"), ["g"], "v", [0.0, 0.5, 0.95, 1.0]).collect()}
     want = {}
     for g in ("a", "b", None, "one"):
         v = sorted(x for k, x in data if k == g and x is not None)
@@ -231,6 +232,30 @@ def test_nearest_rank_against_sorting(spark):
     assert got == want
 
 
+def test_interval_join_against_brute_force(spark, monkeypatch):
+    import random
+    from datetime import date, timedelta
+
+    monkeypatch.setattr(J, "INTERVAL_DAYS", 7)
+    rnd = random.Random(6)
+    day = lambda n: date(2020, 1, 1) + timedelta(days=n)
+    left = [(i, rnd.choice(["hot", "hot", "b", None]), rnd.choice([None, *[day(rnd.randrange(120)) for _ in range(9)]])) for i in range(200)]
+    right = [(i, rnd.choice(["hot", "b", None]), rnd.choice([None, *[day(rnd.randrange(-50, 150)) for _ in range(9)]]), rnd.choice([None, day(rnd.randrange(-50, 170)), date(9999, 12, 31)])) for i in range(60)]
+    a, b = spark.createDataFrame(left, "l int, k string, day date"), spark.createDataFrame(right, "r int, k string, f date, t date")
+    got = sorted((x["l"], x["r"]) for x in J.interval_join(a, b, ["k"], "day", "f", "t").collect())
+    assert got == sorted((x[0], y[0]) for x in left for y in right if x[1] and x[1] == y[1] and x[2] and y[2] and y[2] <= x[2] and (y[3] is None or x[2] <= y[3])) and got
+    assert J.interval_join(a.limit(0), b, ["k"], "day", "f", "t").count() == 0 == J.interval_join(a, b.limit(0), ["k"], "day", "f", "t").count()
+
+
+def test_chronological_split_with_nulls_and_ties(spark):
+    rows = [(i, None if i % 10 == 0 else f"2020-01-{i % 7 + 1:02}") for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, d string").withColumn("day", F.to_date("d"))
+    got = {r["id"]: r["split"] for r in S.chronological_split(df, "day", ["id"], 0.6, 0.2).collect()}
+    order = sorted(rows, key=lambda r: (r[1] or "", r[0]))
+    assert got == {r[0]: "train" if i / 99 < 0.6 else "val" if i / 99 < 0.6 + 0.2 else "test" for i, r in enumerate(order)}
+    assert [r["split"] for r in S.chronological_split(df.limit(1), "day", ["id"]).collect()] == ["train"] and S.chronological_split(df.limit(0), "day", ["id"]).count() == 0
+
+
 def test_held_out_and_mix(spark):
     df = spark.range(4000).select((F.col("id") % 2000).alias("k"), F.when(F.col("id") % 3 == 0, "positive").otherwise("negative").alias("label"), F.lit("s").alias("src"))
     x = S.held_out(df, "k", 0.2, 1)

@@ -48,6 +48,92 @@ def test_zip(spark, tmp_path):
     assert got == [{"a": "1", "b": "x, y"}, {"a": "2", "b": None}]
 
 
+def test_zip_with_line_breaks_in_small_parts(spark, tmp_path):
+    """Parts end with a record wherever quoted fields break lines; archives with a header only give no rows."""
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("data.csv", "id,text\n" + "".join(f'{k}-{i},"line {i}\nand ""more"", {k}"\n' for i in range(200 if k < 2 else 0)))
+    got = readers.read_zip_csv(spark, str(tmp_path / "*.zip"), part_bytes=500)
+    assert got.rdd.getNumPartitions() > 1 and {r["id"]: r["text"] for r in got.collect()} == {f"{k}-{i}": f'line {i}\nand "more", {k}' for k in range(2) for i in range(200)}
+    assert readers.read_zip_csv(spark, str(tmp_path / "2.zip")).count() == 0
+    with zipfile.ZipFile(tmp_path / "9.zip", "w") as z:
+        z.writestr("data.csv", "id,other\n1,2\n")
+    with pytest.raises(contracts.ContractError, match="header"):
+        readers.read_zip_csv(spark, str(tmp_path / "*.zip"))
+    with zipfile.ZipFile(tmp_path / "j.zip", "w") as z:
+        z.writestr("x.jsonl", '{"a": 1}\n{"a": 2}\n')
+    assert sorted(r["a"] for r in readers.read_any(spark, str(tmp_path / "j.zip")).collect()) == [1, 2]
+
+
+def test_numbered_lines_settings_and_faults(spark, tmp_path):
+    p = put(tmp_path / "n.jsonl", '{"a": 1}\n\nbroken\n{"a": 4}\n')
+    assert sorted((r["_line_number"], r["a"]) for r in readers.read_numbered_jsonl(spark, p, "a int").collect()) == [(1, 1), (3, None), (4, 4)]
+    got = {r["_line_number"]: r["a"] for r in readers.read_numbered_jsonl(spark, p, "a int").collect()}
+    assert got == {1: 1, 3: None, 4: 4}
+    text = "# c\npipeline:\n  seed: 42\n  name: 'a # b'  # note\n  share: 0.9\n  on: true\n  none:\n  windows:\n    - '0:1'\n    - -1:1\n  ids: [1, x]\nother: ~\n"
+    assert readers.read_settings(spark, put(tmp_path / "c.yaml", text)) == {"pipeline": {"seed": 42, "name": "a # b", "share": 0.9, "on": True, "none": None, "windows": ["0:1", "-1:1"], "ids": [1, "x"]}, "other": None}
+    for bad in ("a\n", "a: 1\n  b: 2\n", "- a\n- b\n"):
+        with pytest.raises(contracts.ContractError):
+            readers.parse_settings(bad)
+    assert readers.parse_settings("") == {}
+    seen = readers.inspect(spark, put(tmp_path / "x.csv", "a|b\n1|2\n3|4\n"), 1)
+    assert seen == {"format": "csv", "delimiter": "|", "columns": ["a", "b"], "samples": [{"a": "1", "b": "2"}]}
+
+
+def test_exports_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([("i", None, "o", 1), (None, "x", None, 2), ("j", "y", "p", 3)], "q string, w string, e string, n int")
+    meta = sinks.export_dataset(df, str(tmp_path / "e"), {"instruction": "q", "input": "w", "output": "e"}, "own", "train", most=1)
+    assert meta["rows"] == 1 and json.loads(spark.read.text(str(tmp_path / "e/metadata")).first()[0]) == meta
+    assert sinks.export_dataset(df, str(tmp_path / "e"), {"instruction": "q", "output": "e"}, "own", "train")["rows"] == 2
+    c = spark.createDataFrame([("d", "a", "a"), ("d", "a", None), ("d", "b", "a")], "d string, gold string, pred string")
+    assert [(r["gold"], r["pred"], r["n"]) for r in sinks.confusion_long(c, ["d"], ["a", "b"]).orderBy("place").collect()] == [("a", "a", 1), ("a", "b", 0), ("a", "__invalid__", 1), ("b", "a", 1), ("b", "b", 0), ("b", "__invalid__", 0)]
+    text = sinks.report_sections("t", {"one": "words", "two": c})
+    assert text.startswith("# t\n\n## one\n\nwords\n\n## two\n\n| d | gold | pred |") and text.count("\n| d |") == 4
+
+
+def _samples(tmp_path) -> dict[str, str]:
+    """Small files in the shapes a delivery has."""
+    ret = "raw_return_{0},benchmark_return_{0},abnormal_return_{0}"
+    slugs = ",".join(ret.format(w) for w in ("w_p0_p1", "w_p0_p3", "w_p0_p5", "w_m1_p1"))
+    heads = {
+        "events": "event_id,event_date,gvkey,cusip,ticker,label_direction,label_magnitude,headline", "daily": "permno,date,ret,prc,shrout,vol", "link": "gvkey,permno,linktype,linkprim,linkdt,linkenddt", "benchmark": "date,benchmark_return",
+        "panel": "event_id,event_date,gvkey,cusip,ticker,permno,label_direction,label_magnitude,join_key_type,join_status", "windows": f"event_id,event_date,permno,gold_direction_label,adapter_1k_direction_label,{slugs}",
+        "named": "PERMNO,trading_date,return,price,shares_outstanding,volume,ncusip",
+    }
+    return {k: put(tmp_path / f"{k}.csv", h + "\n" + ",".join("1" for _ in h.split(",")) + "\n") for k, h in heads.items()}
+
+
+def test_checks_of_deliveries(spark, tmp_path):
+    from skarn.sources import checks
+
+    f = _samples(tmp_path)
+    ok = checks.check_market_data(spark, f["daily"], f["link"], f["benchmark"])
+    assert ok.passed and ok.rows[-1][0] == "pass" and ok.table(spark).count() == len(ok.rows)
+    assert not checks.check_market_data(spark, f["daily"]).passed and checks.check_market_data(spark, f["named"]).passed and not checks.check_market_data(spark, str(tmp_path / "none.csv"), f["link"]).passed
+    found, steps = checks.check_event_panel(spark, f["events"], f["daily"], f["link"], benchmark=f["benchmark"])
+    assert found.passed and len(steps) == 1 and steps[0].startswith("gvkey")
+    assert not checks.check_event_panel(spark, f["events"], f["daily"])[0].passed
+    found, steps = checks.check_event_panel(spark, f["events"], f["named"])
+    assert found.passed and steps == ["cusip -> ncusip of the daily file around event_date"] and ("warn", "no link table: fallback identifiers only") in found.rows
+    assert not checks.check_event_panel(spark, f["daily"], f["daily"], f["link"])[0].passed
+    found, columns = checks.check_event_windows(spark, f["panel"], f["daily"], ["0:1", "-1:1"], f["benchmark"])
+    assert found.passed and "raw_return_w_p0_p1" in columns and len(columns) == 6
+    assert not checks.check_event_windows(spark, f["panel"], f["daily"], ["5:1"])[0].passed
+    found, metrics = checks.check_label_alignment(spark, f["windows"], ["gold_direction_label", "adapter_1k_direction_label", "adapter_10k_direction_label"], ["0:1", "0:3", "0:5", "-1:1"])
+    assert found.passed and len(metrics) == 8 and ("gold_direction_label", "abnormal_return_w_m1_p1") in metrics
+    assert not checks.check_label_alignment(spark, f["windows"], ["other"], ["0:1"])[0].passed and not checks.check_label_alignment(spark, f["panel"], ["label_direction"], ["0:1"])[0].passed
+
+
+def test_stages_notice_changed_inputs(spark, tmp_path):
+    p = put(tmp_path / "in.csv", "a\n1\n")
+    calls = []
+    build = lambda: (calls.append(1), spark.read.option("header", True).csv(p))[1]
+    for _ in range(2):
+        assert sinks.materialise(spark, str(tmp_path / "m"), {}, build, inputs=[p]).count() == 1
+    put(tmp_path / "in.csv", "a\n1\n22\n")
+    assert sinks.materialise(spark, str(tmp_path / "m"), {}, build, inputs=[p]).count() == 2 and len(calls) == 2
+
+
 def test_jsonl_examples(spark, tmp_path):
     lines = [{"instruction": "i", "output": "it is Positive", "id": "x1"}, {"instruction": "j", "input": "z", "output": '{"direction": "negative"}'}]
     p = put(tmp_path / "e.jsonl", "\n".join(map(json.dumps, lines)) + "\n\n")
@@ -73,8 +159,8 @@ def test_metrics_and_filings(spark, tmp_path):
 
 
 def test_contracts():
-    found, missing = contracts.resolve_aliases(["CalDt", "PERMNO", "permno"], contracts.DAILY_ALIASES)
-    assert found["date"] == "CalDt" and found["permno"] == "permno" and "ret" in missing
+    found, missing = contracts.resolve_aliases(["Trading_Date", "PERMNO", "permno"], contracts.DAILY_ALIASES)
+    assert found["date"] == "Trading_Date" and found["permno"] == "permno" and "ret" in missing
     assert contracts.join_plan(["gvkey", "ticker"], True, ["permno"]) == "gvkey" and contracts.join_plan(["gvkey", "ticker"], False, ["ticker_norm"]) == "ticker"
     with pytest.raises(contracts.ContractError):
         contracts.join_plan(["gvkey"], False, ["permno"])
