@@ -49,6 +49,11 @@ def padded(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(t, none), none, pc.binary_join_element_wise(space, t, space, none))
 
 
+def _padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), padded(b.column(1)).cast(pa.string())], ["item", "text"])
+
+
 def gram_hashes(s: str, q: int) -> np.ndarray:
     """A 64-bit hash of every q-gram of ``s``."""
     c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -239,14 +244,15 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     unique. Empty tables give no rows. Extra columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    asked = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").orderBy("item")
+    asked = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    asked = cut(asked.mapInArrow(_padded, "item long, text string")).orderBy("item")
     schema = f"doc {dict(rows.dtypes)['doc']}, item long, edits int, passages int"
 
     def blocks() -> Iterator[list[tuple[int, str]]]:  # the driver holds one at a time
         held: list[tuple[int, str]] = []
         chars = 0
         for r in asked.toLocalIterator():
-            s = padded(pa.array([r[1]])).to_pylist()[0]
+            s = r[1]
             if held and chars + len(s) > BLOCK_CHARS:
                 yield held
                 held, chars = [], 0

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skarn.functions.tokens import TOKENIZER, token_counter
 from skarn.llm.sampling import seats_by_priority
-from skarn.llm.text import TOKENIZER, hash60, token_counter
+from skarn.llm.text import hash60
 from skarn.session import cut
 
 #: Blocks that the budget is divided into at least, and tokens that a shard holds at most on average.

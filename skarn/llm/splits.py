@@ -81,10 +81,10 @@ def _balance_shard(pdf: pd.DataFrame, bins: int) -> pd.DataFrame:
 def assign_components(weights: DataFrame, targets: DataFrame, bins: int = BINS, shard_components: int = SHARD_COMPONENTS) -> DataFrame:
     """component, weight, split. ``weights``: component, weight. ``targets``: split, target_share.
 
-    A component is never cut; one heavier than a split's target still lies in one split, and the other splits share
+    Targets are few, a row per split, and read by the driver. A component is never cut; one heavier than a split's target still lies in one split, and the other splits share
     the rest. Null, negative or absent shares count as 0; without usable targets no component gets a split.
     """
-    t = [(r[0], float(r[1] or 0)) for r in targets.where("split is not null").groupBy("split").agg(F.max("target_share")).orderBy(F.desc("max(target_share)"), "split").limit(1000).collect()]
+    t = [(r[0], float(r[1] or 0)) for r in targets.where("split is not null").groupBy("split").agg(F.max("target_share")).orderBy(F.desc("max(target_share)"), "split").collect()]
     names, shares = [x for x, _ in t], np.array([s for _, s in t])
     shards = max(1, -(-weights.count() // shard_components))
     in_slots = cut(
@@ -109,24 +109,37 @@ def assign_components(weights: DataFrame, targets: DataFrame, bins: int = BINS,
     return in_slots.join(dealt, ["shard", "slot"], "left").select("component", "weight", "split")
 
 
-def grouped_splits(records: DataFrame, record_id: str, shared: list[Column], targets: DataFrame, **options: int) -> DataFrame:
-    """record id, component, split: one row per distinct non-null ``record_id``.
+def split_entities(records: DataFrame, record_id: str, shared: list[Column], targets: DataFrame, tie_repeats: bool = True, **options: int) -> tuple[DataFrame, DataFrame]:
+    """(assigned, nodes). assigned: id, component, split: one row per distinct non-null ``record_id``. nodes: node, component, split.
 
-    Records that agree in any of ``shared`` (string keys; null joins nothing), directly or through a chain, lie in
-    one split. A record without any key is its own component. Rows that repeat a record id are one record, which
-    joins everything its rows name. An empty table gives no rows; other columns are ignored, so names can't clash.
+    A node is a key with the number of its column before it ('0:XEGXBB'). Records that agree in any of ``shared`` (string
+    keys; null joins nothing), directly or through a chain, lie in one split. A record without any key is its own
+    component. With ``tie_repeats`` rows that repeat a record id are one record, which joins everything its rows name; without,
+    such a record goes with the least of its keys. A row without an id ties its keys, but is no record. An empty table gives
+    no rows; other columns are ignored, so names can't clash.
     """
     names = [f"k{i}" for i in range(len(shared))]
-    keyed = records.select(F.col(record_id).cast("string").alias("id"), *[F.concat(F.lit(f"{i}:"), c).alias(n) for i, (n, c) in enumerate(zip(names, shared))]).where("id is not null")
-    keyed = keyed.withColumn("first", F.coalesce(*names, F.concat(F.lit("r:"), F.col("id"))))
-    links = keyed.select("first", *names).distinct()
-    edges = links.select(F.col("first").alias("a"), F.explode(F.array(*names)).alias("b")).where("b is not null").distinct()
-    # a record whose rows name different keys ties those together; only such records need an edge of their own
-    torn = keyed.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b")
-    chains = torn.join(keyed.select("id", "first").distinct(), "id").where("first <> a").select("a", F.col("first").alias("b")).distinct()
-    comp = cut(connected_components(edges.unionByName(chains)))
-    one = keyed.groupBy("id").agg(F.min("first").alias("first"))
-    whose = one.join(comp.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
-    whose = cut(whose)
-    weights = cut(whose.groupBy("component").agg(F.count(F.lit(1)).alias("weight")))
-    return whose.join(assign_components(weights, targets, **options).drop("weight"), "component").select(F.col("id").alias(record_id), "component", "split")
+    keyed = records.select(F.col(record_id).cast("string").alias("id"), *[F.concat(F.lit(f"{i}:"), c).alias(n) for i, (n, c) in enumerate(zip(names, shared))])
+    keyed = keyed.withColumn("first", F.coalesce(*names, F.concat(F.lit("r:"), F.col("id")))).where("first is not null")
+    edges = keyed.select("first", *names).distinct().select(F.col("first").alias("a"), F.explode(F.array(*names)).alias("b")).where("b is not null").distinct()
+    # the only shuffle of all records; everything below it is narrow
+    per = cut(keyed.where("id is not null").groupBy("id").agg(F.min("first").alias("first"), F.max("first").alias("last")))
+    if tie_repeats:
+        # a record whose rows name different keys ties those together; only such records need edges of their own
+        torn = per.where("first <> last").select("id", F.col("first").alias("a"))
+        chains = torn.join(keyed.select("id", "first").distinct(), "id").where("first <> a").select("a", F.col("first").alias("b")).distinct()
+        edges = edges.unionByName(chains)
+    comp = cut(connected_components(edges))
+    # keys are counted before they meet their components, so a hot key sends a row a task
+    keys = per.groupBy("first").agg(F.count(F.lit(1)).alias("n")).join(comp.withColumnRenamed("node", "first"), "first", "left")
+    weights = cut(keys.groupBy(F.coalesce("component", "first").alias("component")).agg(F.sum("n").alias("weight")))
+    dealt = cut(assign_components(weights, targets, **options).drop("weight"))
+    nodes = comp.join(dealt, "component", "left").select("node", "component", "split")
+    alone = dealt.where("component like 'r:%'").select(F.col("component").alias("first"), "component", "split")
+    of_key = nodes.withColumnRenamed("node", "first").unionByName(alone)
+    return per.select("id", "first").join(of_key, "first").select("id", "component", "split"), nodes
+
+
+def grouped_splits(records: DataFrame, record_id: str, shared: list[Column], targets: DataFrame, **options: int) -> DataFrame:
+    """record id, component, split: what split_entities assigns."""
+    return split_entities(records, record_id, shared, targets, **options)[0].withColumnRenamed("id", record_id)

@@ -287,7 +287,7 @@ def test_mixing_with_blocks_larger_than_a_sources_part_of_a_shard(spark):
 def test_tokenizers_agree_on_counts_roughly():
     import os
 
-    from skarn.llm.text import token_counter
+    from skarn.functions.tokens import token_counter
 
     t = "Net debt rose by 12.5 percent in the third quarter."
     n = [token_counter(p)(t) for p in ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model") if os.path.exists(p)]
@@ -295,7 +295,8 @@ def test_tokenizers_agree_on_counts_roughly():
 
 
 def test_very_long_and_odd_texts_are_counted_whole():
-    from skarn.llm.text import pieces, token_counter, visible
+    from skarn.functions.tokens import pieces, token_counter
+    from skarn.llm.text import visible
 
     n = token_counter()
     assert n("word " * 200_000) == pytest.approx(200_000, rel=0.01) and n(" " * 2_000_000) > 0 and n("\ud800 x") > 0 and n("") == 0
