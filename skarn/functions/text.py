@@ -27,10 +27,24 @@ def struct_signature(*cs: Column) -> Column:
     return sha1_text(F.to_json(F.struct(*cs), {"ignoreNullFields": "false"}))
 
 
-def json_signature(c: Column, fields: list[str], drop: tuple[str, ...] = ()) -> Column:
-    """A digest of the named paths of a JSON text ('$.a.b') but those dropped; records equal there are equal in it."""
-    kept = [F.coalesce(F.get_json_object(c, f), F.lit("\x00")) for f in fields if f not in drop]
-    return sha1_text(F.concat_ws("\x1f", *kept))
+def json_signature(c: Column, drop: tuple[str, ...] = ()) -> Column:
+    """A digest of every leaf of a JSON object but those dropped ('event.event_id'), whatever the order of its keys.
+
+    Objects are opened at two levels; deeper ones count as their text. Numbers, also those written as text, are equal by
+    value, and a null differs from an absent leaf. Null for what isn't a JSON object.
+    """
+    path = lambda *ks: F.concat(F.lit("$"), *[x for k in ks for x in (F.lit("['"), k, F.lit("']"))])
+    get = lambda *ks: F.call_function("get_json_object", c, path(*ks))
+    value = lambda x: F.coalesce(x.try_cast("double").cast("string"), x, F.lit("\x00"))
+
+    def section(k: Column) -> Column:
+        inner = F.array_sort(F.json_object_keys(get(k)))
+        kept = F.filter(inner, lambda j: ~F.concat(k, F.lit("."), j).isin(list(drop))) if drop else inner
+        leaf = F.filter(F.array(k), lambda x: ~x.isin(list(drop))) if drop else F.array(k)
+        one = F.transform(leaf, lambda x: F.concat(x, F.lit("="), value(get(x))))
+        return F.when(inner.isNull(), one).otherwise(F.transform(kept, lambda j: F.concat(k, F.lit("."), j, F.lit("="), value(get(k, j)))))
+
+    return sha1_text(F.array_join(F.flatten(F.transform(F.array_sort(F.json_object_keys(c)), section)), "\x1f"))
 
 
 def mentions_any(c: Column, needles: list[str]) -> Column:
@@ -96,5 +110,12 @@ def chat_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")
 
 
+def templated(template: Column, fields: dict[str, Column]) -> Column:
+    """A template with every {name} replaced by its field; a null field leaves nothing."""
+    for k, c in fields.items():
+        template = F.replace(template, F.lit("{" + k + "}"), F.coalesce(c.cast("string"), F.lit("")))
+    return template
+
+
 def score_label(c: Column, edge: float = 0.1) -> Column:
     return F.when(c < -edge, "negative").when(c < edge, "neutral").when(c.isNotNull(), "positive")

@@ -125,3 +125,21 @@ def dataset_card(df: DataFrame, dims: list[str], sig: Column, text: str) -> Data
     f = frequency(df, dims).groupBy("dimension").agg(F.count(F.lit(1)).alias("v"), F.round(F.max("n") / F.sum("n"), 4).alias("t"), F.round(F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n"), 4).alias("e"))
     parts = F.array(*[F.struct(F.lit(s).alias("section"), F.col("dimension").alias("name"), F.col(c).cast("double").alias("value")) for s, c in (("distinct", "v"), ("top_share", "t"), ("entropy", "e"))])
     return d.unionByName(n).unionByName(f.select(F.inline(parts)))
+
+
+def shares(df: DataFrame, dims: list[str]) -> DataFrame:
+    """dimension, value, n, share (four places) of every value of several columns; nulls count as 'UNK'."""
+    f = frequency(df, dims)
+    return f.withColumn("share", F.round(F.col("n") / df.agg(F.count(F.lit(1))).scalar(), 4))
+
+
+def coverage_growth(old: DataFrame, new: DataFrame, dims: list[str]) -> DataFrame:
+    """dimension, before, after, added and reuse_rate: distinct values of ``old``, of ``new``, those only in ``new``, and the share of new's values that aren't.
+
+    All columns in one aggregation of (dimension, value); nulls count nowhere.
+    """
+    pairs = F.inline(F.array(*[F.struct(F.lit(x).alias("dimension"), F.col(x).cast("string").alias("v")) for x in dims]))
+    both = old.select(F.lit(False).alias("__new"), pairs).unionByName(new.select(F.lit(True).alias("__new"), pairs)).where("v is not null")
+    per = both.groupBy("dimension", "v").agg(F.bool_or(~F.col("__new")).alias("o"), F.bool_or("__new").alias("n"))
+    added, after = F.count_if(F.col("n") & ~F.col("o")), F.count_if("n")
+    return per.groupBy("dimension").agg(F.count_if("o").alias("before"), after.alias("after"), added.alias("added"), F.round(1 - F.try_divide(added, after), 4).alias("reuse_rate"))

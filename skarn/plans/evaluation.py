@@ -81,15 +81,20 @@ def regression_buckets(spark, d):
 
 
 def output_diagnostics(spark, d):
-    x = parsed_predictions(spark, d)
-    y = E.rate_summary(x, [], {"format_compliance_rate": F.col("format_compliant"), "contains_think_rate": F.contains("raw_output", F.lit("<think>"))}, {"mean_output_chars": F.length("raw_output")})
-    return y.select("sample_count", *[F.round(c, 6).alias(c) for c in ("format_compliance_rate", "contains_think_rate", "mean_output_chars")])
+    """Rates and means over outputs: compliance, failures, reasoning, truncation, lengths and time."""
+    c = F.col
+    flags = {
+        "parse_failure_rate": c("pred").isNull(), "format_compliance_rate": c("format_compliant"), "contains_think_rate": c("contains_think"), "malformed_think_tag_rate": c("malformed"), "truncated_output_rate": c("output_truncated"),
+        "json_after_reasoning_text_rate": c("json_after_text"), "parseable_after_strip_rate": c("has_answer") & c("pred").isNotNull(),
+    }
+    y = E.rate_summary(parsed_predictions(spark, d), [], flags, {"mean_output_chars": F.length("raw_output"), "mean_output_tokens": c("generated_tokens"), "mean_latency_seconds": c("latency_seconds")})
+    return y.select("sample_count", *[F.round(x, 6).alias(x) for x in y.columns if x != "sample_count"])
 
 
 def structured_match(spark, d):
     x = parsed_predictions(spark, d)
-    y = E.structured_match(x, [], {"direction": (F.col("pred"), F.col("gold")), "magnitude": (F.col("pred_magnitude"), F.col("gold_magnitude"))})
-    return y.select("sample_count", *[F.round(c, 6).alias(c) for c in ("exact_match_rate", "direction_accuracy", "magnitude_accuracy")])
+    y = E.structured_match(x, [], {k: (F.col(f"pred{s}"), F.col(f"gold{s}")) for k, s in (("direction", ""), ("magnitude", "_magnitude"), ("event_type", "_event_type"))})
+    return y.select("sample_count", *[F.round(c, 6).alias(c) for c in ("exact_match_rate", "direction_accuracy", "magnitude_accuracy", "event_type_accuracy")])
 
 
 QUERIES = {f.__name__: f for f in (confusion_matrix, class_metrics, summary_metrics, metrics_long, run_verdicts, metric_wins, metric_differences, compare_runs, shift_counts, regression_buckets, output_diagnostics, structured_match)}
@@ -120,6 +125,12 @@ select dataset, x.m as metric, round(max(x.v) filter (variant = 'base'), 6) as v
     "compare_runs": f"with {_RUNS} select outcome, count(*) as n from oc group by outcome",
     "shift_counts": f"with {_RUNS} select coalesce(pred_a, 'None') || '->' || coalesce(pred_b, 'None') as shift, count(*) as n, count(*) filter (gold = 'neutral' and pred_b in ('positive', 'negative')) as neutral_overcalls from oc where outcome = 'regression' group by 1",
     "regression_buckets": f"with {_RUNS}, r as (select *, cast(row_number() over (partition by outcome order by md5(example_id || '#1'), example_id) as integer) as rank from oc where outcome <> 'both_right') select outcome, rank, example_id, gold, pred_a, pred_b from r where rank <= 10",
-    "output_diagnostics": f"with {OUTPUTS_SQL} select count(*) as sample_count, round(avg(format_compliant::int), 6) as format_compliance_rate, round(avg(contains(raw_output, '<think>')::int), 6) as contains_think_rate, round(avg(length(raw_output)), 6) as mean_output_chars from pred",
-    "structured_match": f"with {OUTPUTS_SQL} select count(*) as sample_count, round(avg((pred is not distinct from gold and pred_magnitude is not distinct from gold_magnitude)::int), 6) as exact_match_rate, round(avg((pred is not distinct from gold)::int), 6) as direction_accuracy, round(avg((pred_magnitude is not distinct from gold_magnitude)::int), 6) as magnitude_accuracy from pred",
+    "output_diagnostics": f"with {OUTPUTS_SQL} select count(*) as sample_count, "
+    + ", ".join(f"round(coalesce(avg(coalesce(({x})::int, 0)), 0), 6) as {n}" for n, x in {
+        "parse_failure_rate": "pred is null", "format_compliance_rate": "format_compliant", "contains_think_rate": "contains_think", "malformed_think_tag_rate": "malformed", "truncated_output_rate": "output_truncated",
+        "json_after_reasoning_text_rate": "json_after_text", "parseable_after_strip_rate": "has_answer and pred is not null",
+    }.items())
+    + ", round(avg(length(raw_output)), 6) as mean_output_chars, round(avg(generated_tokens), 6) as mean_output_tokens, round(avg(latency_seconds), 6) as mean_latency_seconds from pred",
+    "structured_match": f"""with {OUTPUTS_SQL}, s as (select pred is not distinct from gold as a, pred_magnitude is not distinct from gold_magnitude as b, pred_event_type is not distinct from gold_event_type as c from pred)
+select count(*) as sample_count, round(avg((a and b and c)::int), 6) as exact_match_rate, round(avg(a::int), 6) as direction_accuracy, round(avg(b::int), 6) as magnitude_accuracy, round(avg(c::int), 6) as event_type_accuracy from s""",
 }

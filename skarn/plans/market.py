@@ -124,15 +124,15 @@ def daily_returns(spark: SparkSession, d: str) -> DataFrame:
 
 def _market_windows(spark: SparkSession, d: str) -> DataFrame:
     bench = T(spark, d, "market_benchmark_returns_sample").groupBy("date").agg(F.min("benchmark_return").alias("bench"))
-    x = W.window_returns(daily_returns(spark, d).join(bench, "date", "left"), "permno", ["0:1", "0:5"], benchmark="bench")
+    x = W.window_returns(daily_returns(spark, d).join(bench, "date", "left"), "permno", WINDOWS, benchmark="bench")
     ev = events_with_permno(T(spark, d, "ibes_gold_events_sample"), usable_links(spark, d)).select("event_id", "permno", "event_date")
     first = R.forward_range_join(ev, x.select("permno", F.col("date").alias("anchor_date")), ["permno"], "event_date", "anchor_date", 7).groupBy("event_id", "permno").agg(F.min("anchor_date").alias("date"))
     return first.join(x, ["permno", "date"])
 
 
 def market_event_windows(spark, d):
-    slugs = [W.window_slug(w) for w in ("0:1", "0:5")]
-    cols = [F.round(f"{k}_{s}", 5).alias(f"{k}_{s}") for s in slugs for k in ("raw_return", "abnormal_return")]
+    slugs = [W.window_slug(w) for w in WINDOWS]
+    cols = [F.round(f"{k}_{s}", 5).alias(f"{k}_{s}") for s in slugs for k in ("raw_return", "benchmark_return", "abnormal_return")]
     return _market_windows(spark, d).select("event_id", "permno", _day("date").alias("anchor_date"), *cols, *[F.col(f"obs_count_{s}") for s in slugs])
 
 
@@ -221,10 +221,11 @@ ev as (select event_id, event_date, permno, row_number() over (partition by even
 u as (select permno, date, ret, row_number() over (partition by permno, date order by ret, prc nulls last, shrout nulls last, vol nulls last) as rn from crsp_daily_returns_sample where ret is not null and permno is not null and date is not null),
 mb as (select date, min(benchmark_return) as bench from market_benchmark_returns_sample group by date),
 sd as (select u.permno, u.date, ret, bench, row_number() over (partition by u.permno order by u.date) as trade_idx from u left join mb using (date) where rn = 1),
-w as ({_window_sql("sd", "permno", ["0:1", "0:5"])}),
+w as ({_window_sql("sd", "permno", WINDOWS)}),
 a as (select event_id, ev.permno, min(w.date) as date from ev join w on w.permno = ev.permno and w.date between event_date and event_date + 7 where ev.rn = 1 group by all)
-select event_id, permno, strftime(date, '%Y-%m-%d') as anchor_date, round(raw_return_w_p0_p1, 5) as raw_return_w_p0_p1, round(raw_return_w_p0_p1 - benchmark_return_w_p0_p1, 5) as abnormal_return_w_p0_p1,
-  round(raw_return_w_p0_p5, 5) as raw_return_w_p0_p5, round(raw_return_w_p0_p5 - benchmark_return_w_p0_p5, 5) as abnormal_return_w_p0_p5, obs_count_w_p0_p1, obs_count_w_p0_p5 from a join w using (permno, date)""",
+select event_id, permno, strftime(date, '%Y-%m-%d') as anchor_date, """
+    + ", ".join(f"round(raw_return_{n}, 5) as raw_return_{n}, round(benchmark_return_{n}, 5) as benchmark_return_{n}, round(raw_return_{n} - benchmark_return_{n}, 5) as abnormal_return_{n}, obs_count_{n}" for n in _SLUGS)
+    + " from a join w using (permno, date)",
     "realized_labels": f"""with {_LAB} select event_id, expected, realized, magnitude, case when realized = 'unknown' then 'unobserved' when expected = realized then 'aligned'
   when expected = 'neutral' or realized = 'neutral' then 'mixed' else 'contrarian' end as alignment from lab""",
     "label_alignment": f"""with {_LAB} select expected as label, count(*) as events, round(avg(reaction), 6) as mean_return,
