@@ -1,4 +1,4 @@
-"""The staged estimate pipeline: raw extract, bronze, silver, gold, panel with event windows, splits and records."""
+"""The staged estimate pipeline: raw extract, bronze, silver, gold, panel with event windows, splits, records, chat records, validation."""
 
 from __future__ import annotations
 
@@ -13,11 +13,13 @@ from skarn.operators import records as R
 from skarn.operators import resolve as J
 from skarn.operators import returns as W
 from skarn.operators import splitting as S
-from skarn.sources.contracts import ESTIMATE_COLUMNS
-from skarn.sources.readers import read_contract_csv
+from skarn.sources.contracts import BENCHMARK_ALIASES, ESTIMATE_COLUMNS, ContractError, resolve_aliases
+from skarn.sources.readers import read_contract_csv, read_settings
 from skarn.sources.sinks import materialise
 
-STAGES = ("bronze", "silver", "gold", "panel", "records")
+STAGES = ("bronze", "silver", "gold", "panel", "records", "chats", "validation")
+# Column and field names of tables and records, and the event's type.
+EVENT_TYPE = "ibes_analyst_revision_consensus"
 GROUP = ["company_key", "ticker_norm", "oftic_norm", "cusip8", "company_name_norm", "event_date", "fpi_norm", "fiscal_period_end_date", "measure_norm", "report_currency_norm"]
 
 
@@ -37,6 +39,20 @@ class PipelineConfig:
     match_days: int = 7
     caps: dict[str, int] = field(default_factory=dict)  # rows per split; 0 or absent: all
     header: str | None = None
+    benchmark_column: str = "vwretd"
+    train_eval: int = 500  # rows of 'val' shown while training, as the split train_eval
+    sample: int = 100  # rows of 'train' to look at, as the split sample_100
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> PipelineConfig:
+        """From a settings file; a section named pipeline or the whole file. Unknown names are an error."""
+        x = read_settings(spark, path)
+        x = dict(x.get("pipeline") or x)
+        if gone := sorted(set(x) - set(cls.__dataclass_fields__)):
+            raise ContractError(f"unknown settings: {', '.join(gone)}")
+        if "windows" in x:
+            x["windows"] = tuple(x["windows"])
+        return cls(**x)
 
 
 def bronze(raw: DataFrame) -> DataFrame:
@@ -99,6 +115,21 @@ def daily_silver(raw: DataFrame) -> DataFrame:
     return W.trade_index(x, "permno", [F.col(c) for c in keys[1:]])
 
 
+def presence_bronze(raw: DataFrame) -> DataFrame:
+    """permno, presence_date: the days a security is listed at all."""
+    x = raw.select(C.safe_number(F.col("PERMNO"), "int").alias("permno"), C.safe_date(F.col("date")).alias("presence_date"))
+    return x.where("permno is not null and presence_date is not null").distinct()
+
+
+def benchmark_bronze(raw: DataFrame, column: str = "vwretd") -> DataFrame:
+    """trade_date, benchmark_return: one of the file's index columns, whatever others it has; one row per day, null returns dropped."""
+    found, missing = resolve_aliases(raw.columns, {"date": BENCHMARK_ALIASES["date"], "return": (column,)})
+    if missing:
+        raise ContractError(f"benchmark: no column for {', '.join(missing)} among {', '.join(raw.columns)}")
+    b = raw.select(C.safe_date(F.col(found["date"])).alias("trade_date"), C.safe_number(F.col(found["return"])).alias("benchmark_return")).where("trade_date is not null and benchmark_return is not null")
+    return b.groupBy("trade_date").agg(F.min("benchmark_return").alias("benchmark_return"))
+
+
 def header_silver(raw: DataFrame) -> DataFrame:
     """permno, cusip8, header_ticker, beg_date, end_date (null: open) of the dated stock header, without repeated rows."""
     text = lambda c: F.upper(F.nullif(F.trim(c), F.lit("")))
@@ -151,28 +182,87 @@ def panel(g: DataFrame, daily: DataFrame | None, benchmark: DataFrame | None, cf
     return x.withColumn("alignment_label", C.alignment(F.col("direction_label"), F.col("realized_direction_label")))
 
 
-def records(p: DataFrame, cfg: PipelineConfig) -> DataFrame:
-    """split, event_id, instruction, input, output: chronological splits rendered as instruction records."""
-    x = S.chronological_split(p, "event_date", ["event_id"], cfg.train_fraction, cfg.validation_fraction)
+def split_rows(p: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """Panel rows with their chronological split, capped if the configuration says so."""
+    x = S.chronological_split(p.where(F.col("direction_label").isin("positive", "negative", "neutral")), "event_date", ["event_id"], cfg.train_fraction, cfg.validation_fraction)
     if any(cfg.caps.values()):
-        parts = [S.hash_sample(x.where(F.col("split") == s), "event_id", cfg.caps.get(s, 0), cfg.seed + i) for i, s in enumerate(("train", "val", "test"))]
-        x = J.union_all(parts)
-    iso, six = (lambda c: F.date_format(c, "yyyy-MM-dd")), (lambda c: C.scalar_text(F.col(c), "double"))
-    features = ["consensus_mean", "consensus_median", "consensus_std", "consensus_min", "consensus_max", "prior_consensus_mean", "prior_consensus_median", "consensus_delta", "consensus_pct_change"]
+        x = J.union_all([S.hash_sample(x.where(F.col("split") == s), "event_id", cfg.caps.get(s, 0), cfg.seed + i) for i, s in enumerate(("train", "val", "test"))])
+    return x
+
+
+def _iso(c: str):
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def _six(c: str):
+    return C.scalar_text(F.col(c), "double")
+
+
+# Names of counted and averaged features.
+COUNTS = ("estimate_count", "analyst_count", "estimator_count")
+FIGURES = ("consensus_mean", "consensus_median", "consensus_std", "consensus_min", "consensus_max", "prior_consensus_mean", "prior_consensus_median", "consensus_delta", "consensus_pct_change")
+
+
+def records(p: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """split, event_id, source, instruction, input, output: chronological splits rendered as instruction records."""
     inputs = {
         "task": F.lit("classify analyst revision event"),
         "company": {"company_key": F.col("company_key"), "ticker": F.col("ticker_norm"), "oftic": F.col("oftic_norm"), "cusip8": F.col("cusip8"), "company_name": F.col("company_name_norm")},
-        "event": {"event_id": F.col("event_id"), "event_date": iso("event_date"), "event_time": F.col("event_time"), "fiscal_period_end_date": iso("fiscal_period_end_date"), "fpi": F.col("fpi_norm"), "currency": F.col("report_currency_norm")},
-        "features": {**{c: F.col(c) for c in ("estimate_count", "analyst_count", "estimator_count")}, **{c: six(c) for c in features}},
+        "event": {
+            "event_id": F.col("event_id"), "event_type": F.lit(EVENT_TYPE), "event_date": _iso("event_date"), "event_time": F.col("event_time"), "fiscal_period_end_date": _iso("fiscal_period_end_date"), "fpi": F.col("fpi_norm"),
+            "currency": F.col("report_currency_norm"),
+        },
+        "features": {**{c: F.col(c) for c in COUNTS}, **{c: _six(c) for c in FIGURES}},
     }
-    outputs = {"direction_label": F.col("direction_label"), "magnitude_bucket": F.col("magnitude_bucket")}
-    return R.instruct_record(x, "Classify the direction and size of the consensus revision.", inputs, outputs, [F.col("event_id"), F.col("split")])
+    outputs = {"direction_label": F.col("direction_label"), "magnitude_bucket": F.col("magnitude_bucket"), "event_type": F.lit(EVENT_TYPE)}
+    return R.instruct_record(split_rows(p, cfg), "Name the direction and the size of this change of consensus.", inputs, outputs, [F.col("event_id"), F.lit("estimates").alias("source"), F.col("split")])
+
+
+#: Keys an assistant's answer must have.
+ANSWER_KEYS = ("event_type", "direction", "magnitude", "alignment")
+
+
+def chats(p: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """Chat records of every split, and of train_eval (rows of 'val') and sample_100 (rows of 'train'), by hash order.
+
+    messages (system, user, assistant), instruction, input, output, event_id, source, event_date, direction_label,
+    realized_direction_label, alignment_label, split.
+    """
+    x = split_rows(p, cfg)
+    extra = lambda of, name, n, seed: S.hash_sample(x.where(F.col("split") == of), "event_id", n, cfg.seed + seed).withColumn("split", F.lit(name))
+    parts = [x] + [extra(*e) for e in (("val", "train_eval", cfg.train_eval, 50), ("train", "sample_100", cfg.sample, 100)) if e[2]]
+    x = J.union_all(parts)
+    returns = [f"{k}_{W.window_slug(w)}" for w in cfg.windows if W.parse_window(w)[0] >= 0 for k in ("raw_return", "abnormal_return")]
+    payload = R.nested_json({
+        "task": F.lit("classify event-driven signal"),
+        "company": {"company_key": F.col("company_key"), "ticker": F.col("ticker_norm"), "oftic": F.col("oftic_norm"), "cusip8": F.col("cusip8"), "company_name": F.col("company_name_norm"), "permno": F.col("security")},
+        "event": {
+            "event_id": F.col("event_id"), "event_type": F.lit(EVENT_TYPE), "event_date": _iso("event_date"), "anchor_trade_date": _iso("anchor_day"), "fiscal_period_end_date": _iso("fiscal_period_end_date"), "fpi": F.col("fpi_norm"),
+            "join_status": F.col("join_status"), "join_method": F.col("join_method"), "join_confidence": F.col("join_confidence"),
+        },
+        "features": {**{c: F.col(c) for c in COUNTS}, **{c: _six(c) for c in ("consensus_mean", "consensus_median", "prior_consensus_median", "consensus_delta", "consensus_pct_change", "consensus_std", *returns)}, "alignment_label": F.col("alignment_label")},
+    })
+    answer = R.nested_json({"event_type": F.lit(EVENT_TYPE), "direction": F.col("direction_label"), "magnitude": F.col("magnitude_bucket"), "alignment": F.col("alignment_label")})
+    carry = [
+        F.lit("Describe the event's signal as one JSON object.").alias("instruction"), F.col("payload").alias("input"), F.col("answer").alias("output"), F.col("event_id"), F.lit("estimates").alias("source"),
+        _iso("event_date").alias("event_date"), *[F.col(c) for c in ("direction_label", "realized_direction_label", "alignment_label", "split")],
+    ]
+    system = f"You read analyst revisions. Answer with one JSON object that has the keys {', '.join(ANSWER_KEYS)}."
+    return R.chat_record(x.withColumns({"payload": payload, "answer": answer}), system, F.concat(F.lit("Which signal does this revision give?\n"), F.col("payload")), F.col("answer"), carry)
+
+
+def validation(c: DataFrame) -> DataFrame:
+    """split, event_id, error: faults of chat records, and events that stand in more than one of train, val and test."""
+    faults = R.record_errors(c.withColumn("__id", F.struct("split", "event_id")), "__id", F.col("input"), F.col("output"), F.col("messages"), list(ANSWER_KEYS)).select("__id.split", "__id.event_id", "error")
+    leaks = S.split_overlap(c.where(F.col("split").isin("train", "val", "test")), "split", "event_id")
+    return faults.unionByName(leaks.select(F.col("split_list").alias("split"), "event_id", F.lit("stands in several splits").alias("error")))
 
 
 def run(spark: SparkSession, cfg: PipelineConfig, start: str = "bronze", through: str = "records", force: bool = False) -> DataFrame:
-    """Run stages in order and return the last table; finished stages of the same configuration are reused.
+    """Run stages in order and return the last table; finished stages of the same configuration and input files are reused.
 
-    ``force`` rebuilds the stages from ``start`` on. Each stage is a table under ``cfg.out``.
+    ``force`` rebuilds the stages from ``start`` on. Each stage is a table under ``cfg.out``. The stage validation is a gate: it
+    raises if there is any fault.
     """
     first, last = STAGES.index(start), STAGES.index(through)
     if first > last:
@@ -189,9 +279,7 @@ def run(spark: SparkSession, cfg: PipelineConfig, start: str = "bronze", through
     def read_benchmark() -> DataFrame | None:
         if not cfg.benchmark:
             return None
-        b = spark.read.option("header", True).csv(cfg.benchmark).toDF("trade_date", "benchmark_return")
-        b = b.select(C.safe_date(F.col("trade_date")).alias("trade_date"), C.safe_number(F.col("benchmark_return")).alias("benchmark_return")).where("benchmark_return is not null")
-        return b.groupBy("trade_date").agg(F.min("benchmark_return").alias("benchmark_return"))
+        return benchmark_bronze(spark.read.option("header", True).csv(cfg.benchmark), cfg.benchmark_column)
 
     build = {
         "bronze": lambda: bronze(read_contract_csv(spark, cfg.estimates, ESTIMATE_COLUMNS)),
@@ -199,7 +287,14 @@ def run(spark: SparkSession, cfg: PipelineConfig, start: str = "bronze", through
         "gold": lambda: gold(at["silver"], cfg.neutral_delta),
         "panel": lambda: panel(at["gold"], read_daily(), read_benchmark(), cfg, read_header()),
         "records": lambda: records(at["panel"], cfg),
+        "chats": lambda: chats(at["panel"], cfg),
+        "validation": lambda: validation(at["chats"]),
     }
+    files = [cfg.estimates]
     for i, stage in enumerate(STAGES[: last + 1]):
-        at[stage] = materialise(spark, f"{cfg.out}/{stage}", conf, build[stage], force and i >= first)
+        if stage == "panel":
+            files = files + [f for f in (cfg.daily, cfg.benchmark, cfg.header) if f]
+        at[stage] = materialise(spark, f"{cfg.out}/{stage}", conf, build[stage], force and i >= first, files)
+        if stage == "validation":
+            R.require_valid(at[stage])
     return at[through]

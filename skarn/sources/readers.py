@@ -191,6 +191,9 @@ def first_available(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """The first of several places that exists and has a readable table; other faults are raised as they are."""
     tried = []
     for p in paths:
+        if not any(c in p for c in "*?[{") and not exists(spark, p):
+            tried.append(f"{p}: absent")
+            continue
         try:
             return read_any(spark, p)
         except (AnalysisException, ContractError) as e:  # no such path, no columns, no reader
