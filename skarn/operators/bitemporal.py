@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skarn.session import cut
+
 #: Day numbers standing for open ends.
 DAY_MIN, DAY_MAX = -719162, 2932896  # 0001-01-01 and 9999-12-31, fixed values of the calendar
 
@@ -34,6 +36,7 @@ def regions(versions: DataFrame, cells: DataFrame, width: int = CELL_DAYS) -> Da
     ``versions``: k, v1, v2, r1, r2 (inclusive days), p (struct; the largest wins). ``cells``: k, vc, rc.
     Returns k, vc, rc, va, vb, ra, rb, p.
     """
+    cells = cut(cells)  # found once, for the bounds and for the join
     ends = cells.agg(F.min("vc").alias("a"), F.max("vc").alias("b")).first()  # two numbers
     if ends["a"] is None:
         versions, ends = versions.where("false"), {"a": 0, "b": 0}
