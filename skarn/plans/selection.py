@@ -15,7 +15,8 @@ from skarn.operators.greedy import Cap, greedy_sample
 from skarn.plans.estimates import gold
 from skarn.sources.tables import table as T
 
-TOTAL = 600
+#: Rows of the samples: balanced, diverse, best supported.
+BALANCED, DIVERSE, QUALITY = 10_000, 10_000, 4_000
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -90,33 +91,33 @@ def _thirds(total: int) -> dict[str, int]:
 
 
 def greedy_balanced(spark, d):
-    """Direction quotas of a third, equal quotas per magnitude, caps per ticker, day and period, then backfill."""
-    x = _candidates(spark, d)
+    """Direction quotas of a third, equal quotas per magnitude, caps per ticker and period, then backfill."""
+    x, total = _candidates(spark, d), BALANCED
     seen = {r[0]: r[1] for r in x.groupBy("direction_label").agg(F.count_distinct("magnitude_bucket")).collect()}
-    per = {f"{k}|{m}": max(1, math.ceil(q / max(1, seen.get(k, 1)))) for k, q in _thirds(TOTAL).items() for m in ("unknown", "flat", "small", "medium", "large")}
+    per = {f"{k}|{m}": max(1, math.ceil(q / max(1, seen.get(k, 1)))) for k, q in _thirds(total).items() for m in ("unknown", "flat", "small", "medium", "large")}
     h = S.hash_order(F.col("event_id"), seed=42)
     caps = [
-        Cap("direction", F.col("direction_label"), _thirds(TOTAL)), Cap("magnitude", F.concat_ws("|", "direction_label", "magnitude_bucket"), per),
-        Cap("ticker", F.col("ticker"), max(8, TOTAL // 800)), Cap("period", F.col("period"), max(6, TOTAL // 1200)),
+        Cap("direction", F.col("direction_label"), _thirds(total)), Cap("magnitude", F.concat_ws("|", "direction_label", "magnitude_bucket"), per),
+        Cap("ticker", F.col("ticker"), max(8, total // 800)), Cap("period", F.col("period"), max(6, total // 1200)),
     ]
-    return greedy_sample(x, "event_id", [F.col("direction_label"), S.hash_order(F.col("magnitude_bucket"), seed=42), h], caps, TOTAL, [S.hash_order(F.col("event_id"), seed=141)], F.col("sig"))
+    return greedy_sample(x, "event_id", [F.col("direction_label"), S.hash_order(F.col("magnitude_bucket"), seed=42), h], caps, total, [S.hash_order(F.col("event_id"), seed=141)], F.col("sig"))
 
 
 def greedy_diverse(spark, d):
-    x = _candidates(spark, d)
-    caps = [Cap("ticker", F.col("ticker"), max(4, TOTAL // 1600)), Cap("period", F.col("period"), max(4, TOTAL // 1800))]
+    """Caps per ticker and period, in hash order, then backfill in the same order."""
+    caps = [Cap("ticker", F.col("ticker"), max(4, DIVERSE // 1600)), Cap("period", F.col("period"), max(4, DIVERSE // 1800))]
     h = [S.hash_order(F.col("event_id"), seed=42)]
-    return greedy_sample(x, "event_id", h, caps, TOTAL, h, F.col("sig"))
+    return greedy_sample(_candidates(spark, d), "event_id", h, caps, DIVERSE, h, F.col("sig"))
 
 
 def greedy_quality(spark, d):
     """Best supported events first: three points an analyst, two an estimate, less the deviation (its median if null)."""
     x = _candidates(spark, d).where("prior_consensus_median is not null and estimate_count >= 2 and analyst_count >= 2")
     mid = x.agg(F.percentile_approx("consensus_std", 0.5)).scalar()
-    x = x.withColumn("score", F.coalesce(F.col("analyst_count") * 3 + F.col("estimate_count") * 2 - F.coalesce("consensus_std", mid), F.lit(0.0)))
-    caps = [Cap("direction", F.col("direction_label"), _thirds(TOTAL)), Cap("ticker", F.col("ticker"), max(3, TOTAL // 1200))]
+    x = x.withColumn("score", F.round(F.coalesce(F.col("analyst_count") * 3 + F.col("estimate_count") * 2 - F.coalesce("consensus_std", mid), F.lit(0.0)), 6))
+    caps = [Cap("direction", F.col("direction_label"), _thirds(QUALITY)), Cap("ticker", F.col("ticker"), max(3, QUALITY // 1200))]
     best = [-F.col("score"), F.col("period")]
-    return greedy_sample(x, "event_id", best, caps, TOTAL, best, F.col("sig"))
+    return greedy_sample(x, "event_id", best, caps, QUALITY, best, F.col("sig"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -147,3 +148,38 @@ o as (select *, row_number() over (partition by source, structured_input order b
 k as (select *, row_number() over (partition by source, label order by h, record_id) as rn from o where a = 1) select record_id, source, label from k where rn <= case label when 'positive' then 40 else 30 end""",
     "split_overlap": "select event_id, count(distinct split) as splits, string_agg(distinct split, ',' order by split) as split_list from ibes_pipeline where event_id is not null group by event_id having count(distinct split) > 1",
 }
+
+
+def _greedy_sql(rows: str, order: str, then: str, keys: list[str], most: list[str], total: int) -> str:
+    """The sequential pass as a fold over the ordered rows: ids taken, signatures taken and a count per key; then the backfill."""
+    free = " and ".join(f"coalesce(acc.c[x.k[{i}]], 0) < x.m[{i}]" for i in range(1, len(keys) + 1))
+    up = ", ".join(f"coalesce(acc.c[x.k[{i}]], 0) + 1" for i in range(1, len(keys) + 1))
+    ks = ", ".join(f"'{i}|' || {k}" for i, k in enumerate(keys))
+    return f"""with {{gold}}, cand as materialized (select *, row_number() over (order by event_id)::int as i, dense_rank() over (order by company, consensus_median)::int as sig from ({rows})),
+one as (select list({{{{'i': i, 's': sig, 'k': [{ks}], 'm': [{', '.join(most)}]}}}} order by {order}, event_id) as xs, list({{{{'i': i, 's': sig}}}} order by {then}, event_id) as ys from cand),
+a as (select ys, list_reduce(xs, lambda acc, x: case when len(acc.t) < {total} and not list_contains(acc.s, x.s) and {free} then {{{{'t': list_append(acc.t, x.i), 's': list_append(acc.s, x.s), 'c': map_concat(acc.c, map(x.k, [{up}]))}}}} else acc end,
+  {{{{'t': []::int[], 's': []::int[], 'c': map([]::varchar[], []::int[])}}}}) as z from one),
+b as (select list_reduce(ys, lambda acc, y: case when len(acc.t) < {total} and not list_contains(acc.s, y.s) and not list_contains(acc.t, y.i) then {{{{'t': list_append(acc.t, y.i), 's': list_append(acc.s, y.s)}}}} else acc end, {{{{'t': z.t, 's': z.s}}}}) as z from a),
+u as (select unnest(z.t) as i, unnest(range(1, len(z.t) + 1))::int as pick_order from b)
+select event_id, pick_order from u join cand using (i)"""
+
+
+def _greedy() -> dict[str, str]:
+    from skarn.plans.estimates import GOLD_SQL
+
+    rows = "select *, company || '|' || strftime(period, '%Y-%m-%d') as event_id, cast(company as varchar) as ticker, strftime(period, '%Y-%m-%d') as per, direction_label || '|' || magnitude_bucket as dm from labelled"
+    third = lambda n: f"case direction_label when 'positive' then {_thirds(n)['positive']} else {_thirds(n)['negative']} end"
+    seen = "(select count(distinct magnitude_bucket) from labelled l where l.direction_label = cand.direction_label)"
+    h = lambda c, n: f"md5({c} || '#{n}')"
+    good = f"""select *, round(coalesce(analyst_count * 3 + estimate_count * 2 - coalesce(consensus_std, (select quantile_disc(consensus_std, 0.5) from labelled where prior_consensus_median is not null and estimate_count >= 2 and analyst_count >= 2)), 0), 6) as score
+  from ({rows}) where prior_consensus_median is not null and estimate_count >= 2 and analyst_count >= 2"""
+    out = {
+        "greedy_balanced": _greedy_sql(rows, f"direction_label, {h('magnitude_bucket', 42)}, {h('event_id', 42)}", h("event_id", 141), ["direction_label", "dm", "ticker", "per"],
+            [third(BALANCED), f"greatest(1, ceil(({third(BALANCED)})::double / {seen}))::int", str(max(8, BALANCED // 800)), str(max(6, BALANCED // 1200))], BALANCED),
+        "greedy_diverse": _greedy_sql(rows, h("event_id", 42), h("event_id", 42), ["ticker", "per"], [str(max(4, DIVERSE // 1600)), str(max(4, DIVERSE // 1800))], DIVERSE),
+        "greedy_quality": _greedy_sql(good, "-score, per", "-score, per", ["direction_label", "ticker"], [third(QUALITY), str(max(3, QUALITY // 1200))], QUALITY),
+    }
+    return {k: v.format(gold=GOLD_SQL) for k, v in out.items()}
+
+
+SQL |= _greedy()
