@@ -29,9 +29,10 @@ def union_find(edges):
     return {x: top(x) for x in up}
 
 
-@pytest.mark.parametrize("hot", [20_000, 5])
-def test_components(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "one_task"), [(20_000, 0), (5, 0), (5, 250), (20_000, 500_000)])
+def test_components(spark, monkeypatch, hot, one_task):
     monkeypatch.setattr("skarn.llm.components.HOT_EDGES", hot)
+    monkeypatch.setattr("skarn.llm.components.ONE_TASK_EDGES", one_task)
     rnd = random.Random(7)
     e = [(f"n{rnd.randrange(300):03}", f"n{rnd.randrange(300):03}") for _ in range(170)]
     e += [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [("hub", f"h{i:02}") for i in range(40)] + [("solo", "solo"), ("n001", "n001")]
