@@ -27,12 +27,13 @@ def dedup_stats(df: DataFrame, keys: list[str]) -> DataFrame:
 def consensus(df: DataFrame, keys: list[str], value: str, analyst: str, estimator: str, first_of: list[str]) -> DataFrame:
     """Per key: counts, mean, median (the lower of two), sample deviation, extremes and the least of the dates.
 
-    The median is percentile_approx with its default accuracy: exact up to 10,000 values a key, mergeable beyond.
+    The median is percentile_approx with its default accuracy: exact up to 10,000 values a key, mergeable beyond. Distinct
+    counts are aggregated apart and joined on the keys: beside a sketch they would carry it through every row they expand
+    to. Both sides are partitioned by the keys (as one struct, so null keys meet), so the join moves nothing.
     """
-    return df.groupBy(*keys).agg(
+    key = F.struct(*keys).alias("__k")
+    figures = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("estimate_count"),
-        F.count_distinct(analyst).alias("analyst_count"),
-        F.count_distinct(estimator).alias("estimator_count"),
         F.avg(value).alias("consensus_mean"),
         F.percentile_approx(value, 0.5).alias("consensus_median"),
         F.stddev_samp(value).alias("consensus_std"),
@@ -40,6 +41,9 @@ def consensus(df: DataFrame, keys: list[str], value: str, analyst: str, estimato
         F.max(value).alias("consensus_max"),
         *[F.min(c).alias(f"first_{c}") for c in first_of],
     )
+    people = df.groupBy(key).agg(F.count_distinct(analyst).alias("analyst_count"), F.count_distinct(estimator).alias("estimator_count"))
+    rest = [c for c in figures.columns if c not in ("__k", "estimate_count")]
+    return figures.join(people, "__k").select("__k.*", "estimate_count", "analyst_count", "estimator_count", *rest)
 
 
 def with_change_labels(df: DataFrame, history: list[str], order: list[Column], neutral: float = 0.005) -> DataFrame:

@@ -13,6 +13,7 @@ from skarn.functions.text import signature
 from skarn.operators import splitting as S
 from skarn.operators.greedy import Cap, greedy_sample
 from skarn.plans.estimates import gold
+from skarn.session import cut
 from skarn.sources.tables import table as T
 
 #: Rows of the samples: balanced, diverse, best supported.
@@ -80,10 +81,11 @@ def source_mix(spark, d):
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return gold(spark, d).select(
+    # read by every pass of a sampler
+    return cut(gold(spark, d).select(
         F.concat_ws("|", "company", "period").alias("event_id"), F.col("company").cast("string").alias("ticker"), F.year("period").cast("string").alias("year"), F.col("period").cast("string").alias("period"),
         "direction_label", "magnitude_bucket", "estimate_count", "analyst_count", "consensus_std", "prior_consensus_median", signature(F.col("company"), F.col("consensus_median")).alias("sig"),
-    )
+    ))
 
 
 def _thirds(total: int) -> dict[str, int]:
