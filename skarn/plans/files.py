@@ -13,7 +13,7 @@ from skarn.functions import text as X
 from skarn.functions.clean import blank_to_null, scalar_text
 from skarn.operators import profile as P
 from skarn.plans.evaluation import LABELS, _runs
-from skarn.session import on_exit, shared_folder
+from skarn.session import cut, on_exit, shared_folder
 from skarn.sources import checks, contracts, readers, sinks
 from skarn.sources.tables import table as T
 
@@ -43,10 +43,10 @@ def malformed_csv(spark, d):
     """Rows with a field too many are kept and counted."""
     lines = T(spark, d, "orders").select(F.concat_ws(",", "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 10 == 0, "surplus")).alias("value"))
     head = spark.createDataFrame([("o_orderkey,o_custkey",)], "value string")
-    at = _text(spark, lines, ".csv")
-    head.coalesce(1).write.mode("append").text(at)
-    x = spark.read.text(at).where("value <> 'o_orderkey,o_custkey'").select(F.from_csv("value", "a string, b string, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    return x.agg(F.count(F.lit(1)).alias("rows"), F.count("r._corrupt_record").alias("malformed"))
+    # one file: the header comes first
+    at = _text(spark, head.unionByName(lines).coalesce(1), ".csv")
+    x = cut(readers.read_counted_csv(spark, at))
+    return x.agg(F.count(F.lit(1)).alias("rows"), F.count("_corrupt_record").alias("malformed"))
 
 
 def csv_columns(spark, d):

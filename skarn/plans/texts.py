@@ -9,6 +9,7 @@ from skarn.functions import text as X
 from skarn.functions.tokens import token_length
 from skarn.operators import profile as P
 from skarn.operators import records as R
+from skarn.operators.resolve import union_all
 from skarn.sources.html import html_text
 from skarn.sources.tables import table as T
 
@@ -180,13 +181,21 @@ def record_validation(spark, d):
     return e.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
+def record_union(spark, d):
+    """Training records and documents as records of one layout; what a side lacks is null."""
+    a = T(spark, d, "ibes_pipeline").select(F.col("record_id").cast("string").alias("id"), F.lower("source").alias("source"), "instruction", F.col("structured_input").alias("input"), F.lower("direction_label").alias("target_label"))
+    b = T(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), F.lower(F.trim("source")).alias("source"), F.col("text").alias("input"))
+    x = union_all([a, b], missing=True)
+    return x.groupBy("source", "target_label").agg(F.count(F.lit(1)).alias("n"), F.count("instruction").alias("instructions"), F.sum(F.length("input")).alias("characters"))
+
+
 def score_labels(spark, d):
     x = T(spark, d, "events").select("event_id", (F.col("value") / 100 - 0.5).alias("score"))
     return x.select("event_id", X.score_label(F.col("score")).alias("label"))
 
 
 QUERIES = {f.__name__: f for f in (
-    text_signature, exact_dups, norm_dups, think_parse, label_extract, json_recover, structured_parse, json_field, json_keys, html_excerpt, input_signature_dups, event_signatures, coverage_growth, key_contamination, token_lengths, templated_instructions, dataset_card, dataset_shares, instruct_records, chat_records, record_validation, score_labels,
+    text_signature, exact_dups, norm_dups, think_parse, label_extract, json_recover, structured_parse, json_field, json_keys, html_excerpt, input_signature_dups, event_signatures, coverage_growth, key_contamination, token_lengths, templated_instructions, dataset_card, dataset_shares, instruct_records, chat_records, record_validation, record_union, score_labels,
 )}
 
 _SQUASH = lambda c: rf"trim(regexp_replace(lower({c}), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
@@ -246,6 +255,8 @@ y as (select *, case when record_id % 10 = 0 then 'else' else answer end as outp
 e as (select 'empty input' as error from y where trim(coalesce(input, '')) = '' union all select 'output mismatch' from y where answer <> output
   union all select 'invalid json' from y where record_id % 9 = 0 union all select 'missing keys: company, event, features' from y where record_id % 9 = 1)
 select error, count(*) as n from e group by error""",
+    "record_union": """with x as (select lower(source) as source, lower(direction_label) as target_label, instruction, structured_input as input from ibes_pipeline union all select lower(trim(source)), null, null, text from documents)
+select source, target_label, count(*) as n, count(instruction) as instructions, sum(length(input))::bigint as characters from x group by all""",
     "score_labels": "select event_id, case when value / 100 - 0.5 < -0.1 then 'negative' when value / 100 - 0.5 < 0.1 then 'neutral' else 'positive' end as label from events",
 }
 

@@ -215,6 +215,28 @@ def test_pipeline(spark, tmp_path):
         pipeline.run(spark, cfg, "gold", "bronze")
 
 
+def test_chat_stage_validation_and_settings(spark, tmp_path):
+    bench = put(tmp_path / "b.csv", "DATE,ewretd,vwretd,sprtrn\n2024-01-10,9,0.01,9\n2024-01-10,9,0.01,9\n2024-01-12,9,,9\n")
+    assert [tuple(r) for r in pipeline.benchmark_bronze(spark.read.option("header", True).csv(bench)).select("benchmark_return").collect()] == [(0.01,)]
+    with pytest.raises(contracts.ContractError, match="return"):
+        pipeline.benchmark_bronze(spark.read.option("header", True).csv(bench), "other")
+    text = f"pipeline:\n  estimates: {_raw(tmp_path)}\n  out: {tmp_path / 'out'}\n  windows: ['0:1', '-1:1']\n  train_eval: 1\n  sample: 1\n  train_fraction: 0.4\n  validation_fraction: 0.3\n"
+    cfg = pipeline.PipelineConfig.read(spark, put(tmp_path / "c.yaml", text))
+    assert cfg.windows == ("0:1", "-1:1") and cfg.train_fraction == 0.4 and cfg.seed == 42
+    with pytest.raises(contracts.ContractError, match="unknown"):
+        pipeline.PipelineConfig.read(spark, put(tmp_path / "d.yaml", "pipeline:\n  estimate: x\n"))
+    assert pipeline.run(spark, cfg, through="validation").count() == 0
+    c = spark.read.parquet(f"{cfg.out}/chats").collect()
+    assert sorted(r["split"] for r in c) == ["sample_100", "test", "train"]
+    m = c[0]["messages"]
+    assert [x["role"] for x in m] == ["system", "user", "assistant"] and m[2]["content"] == c[0]["output"] and set(json.loads(c[0]["output"])) == set(pipeline.ANSWER_KEYS)
+    payload = json.loads(c[0]["input"])
+    assert payload["event"]["join_status"] == "unmatched" and "raw_return_w_p0_p1" in payload["features"] and "raw_return_w_m1_p1" not in payload["features"]
+    twice = spark.createDataFrame(c, spark.read.parquet(f"{cfg.out}/chats").schema).where("split = 'train'")
+    twice = twice.unionByName(twice.withColumns({"split": F.lit("test"), "output": F.lit("{}")}))
+    assert {(r["split"], r["error"]) for r in pipeline.validation(twice).collect()} == {("test", "output mismatch"), ("test,train", "stands in several splits")}
+
+
 def test_panel_resolves_through_the_stock_header(spark, tmp_path):
     daily = put(tmp_path / "d.csv", "PERMNO,date,CUSIP,NCUSIP,TICKER,COMNAM,PRC,VOL,RET,SHROUT\n" + "".join(f"{p},2024-01-{d},,{n},{t},X,5,1,0.10,1\n" for p, n, t in ((7, "", ""), (8, "", ""), (9, "99999999", "")) for d in (10, 11)))
     header = put(tmp_path / "h.csv", "PERMNO,PERMCO,HTSYMBOL,HTICK,HCOMNAM,CUSIP,BEGDAT,ENDDAT,HNAICS,HSICCD,HPRIMEXC\n7,1,,,X,12345678,2024-01-10,2024-01-10,,,\n7,1,OLD,,X,12345678,2020-01-01,2023-12-31,,,\n8,1, ,tic,X,,2024-01-01,,,,\n9,1,,,X,12345678,2019-01-01,2024-01-09,,,\n9,1,NEW,,X,99999999,2024-01-01,,,,\n")
