@@ -33,7 +33,7 @@ from skarn.llm.abuse_words import CLASSES, EXAMPLES
 from skarn.llm.text import COMMENT_MARK, INVISIBLE, TAG, plain
 
 #: Most verdicts the model is fitted on, and most characters of their texts: a bounded sample, by a hash of the document id.
-MAX_VERDICTS, MAX_VERDICT_CHARS = 8_000, 64_000_000
+MAX_VERDICTS, MAX_VERDICT_CHARS = 8_000, 16_000_000
 #: Probability of grade 1 or more at which a document is flagged; below one half, since reviewers read what is flagged.
 FLAG_AT = 0.3
 #: Words in a window; number of grades above 0; rounds in which worst windows are chosen anew.
