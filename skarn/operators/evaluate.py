@@ -104,3 +104,10 @@ def metric_differences(long: DataFrame, keys: list[str], variant: str, a: str, b
     """keys, metric, value of a and of b, difference (b less a; null if either is missing) from a long metrics table."""
     pick = lambda v: F.max(F.when(F.col(variant) == v, F.col("value")))
     return long.groupBy(*keys, "metric").agg(pick(a).alias("value_a"), pick(b).alias("value_b"), (pick(b) - pick(a)).alias("difference"))
+
+
+def snapshot(now: DataFrame, baseline: DataFrame, key: str, metrics: list[str], carried: list[str]) -> DataFrame:
+    """key, carried columns of ``now``, and per metric its value, its baseline and their difference; null where either is missing."""
+    b = baseline.select(F.col(key).alias("__k"), *[F.col(m).alias(f"baseline_{m}") for m in metrics])
+    x = now.join(b, F.col(key) == F.col("__k"), "full").withColumn(key, F.coalesce(key, "__k"))
+    return x.select(key, *carried, *[c for m in metrics for c in (F.col(m), F.col(f"baseline_{m}"), (F.col(m) - F.col(f"baseline_{m}")).alias(f"delta_{m}"))])

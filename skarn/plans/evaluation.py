@@ -97,7 +97,15 @@ def structured_match(spark, d):
     return y.select("sample_count", *[F.round(c, 6).alias(c) for c in ("exact_match_rate", "direction_accuracy", "magnitude_accuracy", "event_type_accuracy")])
 
 
-QUERIES = {f.__name__: f for f in (confusion_matrix, class_metrics, summary_metrics, metrics_long, run_verdicts, metric_wins, metric_differences, compare_runs, shift_counts, regression_buckets, output_diagnostics, structured_match)}
+def metric_snapshot(spark, d):
+    """The tuned run's figures per dataset beside a baseline that lacks one dataset and has another; what either lacks is null."""
+    x = _summary(spark, d)
+    base = x.where("variant = 'base' and dataset <> 'F'").select("dataset", "accuracy").unionByName(spark.createDataFrame([("absent", 0.5)], "dataset string, accuracy double"))
+    y = E.snapshot(x.where("variant = 'tuned'"), base, "dataset", ["accuracy"], ["sample_count", "macro_f1"])
+    return y.select("dataset", "sample_count", *[F.round(c, 6).alias(c) for c in ("macro_f1", "accuracy", "baseline_accuracy", "delta_accuracy")])
+
+
+QUERIES = {f.__name__: f for f in (confusion_matrix, class_metrics, summary_metrics, metrics_long, run_verdicts, metric_wins, metric_differences, compare_runs, shift_counts, regression_buckets, output_diagnostics, structured_match, metric_snapshot)}
 
 _RULE = lambda m: f"case when p % {m} = 0 then null when p % {m} = 1 then 'no' when p % {m} < 4 then gold when s % 3 = 0 then 'positive' when s % 3 = 1 then 'negative' else 'neutral' end"
 _RUNS = f"""g as (select l_orderkey || '-' || l_linenumber as example_id, min(l_linestatus) as dataset, case min(l_returnflag) when 'A' then 'positive' when 'R' then 'negative' else 'neutral' end as gold, min(l_partkey) as p, min(l_suppkey) as s from lineitem group by l_orderkey, l_linenumber),
@@ -119,6 +127,8 @@ SQL = {
     "summary_metrics": f"with {_RUNS} select dataset, variant, sample_count, invalid_count, round(accuracy, 6) as accuracy, round(macro_f1, 6) as macro_f1, round(parse_failure_rate, 6) as parse_failure_rate from sm",
     "metrics_long": f"with {_RUNS} select dataset, variant, 'accuracy' as metric, round(accuracy, 6) as value from sm union all select dataset, variant, 'macro_f1', round(macro_f1, 6) from sm union all select dataset, variant, 'parse_failure_rate', round(parse_failure_rate, 6) from sm",
     "run_verdicts": f"with {_RUNS} select dataset, round(da, 6) as delta_accuracy, round(df, 6) as delta_macro_f1, round(dp, 6) as delta_parse_failure_rate, case when da > 0 and df > 0 and dp <= 0 then 'improved' when da < 0 or df < 0 or dp > 0 then 'regressed' else 'inconclusive' end as verdict from dl",
+    "metric_snapshot": f"""with {_RUNS}, b as (select dataset, accuracy from sm where variant = 'base' and dataset <> 'F' union all select 'absent', 0.5), t as (select * from sm where variant = 'tuned')
+select coalesce(t.dataset, b.dataset) as dataset, sample_count, round(macro_f1, 6) as macro_f1, round(t.accuracy, 6) as accuracy, round(b.accuracy, 6) as baseline_accuracy, round(t.accuracy - b.accuracy, 6) as delta_accuracy from t full join b on t.dataset = b.dataset""",
     "metric_wins": f"with {_RUNS} select 'base' as baseline, count(*) filter (df > 0) as wins, count(*) filter (df < 0) as regressions from dl union all select 'absent', 0, 0",
     "metric_differences": f"""with {_RUNS}, l as (select dataset, variant, unnest([{{'m': 'accuracy', 'v': accuracy}}, {{'m': 'macro_f1', 'v': macro_f1}}]) as x from sm)
 select dataset, x.m as metric, round(max(x.v) filter (variant = 'base'), 6) as value_a, round(max(x.v) filter (variant = 'tuned'), 6) as value_b, round(max(x.v) filter (variant = 'tuned') - max(x.v) filter (variant = 'base'), 6) as difference from l group by all""",

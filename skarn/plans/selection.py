@@ -12,12 +12,15 @@ from skarn.functions.keys import folded
 from skarn.functions.text import signature
 from skarn.operators import splitting as S
 from skarn.operators.greedy import Cap, greedy_sample
+from skarn.operators.resolve import union_all
 from skarn.plans.estimates import gold
 from skarn.session import cut
 from skarn.sources.tables import table as T
 
 #: Rows of the samples: balanced, diverse, best supported.
 BALANCED, DIVERSE, QUALITY = 10_000, 10_000, 4_000
+#: Rows of capped splits.
+CAPS = {"train": 500, "val": 60, "test": 40}
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -122,8 +125,26 @@ def greedy_quality(spark, d):
     return greedy_sample(x, "event_id", best, caps, QUALITY, best, F.col("sig"))
 
 
+def greedy_capped(spark, d):
+    """The best supported events with at most four of a ticker, and no backfill."""
+    x = _candidates(spark, d).where("prior_consensus_median is not null and estimate_count >= 2 and analyst_count >= 2")
+    x = x.withColumn("score", F.col("analyst_count") * 3 + F.col("estimate_count") * 2)
+    return greedy_sample(x, "event_id", [-F.col("score"), F.col("period")], [Cap("direction", F.col("direction_label"), _thirds(QUALITY)), Cap("ticker", F.col("ticker"), 4)], QUALITY, None, F.col("sig"))
+
+
+def diverse_head(spark, d):
+    """The head of the diverse sample that goes into a mix of four to one."""
+    return greedy_diverse(spark, d).where(F.col("pick_order") <= DIVERSE * 4 // 5)
+
+
+def capped_splits(spark, d):
+    """Chronological splits, each cut to a number of rows by hash."""
+    x = S.chronological_split(_orders(spark, d), "day", ["o_orderkey"])
+    return union_all([S.hash_sample(x.where(F.col("split") == s), "o_orderkey", n, 42 + i) for i, (s, n) in enumerate(CAPS.items())]).select("o_orderkey", "split")
+
+
 QUERIES = {f.__name__: f for f in (
-    chrono_split, split_counts, split_label_dist, hash_sample_topn, sequential_splits, stratified_quota, grouped_topk, split_diff, signature_reuse, split_overlap, held_out_events, source_mix, greedy_balanced, greedy_diverse, greedy_quality,
+    chrono_split, split_counts, split_label_dist, hash_sample_topn, sequential_splits, stratified_quota, grouped_topk, split_diff, signature_reuse, split_overlap, held_out_events, source_mix, greedy_balanced, greedy_diverse, greedy_quality, greedy_capped, diverse_head, capped_splits,
 )}
 
 _PR = """r as (select *, percent_rank() over (order by cast(o_orderdate as date), o_orderkey) as pr from orders),
@@ -140,6 +161,7 @@ select o_orderkey, case when rn <= 800 then 'train' when rn <= 900 then 'eval' e
     "stratified_quota": f"""with x as (select doc_id, coalesce(nullif(lower(trim(source)), ''), 'unknown') as source, coalesce(nullif(lower(trim(lang)), ''), 'unknown') as lang from documents),
 r as (select *, row_number() over (partition by source, lang order by {_H('doc_id', 40)}, doc_id) as rn from x) select doc_id, source, lang from r where rn <= 20""",
     "grouped_topk": "select * from (select o_orderpriority, cast(row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as integer) as rank, o_orderkey, o_totalprice from orders) where rank <= 10",
+    "capped_splits": f"with {_PR} " + " union all ".join(f"select * from (select o_orderkey, split from sp where split = '{s}' order by {_H('o_orderkey', 42 + i)}, o_orderkey limit {n})" for i, (s, n) in enumerate(CAPS.items())),
     "split_diff": "select distinct o_custkey from orders where year(o_orderdate) = 1996 except select o_custkey from orders where year(o_orderdate) = 1995",
     "signature_reuse": """with a as (select distinct o_custkey, o_orderpriority from orders where year(o_orderdate) = 1995), b as (select distinct o_custkey, o_orderpriority from orders where year(o_orderdate) = 1996),
 j as (select b.*, a.o_custkey is not null as hit from b left join a using (o_custkey, o_orderpriority))
@@ -152,17 +174,19 @@ k as (select *, row_number() over (partition by source, label order by h, record
 }
 
 
-def _greedy_sql(rows: str, order: str, then: str, keys: list[str], most: list[str], total: int) -> str:
+def _greedy_sql(rows: str, order: str, then: str | None, keys: list[str], most: list[str], total: int) -> str:
     """The sequential pass as a fold over the ordered rows: ids taken, signatures taken and a count per key; then the backfill."""
     free = " and ".join(f"coalesce(acc.c[x.k[{i}]], 0) < x.m[{i}]" for i in range(1, len(keys) + 1))
     up = ", ".join(f"coalesce(acc.c[x.k[{i}]], 0) + 1" for i in range(1, len(keys) + 1))
     ks = ", ".join(f"'{i}|' || {k}" for i, k in enumerate(keys))
+    last = "a" if then is None else "b"
+    then = then or order
     return f"""with {{gold}}, cand as materialized (select *, row_number() over (order by event_id)::int as i, dense_rank() over (order by company, consensus_median)::int as sig from ({rows})),
 one as (select list({{{{'i': i, 's': sig, 'k': [{ks}], 'm': [{', '.join(most)}]}}}} order by {order}, event_id) as xs, list({{{{'i': i, 's': sig}}}} order by {then}, event_id) as ys from cand),
 a as (select ys, list_reduce(xs, lambda acc, x: case when len(acc.t) < {total} and not list_contains(acc.s, x.s) and {free} then {{{{'t': list_append(acc.t, x.i), 's': list_append(acc.s, x.s), 'c': map_concat(acc.c, map(x.k, [{up}]))}}}} else acc end,
   {{{{'t': []::int[], 's': []::int[], 'c': map([]::varchar[], []::int[])}}}}) as z from one),
 b as (select list_reduce(ys, lambda acc, y: case when len(acc.t) < {total} and not list_contains(acc.s, y.s) and not list_contains(acc.t, y.i) then {{{{'t': list_append(acc.t, y.i), 's': list_append(acc.s, y.s)}}}} else acc end, {{{{'t': z.t, 's': z.s}}}}) as z from a),
-u as (select unnest(z.t) as i, unnest(range(1, len(z.t) + 1))::int as pick_order from b)
+u as (select unnest(z.t) as i, unnest(range(1, len(z.t) + 1))::int as pick_order from {last})
 select event_id, pick_order from u join cand using (i)"""
 
 
@@ -180,8 +204,10 @@ def _greedy() -> dict[str, str]:
             [third(BALANCED), f"greatest(1, ceil(({third(BALANCED)})::double / {seen}))::int", str(max(8, BALANCED // 800)), str(max(6, BALANCED // 1200))], BALANCED),
         "greedy_diverse": _greedy_sql(rows, h("event_id", 42), h("event_id", 42), ["ticker", "per"], [str(max(4, DIVERSE // 1600)), str(max(4, DIVERSE // 1800))], DIVERSE),
         "greedy_quality": _greedy_sql(good, "-score, per", "-score, per", ["direction_label", "ticker"], [third(QUALITY), str(max(3, QUALITY // 1200))], QUALITY),
+        "greedy_capped": _greedy_sql(f"select *, analyst_count * 3 + estimate_count * 2 as score from ({rows}) where prior_consensus_median is not null and estimate_count >= 2 and analyst_count >= 2", "-score, per", None, ["direction_label", "ticker"], [third(QUALITY), "4"], QUALITY),
     }
-    return {k: v.format(gold=GOLD_SQL) for k, v in out.items()}
+    sql = {k: v.format(gold=GOLD_SQL) for k, v in out.items()}
+    return sql | {"diverse_head": f"select * from ({sql['greedy_diverse']}) where pick_order <= {DIVERSE * 4 // 5}"}
 
 
 SQL |= _greedy()
