@@ -7,9 +7,10 @@ Aho-Corasick automaton per shard, which scans whole training texts and gives the
 shards its own passages fall in, once each, and no other shard could find anything in it. Intervals are merged into the
 coverage of a pair and of an evaluation record; pairs that share an interval are compared leaf by leaf.
 
-A passage that very many records share (say, where all its leaves are missing) would make nearly all of them candidates. If
-two records agree in no other passage, each of the others holds exactly one difference, so one half of each agrees: such
-passages are searched again, joined to every choice of halves of the others.
+A passage that very many records share (say, where all its leaves are missing) would make nearly all of them candidates, so
+such hot passages are searched again, joined to parts of the others. Let two records agree in ``m`` passages, all hot. Each of
+the others holds a difference, so none holds more than ``m``, and of ``m`` + 1 parts of it one agrees. For every choice of
+``m`` of a record's hot passages these are joined to every choice of one of ``m`` + 1 parts of each other passage.
 
 Numbers within a tolerance of each other must give one code. A training number is written as the cell of a grid much
 wider than the tolerance; an evaluation number as the one or two cells that the tolerance reaches. Passages are made of
@@ -23,8 +24,8 @@ import json
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import product
-from math import floor
+from itertools import combinations, product
+from math import comb, floor
 from zlib import crc32
 
 import ahocorasick  # the pyahocorasick distribution
@@ -40,8 +41,10 @@ CELL_TOLERANCES, CELL_OFFSET = 64, 0.37
 PASSAGE_LEAVES = 8
 #: Evaluation passages in one automaton, and training texts that one task scans with it.
 SHARD_PASSAGES, SLICE_TEXTS = 120_000, 100_000
-#: Pairs of classes one passage may make before it is searched again with halves of the others.
+#: Pairs of classes one passage may make before it is searched again with parts of the others.
 HOT_PAIRS = 1_000_000
+#: Rows of coded records, or a few more, that are handed on at once.
+BATCH_ROWS = 50_000
 #: Letters of a leaf's code.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
@@ -95,12 +98,12 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _deal(paths: list[tuple[str, int]], blocks: int) -> list[list[str]]:
-    """Paths dealt to blocks, the most varied first and to and fro."""
+    """Paths dealt to blocks, the most varied first and to and fro; a block keeps that order."""
     out: list[list[str]] = [[] for _ in range(blocks)]
     for i, (p, _) in enumerate(sorted(paths, key=lambda x: (-x[1], x[0]))):
         turn, k = divmod(i, blocks)
         out[k if turn % 2 == 0 else blocks - 1 - k].append(p)
-    return [sorted(b) for b in out]
+    return out
 
 
 class Coder:
@@ -146,16 +149,27 @@ class Coder:
         """(number, text) of a record's passages, in every spelling."""
         return [(k, f"{k}:{''.join(c)}") for k, block in enumerate(self.leaves(paths, vals, train)) for c in product(*block)]
 
-    def with_halves(self, k: int, h: int, paths: str, vals: str, train: bool) -> list[str]:
-        """Passage ``k`` (named by its hash) joined to every choice of a half of each other passage."""
-        halves = [[b[: len(b) // 2], b[len(b) // 2 :]] for j, b in enumerate(self.leaves(paths, vals, train)) if j != k]
+    def with_parts(self, hot: list[tuple[int, int]], paths: str, vals: str, train: bool) -> list[tuple[int, str]]:
+        """(number of the first, text) of every choice of hot passages joined to parts of the others; ``hot``: (number, hash) of a record's."""
+        leaves, of = self.leaves(paths, vals, train), {}
+        for k, h in sorted(hot):
+            of.setdefault(k, []).append(h)
         out = []
-        for sides in product((0, 1), repeat=len(halves)):
-            mark = "".join(map(str, sides))
-            out += [f"{h}.{mark}:{''.join(c)}" for c in product(*[leaf for half, side in zip(halves, sides) for leaf in half[side]])]
+        for m in range(1, len(of) + 1):
+            for ks in combinations(of, m):
+                parts = [[b[i :: m + 1] for i in range(m + 1)] for j, b in enumerate(leaves) if j not in ks]
+                names = ["".join(f"{h}." for h in hs) for hs in product(*[of[k] for k in ks])]
+                for sides in product(range(m + 1), repeat=len(parts)):
+                    texts = ["".join(c) for c in product(*[leaf for part, side in zip(parts, sides) for leaf in part[side]])]
+                    out += [(ks[0], f"{_hash(name + '.'.join(map(str, sides)))}:{t}") for name in names for t in texts]
         return out
 
 
+def searches(passages: int, hot: int) -> int:
+    """How often a record with ``hot`` of its ``passages`` hot is written by ``with_parts``, in one spelling."""
+    return sum(comb(hot, m) * (m + 1) ** (passages - m) for m in range(1, hot + 1))
+
+
 def _hash(passage: str) -> int:
     return int.from_bytes(blake2b(passage.encode(), digest_size=8).digest(), "big", signed=True)
 
@@ -166,23 +180,35 @@ CODED = "key binary, train boolean, start int, end int, h long, text string, sha
 def _coded(deal: list[list[str]], tolerance: float, shards: int, again: bool = False):
     """Rows of CODED: a training record's whole text and the shards it goes to, an evaluation record's passages and the shard of each.
 
-    ``again``: rows come with the hash and the first leaf of a passage to be joined to halves of the others.
+    ``again``: rows come with the first leaves and the hashes of their hot passages, to be joined to parts of the others; each shard
+    gets the training record's joined passages that fall in it.
     """
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        x = pd.DataFrame(rows, columns=["key", "train", "start", "end", "h", "text", "shards"])
+        return x.astype({"start": "Int32", "end": "Int32", "h": "Int64"})
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(deal, tolerance)
         of_start = {a: k for k, (a, _) in enumerate(coder.span)}
         for b in batches:
             out = []
-            asked = zip(b["h"], b["start"]) if again else [(None, None)] * len(b)
-            for key, train, paths, vals, (h, start) in zip(b["key"], b["train"], b["paths"], b["vals"], asked):
-                ps = [(of_start[start], t) for t in coder.with_halves(of_start[start], h, paths, vals, train)] if again else coder.passages(paths, vals, train)
-                if train:
-                    out.append((key, True, None, None, None, "".join(t for _, t in ps), sorted({_hash(t) % shards for _, t in ps})))
-                else:
+            asked = zip(b["starts"], b["hashes"]) if again else [()] * len(b)
+            for key, train, paths, vals, hot in zip(b["key"], b["train"], b["paths"], b["vals"], asked):
+                ps = coder.with_parts([(of_start[s], h) for s, h in zip(*hot)], paths, vals, train) if again else coder.passages(paths, vals, train)
+                if not train:
                     out += [(key, False, *coder.span[k], _hash(t), t, [_hash(t) % shards]) for k, t in ps]
-            x = pd.DataFrame(out, columns=["key", "train", "start", "end", "h", "text", "shards"])
-            yield x.astype({"start": "Int32", "end": "Int32", "h": "Int64"})
+                elif again:
+                    of_shard: dict[int, list[str]] = {}
+                    for _, t in ps:
+                        of_shard.setdefault(_hash(t) % shards, []).append(t)
+                    out += [(key, True, None, None, None, "".join(ts), [shard]) for shard, ts in of_shard.items()]
+                else:
+                    out.append((key, True, None, None, None, "".join(t for _, t in ps), sorted({_hash(t) % shards for _, t in ps})))
+                if len(out) > BATCH_ROWS:
+                    yield frame(out)
+                    out = []
+            yield frame(out)
 
     return build
 
@@ -262,16 +288,18 @@ def near_same_records(
     many = hits.groupBy("h").agg(F.count(F.lit(1)).alias("t")).join(asked.groupBy("h").agg(F.count(F.lit(1)).alias("e")), "h")
     hot = cut(many.where(F.col("t") * F.col("e") > HOT_PAIRS).select("h"))
     cold = lambda x: x.join(hot, "h", "left_anti")
+    held = lambda x, c: x.join(hot, "h", "left_semi").groupBy(c).agg(F.collect_set(F.struct("h", "start", "end")).alias("hot"))
     shared = cold(hits).select("train_class", "h", "start", "end").join(cold(asked).select("eval_class", "h"), "h").select("train_class", "eval_class", "start", "end")
-    if hot.take(1):
-        both = [x.join(hot, "h", "left_semi").select("h", "start", F.col(c).alias("key"), F.lit(c == "train_class").alias("train")) for x, c in ((hits, "train_class"), (asked, "eval_class"))]
+    if any_hot := bool(hot.take(1)):
+        sides = [held(x, c).select(F.col(c).alias("key"), F.lit(c == "train_class").alias("train"), F.col("hot.start").alias("starts"), F.col("hot.h").alias("hashes")) for x, c in ((hits, "train_class"), (asked, "eval_class"))]
         one = parsed.select("key", "train", "paths", "vals").dropDuplicates(["key", "train"])
-        again = cut(one.join(both[0].unionByName(both[1]), ["key", "train"]))
-        shards = shards_for(again.where("not train").count() * 2**max_diff)
-        coded = cut(again.select("key", "train", "paths", "vals", "h", "start").mapInPandas(_coded(deal, tolerance, shards, True), CODED))
+        again = cut(one.join(sides[0].unionByName(sides[1]), ["key", "train"]))
+        sizes = again.where("not train").groupBy(F.least(F.size("starts"), F.lit(max_diff + 1)).alias("n")).count().collect()
+        shards = shards_for(sum(r["count"] * searches(max_diff + 1, r["n"]) for r in sizes))
+        coded = cut(again.select("key", "train", "paths", "vals", "starts", "hashes").mapInPandas(_coded(deal, tolerance, shards, True), CODED))
         refined = scan_texts(coded).join(coded.where("not train").select("h", F.col("key").alias("eval_class")).distinct(), "h")
         shared = shared.unionByName(refined.select("train_class", "eval_class", "start", "end"))
-    pairs = cut(shared.groupBy("train_class", "eval_class").agg((merged_length(F.collect_set(span)) / F.lit(total)).alias("covered")))
+    pairs = cut(shared.groupBy("train_class", "eval_class").agg(F.collect_set(span).alias("spans")))
 
     suspects = pairs.select(F.col("train_class").alias("key")).unionByName(pairs.select(F.col("eval_class").alias("key"))).distinct()
     # the wide rows move once, to the keys of the pairs; any record of a class stands for it
@@ -281,5 +309,9 @@ def near_same_records(
     both = pairs.join(of("train_class", "a"), "train_class").join(of("eval_class", "b"), "eval_class")
     number = "(a[p] like 'n%' and b[p] like 'n%' and abs(cast(substring(a[p], 2) as double) - cast(substring(b[p], 2) as double)) <= " + repr(tolerance * (1 + 1e-6)) + ")"
     differing = F.expr(f"size(filter(array_union(map_keys(a), map_keys(b)), p -> not (a[p] <=> b[p]) and not coalesce({number}, false)))")
-    near = both.withColumn("differing", differing).where(F.col("differing") <= max_diff).select("train_class", "eval_class", "differing", "covered")
+    near = both.withColumn("differing", differing).where(F.col("differing") <= max_diff).select("train_class", "eval_class", "differing", "spans")
+    if any_hot:  # a pair also covers the hot passages that it shares
+        near = near.join(held(hits, "train_class").withColumnRenamed("hot", "x"), "train_class", "left").join(held(asked, "eval_class").withColumnRenamed("hot", "y"), "eval_class", "left")
+        near = near.withColumn("spans", F.expr("array_union(spans, coalesce(transform(array_intersect(x, y), s -> named_struct('start', s.start, 'end', s.end)), array()))"))
+    near = near.select("train_class", "eval_class", "differing", (merged_length(F.col("spans")) / F.lit(total)).alias("covered"))
     return near, members, coverage

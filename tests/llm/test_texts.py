@@ -110,6 +110,24 @@ def test_near_same_with_a_passage_most_records_share(spark, monkeypatch, hot):
     assert got == _wanted(recs) and len(got) > 80 and 0 < min(covered.values()) and max(covered.values()) == 1
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_near_same_with_several_hot_passages(spark, monkeypatch, most):
+    """Pairs that agree in hot passages only, with several differences in one of the others, are found, and cover what they share."""
+    rnd = random.Random(13)
+    recs = _records(100, rnd, 0.6)
+    leaves = {r[0]: leaf_values(r[2]) for r in recs}
+    want = sorted((a[0], b[0], n) for a in recs for b in recs if a[1] and not b[1] and (n := differing(leaves[a[0]], leaves[b[0]])) <= most)
+    df = spark.createDataFrame(recs, "rid int, train boolean, text string").repartition(3)
+    found = []
+    for hot in (10**6, 0):
+        monkeypatch.setattr(json_overlap, "HOT_PAIRS", hot)
+        pairs, members, _ = near_same_records(df, "rid", F.col("text"), F.col("train"), most)
+        side = lambda c, t: members.where(F.col("train") == t).select(F.col("class").alias(f"{c}_class"), F.col("rid").alias(c))
+        rows = pairs.join(side("train", True), "train_class").join(side("eval", False), "eval_class").select("train", "eval", "differing", "covered").collect()
+        found.append(sorted(map(tuple, rows)))
+    assert [r[:3] for r in found[1]] == want and len(want) > 10 and found[0] == found[1]
+
+
 def test_pairs_come_from_the_scan(spark, monkeypatch):
     """Without what the automata find there are no pairs and no coverage."""
     recs = _records(30, random.Random(12), 0.1)
